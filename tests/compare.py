@@ -35,10 +35,12 @@ def plain(value):
 
 def compare(spark, con, sf_dir, fn, sql) -> str | None:
     """None if equal, else what differs."""
+    began = time.time()
     df = fn(spark, sf_dir)
     names = sorted(df.columns)
     types = dict(df.dtypes)
     rows = sorted(tuple(plain(v) for v in row) for row in (tuple(r) for r in df.select(*names).collect()))
+    compare.spent = time.time() - began
     if sql is None:
         return None if rows else "no rows"
     cursor = con.execute(sql)
@@ -73,10 +75,10 @@ if __name__ == "__main__":
     for name, fn in queries.items():
         if only and not any(name.startswith(o) for o in only):
             continue
-        start = time.time()
+        start = time.time(); compare.spent = 0
         try:
             problem = compare(spark, con, sf, fn, oracles.get(name))
         except Exception as e:  # report and go on to the next query
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
         mark = "ok  " if problem is None else "FAIL"
-        print(f"{mark} {name} {time.time() - start:.2f}s {'' if name in oracles else '(rows only)'} {problem or ''}", flush=True)
+        print(f"{mark} {name} spark {compare.spent:.2f}s all {time.time() - start:.2f}s {'' if name in oracles else '(rows only)'} {problem or ''}", flush=True)

@@ -103,9 +103,11 @@ def valid_points(
 
 def percentile_trim(points: DataFrame, minimum: int = MIN_POINTS, low: float = 0.01, high: float = 0.99, longest: int | None = None) -> DataFrame:
     """Drop points whose latitude and longitude both lie at or outside the outer percentiles of all points."""
-    edge = exact_percentiles(points, ["lat", "lon"], [low, high]).select(F.struct("*")).scalar()
+    edge = exact_percentiles(points, ["lat", "lon"], [low, high])
+    if not edge:
+        return points
 
     def outside(name):
-        return (F.col(name) <= edge[f"{name}_{low}"]) | (F.col(name) >= edge[f"{name}_{high}"])
+        return (F.col(name) <= edge[name, low]) | (F.col(name) >= edge[name, high])
 
     return at_least(points.where(~(outside("lat") & outside("lon"))), ["trj_id"], minimum, longest)

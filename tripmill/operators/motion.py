@@ -101,29 +101,35 @@ def step_features(
         *keys, "steps",
         accepted_before(F.col("steps.velocity"), F.col("steps.delta_t"), max_speed, max_acc).alias("before"),
     )
+    def at(i: Column, field: str) -> Column:
+        """A field of step ``i``, 0 before the first step."""
+        return F.coalesce(F.get(F.col("steps"), i)[field], F.lit(0.0))
+
+    def with_previous(step: Column, i: Column) -> Column:
+        before = F.get("before", i)
+        extra = [
+            (F.get("before", i + 1) == i).alias("accepted"),
+            at(before, "velocity").alias("_v"), at(before, "heading").alias("_h"),
+        ]
+        if true_jerk:
+            earlier = at(F.get("before", before), "velocity")
+            extra.append(F.coalesce(
+                (at(before, "velocity") - earlier) / F.nullif(at(before, "delta_t"), F.lit(0.0)), F.lit(0.0)).alias("_a"))
+        return F.struct(*[step[f].alias(f) for f in fields], *extra)
+
     rows = walked.select(
-        *keys, "before", "steps", F.posexplode("steps").alias("i", "s"),
-        (F.size(F.array_distinct("before")) - 1).alias("n_accepted"),
-    ).select(
-        *keys, "s.*", "n_accepted",
-        F.get("steps", F.get("before", F.col("i"))).alias("p"),
-        (F.get("before", F.col("i") + 1) == F.col("i")).alias("accepted"),
-        *([F.get("steps", F.get("before", F.get("before", F.col("i")))).alias("pp")] if true_jerk else []),
+        *keys, (F.size(F.array_distinct("before")) - 1).alias("n_accepted"), F.inline(F.transform("steps", with_previous))
     )
-    change = F.abs(F.col("heading") - F.coalesce(F.col("p.heading"), F.lit(0.0)))
+    change = F.abs(F.col("heading") - F.col("_h"))
     if wrap_heading:
         change = F.least(change, 360.0 - change)
-    out = rows.withColumn(
-        "acceleration", (F.col("velocity") - F.coalesce(F.col("p.velocity"), F.lit(0.0))) / F.col("delta_t")
-    ).withColumn("heading_change", change)
-    previous_acc = F.lit(0.0)
-    if true_jerk:
-        base = F.coalesce(F.col("pp.velocity"), F.lit(0.0))
-        previous_acc = F.coalesce((F.col("p.velocity") - base) / F.col("p.delta_t"), F.lit(0.0))
+    out = rows.withColumn("acceleration", (F.col("velocity") - F.col("_v")) / F.nullif(F.col("delta_t"), F.lit(0.0)))
+    out = out.withColumn("heading_change", change)
+    previous_acc = F.col("_a") if true_jerk else F.lit(0.0)
     return out.select(
         *keys, "pos", "label", "accepted", "delta_t", "hour", "distance", "velocity", "acceleration",
-        ((F.col("acceleration") - previous_acc) / F.col("delta_t")).alias("jerk"),
-        "heading", "heading_change", (F.col("heading_change") / F.col("delta_t")).alias("heading_change_rate"), "ts_mid",
+        ((F.col("acceleration") - previous_acc) / F.nullif(F.col("delta_t"), F.lit(0.0))).alias("jerk"),
+        "heading", "heading_change", (F.col("heading_change") / F.nullif(F.col("delta_t"), F.lit(0.0))).alias("heading_change_rate"), "ts_mid",
         "n_accepted",
     )
 

@@ -8,6 +8,7 @@ holds a third of all rows is then spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,53 +132,46 @@ def ordered_rank(
     return ranked.withColumn(rank, F.col("_before") + F.col("_r")).drop(*temporary)
 
 
-def exact_percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int = 10000) -> DataFrame:
-    """One row with the linear-interpolated percentile of each column at each share.
+def exact_percentiles(
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int = 10000
+) -> dict[tuple[str, float], float]:
+    """The linear-interpolated percentile of each column at each share.
 
-    Names are ``<column>_<share>``, e.g. ``lat_0.99``. A bounded sketch brackets
-    each wanted rank, then only the rows inside the bracket are counted by value
-    and ranked, in blocks of equal value range. Exact, and no task or driver
-    holds the column.
+    A sketch of bounded size brackets each wanted rank; then only the rows
+    inside the bracket are counted by value and ranked, in blocks of equal value
+    range, and those below it are counted. Exact, and no task or driver holds
+    the column: the driver sees a few numbers per percentile.
     """
     margin = 2.0 / accuracy
     wanted = [(c, s) for c in columns for s in shares]
-
-    def edge(share: float, side: int) -> float:
-        return min(1.0, max(0.0, share + side * margin))
-
-    bracket = df.agg(F.struct(
-        *[
-            F.percentile_approx(F.col(c), [edge(s, side) for s in shares for side in (-1, 1)], accuracy).alias(c)
-            for c in columns
-        ],
-        *[F.count(c).alias(f"{c}_n") for c in columns],
-    ).alias("b"))
-    b = bracket.scalar()
-    bounds = [
-        F.struct(
-            F.lit(i).alias("i"), F.col(c).alias("v"), (b[f"{c}_n"] - 1).alias("last"),
-            b[c][2 * shares.index(s)].alias("lo"), b[c][2 * shares.index(s) + 1].alias("hi"),
-        )
-        for i, (c, s) in enumerate(wanted)
-    ]
-    # Values at or below the bracket's lower edge only need counting; values above it need nothing.
+    sides = [min(1.0, max(0.0, s + side * margin)) for s in shares for side in (-1, 1)]
+    sketch = df.agg(
+        *[F.percentile_approx(F.col(c), sides, accuracy).alias(f"q_{c}") for c in columns],
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+    ).first()
+    if any(sketch[f"n_{c}"] == 0 for c in columns):
+        return {}
+    candidates, positions = [], []
+    for i, (c, s) in enumerate(wanted):
+        lo, hi = (float(sketch[f"q_{c}"][2 * shares.index(s) + side]) for side in (0, 1))
+        place = F.floor((F.col(c) - lo) / (hi - lo) * 1024) if hi > lo else F.lit(0).cast("bigint")
+        candidates.append(F.when(F.col(c) <= hi, F.struct(
+            F.lit(i).alias("i"), F.greatest(F.col(c), F.lit(lo)).alias("v"),
+            F.when(F.col(c) > lo, place).otherwise(0).alias("blk"))))
+        positions.append((sketch[f"n_{c}"] - 1) * s)
     near = (
-        df.select(F.explode(F.array(*bounds)).alias("x")).select("x.*")
-        .where("v <= hi")
-        .withColumn("v", F.greatest("v", "lo"))
-        .groupBy("i", "v", "lo", "hi", "last").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_blk", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)).otherwise(0))
+        df.select(F.explode(F.array_compact(F.array(*candidates))).alias("x")).select("x.*")
+        .groupBy("i", "blk", "v").agg(F.count(F.lit(1)).alias("n"))
     )
-    inside = Window.partitionBy("i", "_blk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = carry_over(
-        near.withColumn("_run", F.sum("n").over(inside)), ["i"], "_blk", sums={"_before": F.sum("n")}
-    ).withColumn("through", F.col("_before") + F.col("_run"))
+    inside = Window.partitionBy("i", "blk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = carry_over(near.withColumn("_run", F.sum("n").over(inside)), ["i"], sums={"_before": F.sum("n")})
+    through = F.col("_before") + F.col("_run")
     picks = []
-    for i, (c, s) in enumerate(wanted):
-        position = F.col("last") * s
-        floor_hit = (F.col("i") == i) & (F.col("through") > F.floor(position))
-        ceil_hit = (F.col("i") == i) & (F.col("through") > F.ceil(position))
-        low, high = F.min(F.when(floor_hit, F.col("v"))), F.min(F.when(ceil_hit, F.col("v")))
-        part = F.max(F.when(F.col("i") == i, position - F.floor(position)))
-        picks.append((low + (high - low) * part).alias(f"{c}_{s}"))
-    return ranked.agg(*picks)
+    for i, position in enumerate(positions):
+        low, high = math.floor(position), math.ceil(position)
+        picks += [F.min(F.when((F.col("i") == i) & (through > edge), F.col("v"))) for edge in (low, high)]
+    found = ranked.agg(*[p.alias(f"p{j}") for j, p in enumerate(picks)]).first()
+    return {
+        key: found[2 * i] + (found[2 * i + 1] - found[2 * i]) * (positions[i] - math.floor(positions[i]))
+        for i, key in enumerate(wanted)
+    }

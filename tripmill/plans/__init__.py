@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CATALOGUE = ["trips"]
+CATALOGUE = ["trips", "trip_masks", "trip_noise"]
 
 
 def register_all() -> None:

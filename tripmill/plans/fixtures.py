@@ -28,3 +28,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled points derived from ``events``; 250 points per trip."""
     columns = [c.strip() for c in POINT_COLUMNS.replace("SELECT", "", 1).split(",\n")]
     return table(spark, sf_dir, "events").selectExpr(*columns)
+
+
+def epoch(ts):
+    """Seconds since 1970 of a wall-clock timestamp, whatever the session zone is."""
+    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())) / 1000000.0
