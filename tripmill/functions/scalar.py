@@ -61,36 +61,20 @@ def rounded(col: Column, digits: int = 4) -> Column:
     return F.round(col, digits) + F.lit(0.0)
 
 
-# The multipliers of the sampling hash.
-MIX_FIRST = 2654435761
-MIX_SECOND = 1103515245
-MIX_RANGE = 2**32
-
-
-def mix32(x: Column, seed: Column | int) -> Column:
-    """A 32-bit hash of a whole number and a seed, in plain integer arithmetic.
+def hash32(*parts: Column | int) -> Column:
+    """A 32-bit number from the MD5 of whole-number parts.
 
     Every sampled choice ranks or thresholds this value, so a choice depends on
-    the row's key and the seed only, never on partitioning.
+    the row's key and the seed only, never on partitioning, and any engine can
+    repeat it.
     """
-    seed = F.lit(seed).cast("bigint") if isinstance(seed, int) else seed
-    first = (F.pmod(x.cast("bigint"), F.lit(2**31)) * F.lit(MIX_FIRST) + seed) % F.lit(MIX_RANGE)
-    folded = first + F.shiftright(first, 15)
-    return (folded * F.lit(MIX_SECOND) + F.lit(12345)) % F.lit(MIX_RANGE)
-
-
-def uniform01(*keys: Column, seed: int = 42) -> Column:
-    """A draw in [0, 1) that depends only on the keys and the seed."""
-    state: Column | int = seed
-    for key in keys:
-        state = mix32(key, state)
-    return state / F.lit(float(MIX_RANGE))
+    text = F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def normal01(*keys: Column, seed: int = 42) -> Column:
-    """A standard normal draw that depends only on the keys and the seed (Box-Muller)."""
-    radius = F.sqrt(-2.0 * F.log(1.0 - uniform01(*keys, seed=seed)))
-    return radius * F.cos(2 * math.pi * uniform01(*keys, seed=seed + 7919))
+def uniform01(*parts: Column | int) -> Column:
+    """A draw in [0, 1) that depends only on ``parts``."""
+    return hash32(*parts) / F.lit(float(2**32))
 
 
 def typed_parameters(text: Column) -> Column:

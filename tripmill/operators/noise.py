@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tripmill.functions.geo import geodesic_m
-from tripmill.functions.scalar import MIX_RANGE, mix32
+from tripmill.functions.scalar import hash32, uniform01
 from tripmill.operators.scan import hash_rank
 from tripmill.schema import DRIFT_FACTOR, MIN_POINTS, MISSING_RATE, lookup
 
@@ -35,10 +35,7 @@ def _lit(x) -> Column:
 
 def draw(seed: Column | int, *keys: str, purpose: int = 0) -> Column:
     """A uniform draw in [0, 1) for a seed, a purpose and the key columns."""
-    state = _lit(seed).cast("bigint") + purpose * 7919
-    for key in keys:
-        state = mix32(F.col(key), state)
-    return state / F.lit(float(MIX_RANGE))
+    return uniform01(_lit(seed), purpose, *[F.col(k) for k in keys])
 
 
 def normal_draw(seed: Column | int, *keys: str, purpose: int = 0) -> Column:
@@ -134,9 +131,7 @@ def drop_runs(
     heads = heads_of(segments) if heads is None else heads
     rate = F.least(F.lit(0.4), lookup(MISSING_RATE, F.col("label"), 0.10) * (1 + _lit(intensity) * 2))
     want = F.least(F.floor(F.col("n_points") * rate), F.col("n_points") - minimum).cast("int")
-    state = _lit(seed).cast("bigint")
-    for key in ids:
-        state = mix32(F.col(key), state)
+    state = hash32(_lit(seed), *[F.col(k) for k in ids])
     chosen = heads.join(choose_segments(heads, intensity, seed, keys, config), keys, "left_semi")
     lost = chosen.withColumn("_want", want).where("_want > 0").select(*keys, F.explode(missing_places(F.col("n_points"), F.col("_want"), state)).alias("pos"))
     w = Window.partitionBy(*keys)

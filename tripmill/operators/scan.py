@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.functions.scalar import mix32
+from tripmill.functions.scalar import hash32
 from tripmill.session import stage
 
 BLOCK = 65536
@@ -87,12 +87,8 @@ def hash_rank(
     Blocks are ranges of the hash, so they are even in size whatever the strata
     are, and a stratum has at most 2**16 of them.
     """
-    state: Column | int = seed
-    if salt is not None:
-        state = mix32(salt, seed)
-    for key in ids:
-        state = mix32(F.col(key), state)
-    keyed = df.withColumn("_h", state).withColumn("_blk", F.shiftright("_h", 32 - RANK_BITS))
+    parts = [seed, *([salt] if salt is not None else []), *[F.col(c) for c in ids]]
+    keyed = df.withColumn("_h", hash32(*parts)).withColumn("_blk", F.shiftright("_h", 32 - RANK_BITS))
     inside = Window.partitionBy(*strata, "_blk").orderBy("_h", *ids)
     local = keyed.withColumn("_r", F.row_number().over(inside))
     count = F.count(F.lit(1))

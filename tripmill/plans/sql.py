@@ -10,27 +10,9 @@ def case(column: str, mapping: dict, default: str = "NULL") -> str:
     return "CASE " + column + " " + " ".join(f"WHEN {k} THEN CAST({v!r} AS DOUBLE)" for k, v in mapping.items()) + f" ELSE {default} END"
 
 
-def mix(x: str, seed: str | int) -> str:
-    """The sampling hash of a whole number; ``seed`` may be another hash."""
-    first = f"((CAST({x} AS BIGINT) % 2147483648) * 2654435761 + {seed}) % 4294967296"
-    return f"(SELECT ((f + (f >> 15)) * 1103515245 + 12345) % 4294967296 FROM (SELECT CAST({first} AS BIGINT) AS f))"
-
-
-def mix_flat(x: str, seed: str | int) -> str:
-    """As ``mix`` without a subquery, for use inside windows."""
-    first = f"CAST(((CAST({x} AS BIGINT) % 2147483648) * 2654435761 + {seed}) % 4294967296 AS BIGINT)"
-    return f"((({first} + ({first} >> 15)) * 1103515245 + 12345) % 4294967296)"
-
-
-def uniform(*keys: str, seed: int = 42) -> str:
-    state: str | int = seed
-    for key in keys:
-        state = mix_flat(key, state)
-    return f"(CAST({state} AS DOUBLE) / 4294967296.0)"
-
-
-def normal(*keys: str, seed: int = 42) -> str:
-    return f"(sqrt(-2.0 * ln(1.0 - {uniform(*keys, seed=seed)})) * cos(2 * pi() * {uniform(*keys, seed=seed + 7919)}))"
+def h32(*parts: str | int) -> str:
+    """The sampling hash of whole-number parts."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(str(p) for p in parts)})), 1, 8) AS BIGINT)"
 
 
 def distance_ctes(source: str, out: str) -> str:

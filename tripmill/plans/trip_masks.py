@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripmill.functions.scalar import mix32, rounded
+from tripmill.functions.scalar import hash32, rounded
 from tripmill.operators import extract, masks, motion, resample
 from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
 from tripmill.plans.motion_profile import segments_of
-from tripmill.plans.sql import chain, mix_flat, r
+from tripmill.plans.sql import chain, h32, r
 from tripmill.plans.trips import good_steps, steps_of
 from tripmill.schema import FEATURES, MODE_CODES, SENSOR_TO_5, lookup
 
@@ -124,9 +124,10 @@ def even_features(spark, sf):
     return resample.resample_linear(rows.join(sizes, SEG), SEG, "pos", FEATURES, "n_points")
 
 
-@query("resample_linear", chain("good", f", {CLEAN_ROWS} SELECT trj_id, seg_id, pos, " + ", ".join(f"{r(c, 10)} AS {c}" for c in FEATURES) + " FROM even"))
+@query("resample_linear", chain("good", f", {CLEAN_ROWS} SELECT trj_id, seg_id, pos, " + ", ".join(f"floor({c} * 1000000 + 0.37) / 1000000 AS {c}" for c in FEATURES) + " FROM even"))
 def _resample(spark, sf):
-    return even_features(spark, sf).select(*SEG, "pos", *[rounded(F.col(c), 10).alias(c) for c in FEATURES])
+    """Compared on a grid that is off the ties which even steps between short decimals fall on."""
+    return even_features(spark, sf).select(*SEG, "pos", *[(F.floor(F.col(c) * 1000000 + 0.37) / 1000000).alias(c) for c in FEATURES])
 
 
 @query("resample_cubic")
@@ -197,8 +198,8 @@ def _extreme_mask(spark, sf):
     return masks.extreme_mask(rows, keys, "pos", "x", LENGTH).select(*keys, "pos", "mask")
 
 
-H1 = mix_flat("pos", mix_flat("seg_id", mix_flat("trj_id", 42)))
-H2 = mix_flat("pos", mix_flat("seg_id", mix_flat("trj_id", 43)))
+H1 = h32(42, "trj_id", "seg_id", "pos")
+H2 = h32(43, "trj_id", "seg_id", "pos")
 
 
 @query("random_mask", chain("segs", f""",
@@ -214,7 +215,7 @@ def _random_mask(spark, sf):
     seg = segments_of(fx.points(spark, sf)).select(*SEG, "pos")
 
     def draw(seed):
-        return mix32(F.col("pos"), mix32(F.col("seg_id"), mix32(F.col("trj_id"), seed)))
+        return hash32(seed, F.col("trj_id"), F.col("seg_id"), F.col("pos"))
 
     return masks.random_mask(seg, SEG, "pos", draw(42), draw(43))
 

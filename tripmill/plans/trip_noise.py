@@ -10,7 +10,7 @@ from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
 from tripmill.plans.motion_profile import segments_of
 from tripmill.session import stage
-from tripmill.plans.sql import case, chain, distance_ctes, mix_flat, r, steps
+from tripmill.plans.sql import case, chain, distance_ctes, h32, r, steps
 from tripmill.plans.trips import steps_of
 from tripmill.schema import DRIFT_FACTOR
 
@@ -29,10 +29,7 @@ base AS (SELECT trj_id, seg_id, label, t, lat, lon, CAST(row_number() OVER (PART
 
 
 def u(seed: int, purpose: int, *keys: str) -> str:
-    state: str | int = seed + purpose * 7919
-    for k in keys:
-        state = mix_flat(k, state)
-    return f"(CAST({state} AS DOUBLE) / 4294967296.0)"
+    return f"(CAST({h32(seed, purpose, *keys)} AS DOUBLE) / 4294967296.0)"
 
 
 def gauss(seed: int, purpose: int, *keys: str) -> str:
@@ -40,7 +37,7 @@ def gauss(seed: int, purpose: int, *keys: str) -> str:
 
 
 def picked(intensity: float, seed: int) -> str:
-    h = mix_flat("seg_id", mix_flat("trj_id", mix_flat(str(seed), 0)))
+    h = h32(0, seed, "trj_id", "seg_id")
     return f""",
 heads AS (SELECT trj_id, seg_id, row_number() OVER (ORDER BY {h}, trj_id, seg_id) AS rk, count(*) OVER () AS c FROM base WHERE pos = 0),
 pick AS (SELECT trj_id, seg_id FROM heads WHERE rk <= floor(c * CAST({intensity} AS DOUBLE)))"""
@@ -70,15 +67,15 @@ sc AS (SELECT *, avg(CASE WHEN lat2 IS NOT NULL THEN d END) OVER v * (0.05 + 0.3
   FROM ds WINDOW v AS (PARTITION BY trj_id, seg_id)),
 ar AS (SELECT trj_id, seg_id, pos, ea AS xa, eo AS xo FROM sc WHERE pos = 0
   UNION ALL SELECT s.trj_id, s.seg_id, s.pos, 0.7 * a.xa + s.ea, 0.7 * a.xo + s.eo FROM ar a JOIN sc s ON s.trj_id = a.trj_id AND s.seg_id = a.seg_id AND s.pos = a.pos + 1)
-SELECT s.trj_id, s.seg_id, s.pos, {r("CASE WHEN p.trj_id IS NULL THEN lat ELSE lat + xa * sg END", 6)} AS lat,
-  {r("CASE WHEN p.trj_id IS NULL THEN lon ELSE lon + xo * sg / shrink END", 6)} AS lon
+SELECT s.trj_id, s.seg_id, s.pos, {r("CASE WHEN p.trj_id IS NULL THEN lat ELSE lat + xa * sg END", 8)} AS lat,
+  {r("CASE WHEN p.trj_id IS NULL THEN lon ELSE lon + xo * sg / shrink END", 8)} AS lon
 FROM sc s JOIN ar USING (trj_id, seg_id, pos) LEFT JOIN pick p ON p.trj_id = s.trj_id AND p.seg_id = s.seg_id"""
 
 
 @query("inject_drift", chain("steps", CLEAN + DRIFTED))
 def _drift(spark, sf):
     out = noise.add_drift(clean_segments(spark, sf), 0.3, 42)
-    return out.select(*SEG, "pos", rounded(F.col("lat"), 6).alias("lat"), rounded(F.col("lon"), 6).alias("lon"))
+    return out.select(*SEG, "pos", rounded(F.col("lat"), 8).alias("lat"), rounded(F.col("lon"), 8).alias("lon"))
 
 
 @query("inject_missing")
