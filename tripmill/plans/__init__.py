@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CATALOGUE = ["trips", "trip_masks", "trip_noise"]
+CATALOGUE = ["trips", "trip_masks", "trip_noise", "scores"]
 
 
 def register_all() -> None:
