@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CATALOGUE = ["trips", "trip_masks", "trip_noise", "scores"]
+CATALOGUE = ["trips", "trip_masks", "trip_noise", "datasets", "scores"]
 
 
 def register_all() -> None:
