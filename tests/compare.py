@@ -13,7 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 DUCK_TYPES = {
     "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
-    "DOUBLE[]": "array<double>", "INTEGER[]": "array<int>", "VARCHAR[]": "array<string>", "BIGINT[]": "array<bigint>",
+    "DOUBLE[]": "array<double>", "INTEGER[]": "array<int>", "VARCHAR[]": "array<string>", "BIGINT[]": "array<bigint>", "BOOLEAN[]": "array<boolean>",
+    "BOOLEAN[][]": "array<array<boolean>>", "DOUBLE[][]": "array<array<double>>",
 }
 
 

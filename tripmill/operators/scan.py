@@ -90,12 +90,12 @@ def hash_rank(
     parts = [seed, *([salt] if salt is not None else []), *[F.col(c) for c in ids]]
     keyed = df.withColumn("_h", hash32(*parts)).withColumn("_blk", F.shiftright("_h", 32 - RANK_BITS))
     inside = Window.partitionBy(*strata, "_blk").orderBy("_h", *ids)
-    local = keyed.withColumn("_r", F.row_number().over(inside))
+    local = keyed.withColumn("_in_block", F.row_number().over(inside))
     count = F.count(F.lit(1))
     ranked = carry_over(
         local, strata, "_blk", sums={"_before": count}, totals={total: count} if total else None
     )
-    return ranked.withColumn(rank, F.col("_before") + F.col("_r")).drop("_h", "_blk", "_r", "_before")
+    return ranked.withColumn(rank, F.col("_before") + F.col("_in_block")).drop("_h", "_blk", "_in_block", "_before")
 
 
 def ordered_rank(
@@ -113,7 +113,7 @@ def ordered_rank(
     ordered = stage(df.orderBy(*keys, *order).withColumn("_blk", F.spark_partition_id()), "ordered")
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ordered.select(
-        "*", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*order)).alias("_r"),
+        "*", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*order)).alias("_in_block"),
         *[F.sum(c).over(inside).alias(f"_run_{n}") for n, c in running.items()],
     )
     count = F.count(F.lit(1))
@@ -124,8 +124,8 @@ def ordered_rank(
     )
     for name in running:
         ranked = ranked.withColumn(name, F.col(f"_pre_{name}") + F.col(f"_run_{name}"))
-    temporary = ["_blk", "_r", "_before", *[f"_{p}_{n}" for n in running for p in ("pre", "run")]]
-    return ranked.withColumn(rank, F.col("_before") + F.col("_r")).drop(*temporary)
+    temporary = ["_blk", "_in_block", "_before", *[f"_{p}_{n}" for n in running for p in ("pre", "run")]]
+    return ranked.withColumn(rank, F.col("_before") + F.col("_in_block")).drop(*temporary)
 
 
 def exact_percentiles(
