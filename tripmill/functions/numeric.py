@@ -34,9 +34,11 @@ def local_peaks(grid: np.ndarray, distance: int = 1, relative: float | None = No
     found = np.argwhere((grid == top) & (grid > floor))
     found = found[np.argsort(-grid[tuple(found.T)], kind="stable")]
     kept: list[np.ndarray] = []
+    taken = np.zeros(grid.shape, dtype=bool)
     for cell in found:
-        if all(np.abs(cell - other).max() >= distance for other in kept):
+        if not taken[tuple(cell)]:
             kept.append(cell)
+            taken[tuple(slice(max(0, c - distance + 1), c + distance) for c in cell)] = True
     return np.array(kept, dtype=int).reshape(-1, grid.ndim)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -24,6 +24,12 @@ def packed_points(segments: DataFrame, keys: list[str], columns: list[str], orde
     return segments.groupBy(*keys).agg(rows.alias("s")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in [order, *columns]])
 
 
+def spread(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """Packed segments over all shuffle partitions: they are few bytes but much work, so small partitions must not be merged."""
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(n, *keys)
+
+
 def unpacked_mask(packed: DataFrame, keys: list[str], mask: Column, order: str = "pos") -> DataFrame:
     zipped = F.arrays_zip(F.col(order), mask.alias("mask"))
     return packed.select(*keys, F.inline(zipped).alias(order, "mask"))
@@ -36,7 +42,7 @@ def density_mask(segments: DataFrame, keys: list[str], length: int = 2, bandwidt
     def peaks(lat: pd.Series, lon: pd.Series) -> pd.Series:
         return pd.Series([numeric.density_mask(np.asarray(a), np.asarray(b), length, bandwidth, kernel) for a, b in zip(lat, lon)])
 
-    packed = packed_points(segments, keys, ["lat", "lon"]).repartition(*keys)
+    packed = spread(packed_points(segments, keys, ["lat", "lon"]), keys)
     return unpacked_mask(packed, keys, peaks("lat", "lon"))
 
 
@@ -51,7 +57,7 @@ def change_mask(rows: DataFrame, keys: list[str], value: str, length: int = 2, p
 
         return pd.Series([one(v) for v in series])
 
-    return unpacked_mask(packed_points(rows, keys, [value], order), keys, changes(value), order)
+    return unpacked_mask(spread(packed_points(rows, keys, [value], order), keys), keys, changes(value), order)
 
 
 def change_mask_fixed(rows: DataFrame, keys: list[str], value: str, ratio: float = 0.15, length: int = 3, order: str = "pos") -> DataFrame:
@@ -65,7 +71,7 @@ def change_mask_fixed(rows: DataFrame, keys: list[str], value: str, ratio: float
 
         return pd.Series([one(v) for v in series])
 
-    return unpacked_mask(packed_points(rows, keys, [value], order), keys, changes(value), order)
+    return unpacked_mask(spread(packed_points(rows, keys, [value], order), keys), keys, changes(value), order)
 
 
 @pandas_udf(T.ArrayType(T.DoubleType()))
@@ -91,8 +97,6 @@ def point_density(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 def gaussian_mask(segments: DataFrame, keys: list[str], length: int = 2) -> DataFrame:
     """Mask around the maxima of the points' own density; everything where it has none."""
-    from pyspark.sql import Window
-
     marked = masks.mark_extremes(point_density(segments, keys), keys, "pos", "density").withColumn(
         "_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     around = masks.window_mask(marked, keys, "pos", "extreme", length)

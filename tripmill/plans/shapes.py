@@ -35,8 +35,8 @@ def _change_fixed(spark, sf):
     return sm.change_mask_fixed(good_steps(spark, sf), SEG, "velocity", 0.15, 3)
 
 
-OWN = chain("segs", """, c AS (SELECT trj_id, seg_id, count(*) AS n, (var_samp(lat) + 1e-10) * pow(count(*), -1.0 / 3) AS a, (var_samp(lon) + 1e-10) * pow(count(*), -1.0 / 3) AS b,
-  covar_samp(lat, lon) * pow(count(*), -1.0 / 3) AS x FROM segs GROUP BY trj_id, seg_id),
+OWN = chain("segs", """, c AS (SELECT trj_id, seg_id, count(*) AS n, (coalesce(var_samp(lat), 0) + 1e-10) * pow(count(*), -1.0 / 3) AS a, (coalesce(var_samp(lon), 0) + 1e-10) * pow(count(*), -1.0 / 3) AS b,
+  coalesce(covar_samp(lat, lon), 0) * pow(count(*), -1.0 / 3) AS x FROM segs GROUP BY trj_id, seg_id),
 d AS (SELECT p.trj_id, p.seg_id, p.pos, sum(exp(-0.5 * (b * pow(p.lat - q.lat, 2) - 2 * x * (p.lat - q.lat) * (p.lon - q.lon) + a * pow(p.lon - q.lon, 2)) / (a * b - x * x)))
   / (any_value(c.n) * 2 * pi() * sqrt(any_value(a * b - x * x))) AS density
   FROM segs p JOIN segs q USING (trj_id, seg_id) JOIN c USING (trj_id, seg_id) GROUP BY p.trj_id, p.seg_id, p.pos)""")
@@ -94,17 +94,17 @@ def _scores(spark, sf):
 
 @query("kde_grid", chain("segs", f""", b AS (SELECT trj_id, seg_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1, count(*) AS n FROM segs GROUP BY ALL),
 g AS (SELECT *, x0 + i * (x1 - x0) / 7 AS x, y0 + j * (y1 - y0) / 7 AS y, i, j FROM b, range(8) a(i), range(8) c(j))
-SELECT g.trj_id, g.seg_id, {r('any_value(x)', 7)} AS x, {r('any_value(y)', 7)} AS y, {r('sum(exp(-0.5 * (pow((x - lon) / 0.001, 2) + pow((y - lat) / 0.001, 2)))) / any_value(n) / (2 * pi() * 0.000001)', 2)} AS density
+SELECT g.trj_id, g.seg_id, {r('any_value(x)', 9)} AS x, {r('any_value(y)', 9)} AS y, {r('sum(exp(-0.5 * (pow((x - lon) / 0.001, 2) + pow((y - lat) / 0.001, 2)))) / any_value(n) / (2 * pi() * 0.000001)', 2)} AS density
 FROM g JOIN segs s USING (trj_id, seg_id) GROUP BY g.trj_id, g.seg_id, i, j"""))
 def _grid(spark, sf):
     out = de.kde_grid(segs(spark, sf), SEG, 0.001, 8)
-    return out.select(*SEG, rounded(F.col("x"), 7).alias("x"), rounded(F.col("y"), 7).alias("y"), rounded(F.col("density"), 2).alias("density"))
+    return out.select(*SEG, rounded(F.col("x"), 9).alias("x"), rounded(F.col("y"), 9).alias("y"), rounded(F.col("density"), 2).alias("density"))
 
 
 @query("radius_density_peak", chain("segs", f""", b AS (SELECT trj_id, seg_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM segs GROUP BY ALL),
 g AS (SELECT *, least(x1 - x0, y1 - y0) / 2 AS rad, x0 + i * (x1 - x0) / 9 AS x, y0 + j * (y1 - y0) / 9 AS y, i, j FROM b, range(10) a(i), range(10) c(j)),
 z AS (SELECT g.trj_id, g.seg_id, sum(pow(exp(-3 * sqrt(pow(x - lon, 2) + pow(y - lat, 2)) / rad), 2) / (2 * pi()) / 0.4) AS d FROM g JOIN segs s USING (trj_id, seg_id) GROUP BY g.trj_id, g.seg_id, i, j)
-SELECT trj_id, seg_id, {r('max(d)', 5)} AS density FROM z GROUP BY trj_id, seg_id"""))
+SELECT trj_id, seg_id, {r('CASE WHEN isnan(max(d)) THEN NULL ELSE max(d) END', 5)} AS density FROM z GROUP BY trj_id, seg_id"""))
 def _radius(spark, sf):
     return de.radius_density_peak(segs(spark, sf), SEG, 10).select(*SEG, rounded(F.col("density"), 5).alias("density"))
 
