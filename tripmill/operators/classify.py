@@ -135,15 +135,15 @@ def load_models(names: list[str], folder: str) -> dict[str, PipelineModel]:
     return {name: PipelineModel.load(f"{folder}/{name}") for name in names}
 
 
-def score_batches(packed: DataFrame, make_predict, x: str = "x", batch_size: int = 256) -> DataFrame:
+def score_batches(packed: DataFrame, make_predict, shape: list[int], x: str = "x", batch_size: int = 256) -> DataFrame:
     """Class scores of a user-supplied model over packed samples, then softmax and class.
 
     ``make_predict`` builds the model once per task and returns a function from a
-    batch of arrays to a matrix of scores.
+    batch of arrays, each of ``shape``, to a matrix of scores.
     """
     from tripmill.functions.scalar import argmax, softmax
 
-    scorer = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    scorer = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[shape])
     scored = packed.withColumn("scores", scorer(F.col(x)))
     return scored.withColumn("probs", softmax(F.col("scores"))).withColumn("y_pred", argmax(F.col("scores")))
 

@@ -138,18 +138,18 @@ def fixed_network():
 
     def predict(x: np.ndarray) -> np.ndarray:
         means, tops = x.mean(axis=1), x.max(axis=1)
-        return np.stack([c - np.abs(means / 5.0 - c) + 0.01 * tops for c in range(5)], axis=1)
+        return np.stack([c * means - 0.37 * c * c + 0.01 * tops for c in range(5)], axis=1)
 
     return predict
 
 
 @query("score_batches", chain("good", f""", pk AS (SELECT trj_id, seg_id, list(round(velocity, 3) ORDER BY pos)[1:40] AS x FROM good WHERE accepted GROUP BY ALL),
 m AS (SELECT trj_id, seg_id, list_sum(x) / 40 AS mean, greatest(list_max(x), CASE WHEN len(x) < 40 THEN 0.0 ELSE list_max(x) END) AS top FROM pk),
-s AS (SELECT trj_id, seg_id, list_transform(range(5), lambda c: c - abs(mean / 5.0 - c) + 0.01 * top) AS z FROM m)
+s AS (SELECT trj_id, seg_id, list_transform(range(5), lambda c: c * mean - 0.37 * c * c + 0.01 * top) AS z FROM m)
 SELECT trj_id, seg_id, CAST(list_position(z, list_max(z)) - 1 AS INT) AS y_pred, {r('z[5]', 6)} AS last_score FROM s"""))
 def _score(spark, sf):
     rows = clean_steps(spark, sf).withColumn("velocity", F.round("velocity", 3))
     packed = prepare.pad_batch(prepare.pack(rows, SEG, ["velocity"]), 40, 1)
     flat = packed.select(*SEG, F.transform("x", lambda v: v[0]).alias("x"))
-    out = cl.score_batches(flat, fixed_network)
+    out = cl.score_batches(flat, fixed_network, [40])
     return out.select(*SEG, "y_pred", rounded(F.get("scores", F.lit(4)), 6).alias("last_score"))
