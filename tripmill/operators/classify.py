@@ -164,8 +164,9 @@ def nearest_neighbours(
     Training rows belong to the cell of their nearest pivot. Cell sizes and radii
     bound each query's k-th distance, and a query visits only cells that can
     hold something closer. Cells are cut in blocks of bounded size, and so are
-    the queries that visit them, so no task holds a whole cell. A block gives at
-    most k rows per query. The driver sees the pivots and one row per cell.
+    the queries that visit each cell, so no task holds a whole cell. A block
+    gives at most k rows per query. The driver sees the pivots and two numbers
+    per cell.
     """
     chosen = hash_rank(train.select("id", "x"), ["id"], seed).where(F.col("rnk") <= pivots)
     centres = np.array([list(r["x"]) for r in chosen.orderBy("rnk").collect()])
@@ -181,8 +182,6 @@ def nearest_neighbours(
     radius, size = np.array([c["radius"] for c in cells]), np.array([c["n"] for c in cells])
     pieces = np.maximum(1, -(-size // block)).astype(int)
     piece_of = F.create_map(*[F.lit(int(v)) for pair in zip(ids, pieces) for v in pair])
-    total = queries.count()
-    shares = max(1, -(-total // block))
 
     @pandas_udf(T.ArrayType(T.IntegerType()))
     def visits(x: pd.Series) -> pd.Series:
@@ -194,12 +193,18 @@ def nearest_neighbours(
         reach = d - radius <= bound * (1 + 1e-9)
         return pd.Series([ids[row].tolist() for row in reach])
 
-    held = near.select("id", "x", "label", "cell", F.pmod(hash32(seed, F.col("id")), piece_of[F.col("cell")]).cast("int").alias("piece"))
-    held = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    asked = queries.select(
-        F.col("id").alias("qid"), F.col("x").alias("qx"), F.pmod(hash32(seed + 1, F.col("id")), F.lit(shares)).cast("int").alias("share"),
-        F.explode(visits("x")).alias("cell"))
-    asked = asked.withColumn("piece", F.explode(F.sequence(F.lit(0), piece_of[F.col("cell")] - 1)))
+    asked = queries.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.explode(visits("x")).alias("cell"))
+    loads = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+    share_of = F.create_map(*[F.lit(int(v)) for i in ids for v in (i, max(1, -(-loads.get(int(i), 0) // block)))])
+
+    def part(key: str, salt: int, parts: Column) -> Column:
+        return F.pmod(hash32(salt, F.col(key)), parts).cast("int")
+
+    cell = F.col("cell")
+    held = near.select("id", "x", "label", "cell", part("id", seed, piece_of[cell]).alias("piece")).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), share_of[cell] - 1)))
+    asked = asked.withColumn("share", part("qid", seed + 1, share_of[cell])).withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), piece_of[cell] - 1)))
 
     schema = "qid long, id long, label int, distance double"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.operators.scan import BLOCK, carry_over
+from tripmill.operators.scan import BLOCK, carry_over, ordered_blocks, ordered_rank
 
 DAY = 86400.0
 
@@ -33,27 +33,24 @@ def interval_trips(
     return joined.select(*(keep or [c for c in joined.columns if c != "_bucket"]))
 
 
-def number_points(points: DataFrame, keys: list[str], order: list[str], width: float = DAY, block: int = BLOCK) -> DataFrame:
+def number_points(points: DataFrame, keys: list[str], order: list[str], block: int = BLOCK) -> DataFrame:
     """Add ``k``: 0, 1, 2, ... in time order within each trip.
 
-    Trips larger than a block are numbered per time bucket, with the count of
-    earlier buckets carried over.
+    Where a trip is larger than a block, numbers come from a sort over the cluster.
     """
     if group_fits(points, keys, block):
         return points.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
-    w = Window.partitionBy(*keys, "blk").orderBy(*order)
-    local = points.withColumn("blk", F.floor(F.col("t") / width)).withColumn("_r", F.row_number().over(w))
-    out = carry_over(local, keys, sums={"_before": F.count(F.lit(1))})
-    return out.withColumn("k", F.col("_before") + F.col("_r") - 1).drop("blk", "_r", "_before")
+    return ordered_rank(points, keys, order, rank="k").withColumn("k", (F.col("k") - 1).cast("bigint"))
 
 
 def asof_label(
-    points: DataFrame, labels: DataFrame, key: str, width: float = DAY, block: int = BLOCK, missing: int | None = None
+    points: DataFrame, labels: DataFrame, key: str, block: int = BLOCK, missing: int | None = None
 ) -> DataFrame:
     """The label of the latest interval start at or before each point, if the point lies before its end.
 
     Points and labels are merged in time order and the last label is carried
-    forward, across time buckets where a key has more rows than a block.
+    forward, across the blocks of a sorted table where a key has more rows than
+    a block.
     """
     columns = points.columns
     label_rows = labels.select(
@@ -68,7 +65,7 @@ def asof_label(
         seen = merged.withColumn("_seen", F.last("_l", ignorenulls=True).over(w))
     else:
         w = Window.partitionBy(key, "blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        local = merged.withColumn("blk", F.floor(F.col("t") / width)).withColumn("_here", F.last("_l", ignorenulls=True).over(w))
+        local = ordered_blocks(merged, [key], order).withColumn("_here", F.last("_l", ignorenulls=True).over(w))
         carried = carry_over(local, [key], lasts={"_earlier": F.max("_l")})
         seen = carried.withColumn("_seen", F.coalesce("_here", "_earlier"))
     found = F.when(F.col("t") < F.col("_seen.end_time"), F.col("_seen.label"))
@@ -78,7 +75,7 @@ def asof_label(
 
 
 def label_runs(
-    samples: DataFrame, key: str, order: list[str], width: float = DAY, block: int = BLOCK
+    samples: DataFrame, key: str, order: list[str], block: int = BLOCK
 ) -> DataFrame:
     """Runs of equal labels in time order: number, label, first and last time, length.
 
@@ -92,7 +89,7 @@ def label_runs(
         )
     else:
         w = Window.partitionBy(key, "blk").orderBy(*order)
-        local = samples.withColumn("blk", F.floor(F.col("t") / width)).withColumn("_lag", F.lag("label").over(w))
+        local = ordered_blocks(samples, [key], order).withColumn("_lag", F.lag("label").over(w))
         last = F.max_by("label", F.struct(*order))
         seen = carry_over(local, [key], lasts={"_earlier": last}).withColumn(
             "_new", F.when(F.col("label") == F.coalesce("_lag", "_earlier"), 0).otherwise(1)

@@ -98,23 +98,29 @@ def hash_rank(
     return ranked.withColumn(rank, F.col("_before") + F.col("_in_block")).drop("_h", "_blk", "_in_block", "_before")
 
 
+def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str = "blk") -> DataFrame:
+    """Rows sorted over the cluster by key and order, with the partition they fell in as their block.
+
+    A range partitioning cuts large groups wherever their rows lie, so blocks
+    are even in size whatever the skew, if ``order`` has no large ties. The
+    sorted rows are staged once: block numbers must not change between a
+    summary and the join back to it.
+    """
+    return stage(df.orderBy(*keys, *order).withColumn(block, F.spark_partition_id()), "ordered")
+
+
 def ordered_rank(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "rnk",
     running: dict[str, Column] | None = None, total: str | None = None,
 ) -> DataFrame:
-    """Exact 1-based rank by value per key, with running sums in that order.
-
-    The rows are range-partitioned by key and value, so the blocks are the
-    partitions of a global sort. The sorted rows are staged once: block numbers
-    must not change between the summary and the join back to it.
-    """
+    """Exact 1-based rank by value per key, with running sums in that order."""
     running = running or {}
     keys = list(keys)
-    ordered = stage(df.orderBy(*keys, *order).withColumn("_blk", F.spark_partition_id()), "ordered")
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ordered.select(
-        "*", F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*order)).alias("_in_block"),
-        *[F.sum(c).over(inside).alias(f"_run_{n}") for n, c in running.items()],
+    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = ordered_blocks(df, keys, order, "_blk").select(
+        "*", F.row_number().over(inside).alias("_in_block"),
+        *[F.sum(c).over(upto).alias(f"_run_{n}") for n, c in running.items()],
     )
     count = F.count(F.lit(1))
     ranked = carry_over(

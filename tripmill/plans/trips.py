@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripmill.functions import geo, scalar
 from tripmill.functions.scalar import rounded
 from tripmill.operators import clean, motion, segment
+from tripmill.operators.scan import with_neighbours
 from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
 from tripmill.plans.motion_profile import motion_profile, segments_of
@@ -35,18 +36,18 @@ def _profile(spark, sf):
 
 
 PAIRS = chain("points", f""",
-pair AS (SELECT trj_id, k, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM points
-  WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 WINDOW w AS (PARTITION BY trj_id ORDER BY k)),
-open AS (SELECT * FROM pair WHERE lat2 IS NOT NULL), {distance_ctes("open", "far")}
+pair AS (SELECT trj_id, k, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM points WINDOW w AS (PARTITION BY trj_id ORDER BY k)),
+open AS (SELECT * FROM pair WHERE abs(lat) <= 90 AND abs(lat2) <= 90), {distance_ctes("open", "far")}
 """)
 
 
 def _pairs(spark, sf):
-    """Each point and its successor: a self-join on the place would need dense numbers, so a lead in the trip."""
-    p = clean.coordinate_filter(fx.points(spark, sf))
-    w = Window.partitionBy("trj_id").orderBy("k")
-    q = p.select("trj_id", "k", "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"))
-    return q.where(F.col("lat2").isNotNull())
+    """Each point and its successor, both in range, in blocks of places that share their edges."""
+    near = with_neighbours(fx.points(spark, sf), "k", before=0, after=1)
+    w = Window.partitionBy("trj_id", "blk").orderBy("k")
+    q = near.select("trj_id", "k", "own", "lat", "lon", F.lead("lat").over(w).alias("lat2"), F.lead("lon").over(w).alias("lon2"))
+    both = geo.in_range(F.col("lat"), F.col("lon")) & geo.in_range(F.col("lat2"), F.col("lon2"))
+    return q.where(F.col("own") & both)
 
 
 @query("geodesic_step", PAIRS + " SELECT trj_id, k, round(d, 4) AS distance FROM far")
@@ -104,9 +105,10 @@ def _min_points(spark, sf):
 @query("time_steps", chain("points", """ SELECT * FROM (SELECT trj_id, k, t - lag(t) OVER (PARTITION BY trj_id ORDER BY k) AS delta_t
   FROM points) WHERE delta_t IS NOT NULL"""))
 def _time_steps(spark, sf):
-    w = Window.partitionBy("trj_id").orderBy("k")
-    q = fx.points(spark, sf).select("trj_id", "k", (F.col("t") - F.lag("t").over(w)).alias("delta_t"))
-    return q.where(F.col("delta_t").isNotNull())
+    near = with_neighbours(fx.points(spark, sf), "k", before=1, after=0)
+    w = Window.partitionBy("trj_id", "blk").orderBy("k")
+    q = near.select("trj_id", "k", "own", (F.col("t") - F.lag("t").over(w)).alias("delta_t"))
+    return q.where(F.col("own") & F.col("delta_t").isNotNull()).drop("own")
 
 
 @query("stay_gap_split", chain("segs", " SELECT trj_id, k, CAST(stay_id AS BIGINT) AS stay_id, CAST(start AS BIGINT) AS start, CAST(place - start AS BIGINT) AS pos FROM parts"))
