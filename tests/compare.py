@@ -69,7 +69,8 @@ if __name__ == "__main__":
 
     sf = sys.argv[1]
     only = sys.argv[2:]
-    spark = local_session(8)
+    conf = dict(pair.split("=", 1) for pair in os.environ.get("COMPARE_CONF", "").split(",") if pair)
+    spark = local_session(8, **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
