@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CATALOGUE = ["trips", "trip_masks", "shapes", "trip_noise", "datasets", "scores", "models", "files"]
+CATALOGUE = ["trips", "trip_masks", "shapes", "trip_noise", "datasets", "scores", "models", "files", "tables"]
 
 
 def register_all() -> None:
