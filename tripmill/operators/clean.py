@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmill.functions.geo import in_range
-from tripmill.operators.scan import BLOCK, exact_percentiles, with_neighbours
+from tripmill.operators.scan import BLOCK, exact_percentiles, row_count, with_neighbours
 from tripmill.schema import MIN_POINTS
 
 
@@ -20,19 +20,21 @@ def longest_group(points: DataFrame) -> int:
 
 
 def at_least(
-    df: DataFrame, keys: list[str], minimum: int = MIN_POINTS, longest: int | None = None, block: int = BLOCK
+    df: DataFrame, keys: list[str], minimum: int = MIN_POINTS, longest: int | None = None, block: int = BLOCK,
+    shuffled: bool = False,
 ) -> DataFrame:
     """Keep the groups of at least ``minimum`` rows.
 
     Groups known to hold at most ``block`` rows are counted in a window, which
     shares their partitioning. Otherwise counts are combined before the
     shuffle, and a hot group is one row on the small side of a semi-join that
-    AQE may split on the other side.
+    AQE may split on the other side. ``shuffled`` says that ``df`` comes out of
+    a shuffle, which the count should then share.
     """
     count = F.count(F.lit(1))
     if longest is not None and longest <= block:
         return df.withColumn("_n", count.over(Window.partitionBy(*keys))).where(F.col("_n") >= minimum).drop("_n")
-    kept = df.groupBy(*keys).agg(count.alias("_n")).where(F.col("_n") >= minimum).select(*keys)
+    kept = df.groupBy(*keys).agg((row_count(df.columns) if shuffled else count).alias("_n")).where(F.col("_n") >= minimum).select(*keys)
     return df.join(kept, keys, "left_semi")
 
 
@@ -85,7 +87,7 @@ def valid_points(
     else:
         per_block = local.groupBy("trj_id", "blk").agg(
             F.sum("_flip").alias("_f"), F.max_by("_mark", "k").alias("_m"),
-            F.sum(F.hash(*points.columns) * 0 + 1).alias("_rows"),  # a count that reads the same columns, so the shuffle is shared
+            row_count(points.columns).alias("_rows"),
         )
         blocks = Window.partitionBy("trj_id").orderBy("blk")
         earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +100,7 @@ def valid_points(
         mark = F.coalesce(F.col("_mark") - F.col("_f_before"), F.col("_mark_before"))
         dropped = F.pmod(F.col("_f_before") + F.col("_flips") + mark, F.lit(2)) == 1
     kept = local.where((F.col("_n") >= minimum) & ~dropped & ~bad_base).select(*points.columns)
-    return at_least(kept, ["trj_id"], minimum, longest, block)
+    return at_least(kept, ["trj_id"], minimum, longest, block, shuffled=True)
 
 
 def percentile_trim(points: DataFrame, minimum: int = MIN_POINTS, low: float = 0.01, high: float = 0.99, longest: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmill.operators.clean import longest_group
-from tripmill.operators.scan import BLOCK
+from tripmill.operators.scan import BLOCK, row_count
 from tripmill.schema import MAX_SEGMENT, MIN_POINTS, STAY_SECONDS
 
 
@@ -27,7 +27,7 @@ def mark_stays(
     group = keys if fits else [*keys, "blk"]
     w = Window.partitionBy(*group).orderBy("k")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    source = points if fits else points.withColumn("blk", F.floor(F.col("k") / block))
+    source = points if fits else points.withColumn("blk", F.floor(F.col("k") / block)).where(F.col("blk").isNotNull())
     local = (
         source
         .withColumn("_row", F.row_number().over(w) - 1)
@@ -39,7 +39,7 @@ def mark_stays(
         begin = F.coalesce(F.col("_cut_row"), F.lit(0)).cast("bigint")
         return local.select(*points.columns, F.col("_cuts").alias("stay_id"), begin.alias("start"), (F.col("_row") - begin).alias("pos"))
     per_block = local.groupBy(*keys, "blk").agg(
-        F.sum(F.hash(*points.columns) * 0 + 1).alias("_n"),  # reads the same columns, so the shuffle is shared
+        row_count(points.columns).alias("_n"),
         F.min_by("t", "k").alias("_first_t"), F.max_by("t", "k").alias("_last_t"),
         F.max("_cuts").alias("_inner"), F.max("_cut_row").alias("_inner_row"),
     )
