@@ -81,12 +81,14 @@ def add_drift(
     step = geodesic_m(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w))
     ids = [k for k in keys if k not in (config or [])]
     scale = F.avg("_step").over(whole) * (0.05 + _lit(intensity) * 0.10) * lookup(DRIFT_FACTOR, F.col("label"), 1.0)
-    rows = rows.withColumn("_step", step).withColumn("_sigma", scale / METERS_PER_DEGREE)
+    # Steps and draws are evaluated for chosen rows only.
+    rows = rows.withColumn("_step", F.when(F.col("_chosen"), step)).withColumn("_sigma", scale / METERS_PER_DEGREE)
     rows = rows.withColumn("_shrink", F.cos(F.radians(F.avg("lat").over(whole))))
     power = F.pow(F.lit(PHI), F.col("pos"))
     size = F.when(F.col("pos") == 0, 1.0).otherwise(math.sqrt(1 - PHI**2))
     for axis, purpose in (("lat", 10), ("lon", 20)):
-        sum_ = F.sum(normal_draw(seed, *ids, "pos", purpose=purpose) * size / power).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        shock = F.when(F.col("_chosen"), normal_draw(seed, *ids, "pos", purpose=purpose) * size / power)
+        sum_ = F.sum(shock).over(w.rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn(f"_{axis}", sum_ * power * F.col("_sigma"))
     lat = F.least(F.lit(90.0), F.greatest(F.lit(-90.0), F.col("lat") + F.col("_lat")))
     lon = F.least(F.lit(180.0), F.greatest(F.lit(-180.0), F.col("lon") + F.col("_lon") / F.col("_shrink")))
@@ -155,7 +157,8 @@ def add_outliers(
     most = F.least(F.lit(4), F.floor(n / 5) + 1)
     count = F.when(most <= 1, 1).otherwise(1 + F.floor(draw(seed, *ids, purpose=30) * (most - 1)))
     inner = (F.col("pos") >= 1) & (F.col("pos") <= n - 2)
-    rows = rows.withColumn("_inner", inner).withColumn("_u", draw(seed, *ids, "pos", purpose=31))
+    rows = rows.withColumn("_inner", inner).withColumn(
+        "_u", F.when(F.col("_chosen") & inner, draw(seed, *ids, "pos", purpose=31)))
     rows = rows.withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_inner"), "_u", "pos")))
     order = w.orderBy("pos")
     for c in ("lat", "lon"):
