@@ -145,16 +145,17 @@ def ordered_rank(
 
 
 def exact_percentiles(
-    df: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int = 10000
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], accuracy: int = 10000, margin: float | None = None
 ) -> dict[tuple[str, float], float]:
     """The linear-interpolated percentile of each column at each share.
 
     A sketch of bounded size brackets each wanted rank; then only the rows
     inside the bracket are counted by value and ranked, in blocks of equal value
     range, and those below it are counted. Exact, and no task or driver holds
-    the column: the driver sees a few numbers per percentile.
+    the column: the driver sees a few numbers per percentile. Should a bracket
+    miss its rank, all are widened and ranked again.
     """
-    margin = 2.0 / accuracy
+    margin = 2.0 / accuracy if margin is None else margin
     wanted = [(c, s) for c in columns for s in shares]
     sides = [min(1.0, max(0.0, s + side * margin)) for s in shares for side in (-1, 1)]
     sketch = df.agg(
@@ -167,9 +168,10 @@ def exact_percentiles(
     for i, (c, s) in enumerate(wanted):
         lo, hi = (float(sketch[f"q_{c}"][2 * shares.index(s) + side]) for side in (0, 1))
         place = F.floor((F.col(c) - lo) / (hi - lo) * 1024) if hi > lo else F.lit(0).cast("bigint")
+        # Rows below the bracket share one null value in a block of their own.
         candidates.append(F.when(F.col(c) <= hi, F.struct(
-            F.lit(i).alias("i"), F.greatest(F.col(c), F.lit(lo)).alias("v"),
-            F.when(F.col(c) > lo, place).otherwise(0).alias("blk"))))
+            F.lit(i).alias("i"), F.when(F.col(c) >= lo, F.col(c).cast("double")).alias("v"),
+            F.when(F.col(c) >= lo, place).otherwise(-1).alias("blk"))))
         positions.append((sketch[f"n_{c}"] - 1) * s)
     near = (
         df.select(F.explode(F.array_compact(F.array(*candidates))).alias("x")).select("x.*")
@@ -181,9 +183,13 @@ def exact_percentiles(
     picks = []
     for i, position in enumerate(positions):
         low, high = math.floor(position), math.ceil(position)
-        picks += [F.min(F.when((F.col("i") == i) & (through > edge), F.col("v"))) for edge in (low, high)]
+        own = F.col("i") == i
+        picks += [F.min(F.when(own & (through > edge), F.col("v"))) for edge in (low, high)]
+        picks.append(F.max(F.when(own & F.col("v").isNull(), through)) > low)
     found = ranked.agg(*[p.alias(f"p{j}") for j, p in enumerate(picks)]).first()
+    if any(found[3 * i + 1] is None or found[3 * i + 2] for i in range(len(wanted))):
+        return exact_percentiles(df, columns, shares, accuracy, max(margin * 10, 1.0 / accuracy))
     return {
-        key: found[2 * i] + (found[2 * i + 1] - found[2 * i]) * (positions[i] - math.floor(positions[i]))
+        key: found[3 * i] + (found[3 * i + 1] - found[3 * i]) * (positions[i] - math.floor(positions[i]))
         for i, key in enumerate(wanted)
     }
