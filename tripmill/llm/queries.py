@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.llm import language, leaks, packing, quality, recompress, simhash, suffix_dedup, token_counts
+from tripmill.llm import language, leaks, packing, quality, recompress, simhash, sketches, suffix_dedup, token_counts, warc
 from tripmill.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_document_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketches.with_edits(table(spark, sf_dir, "documents"))
+    mine, edited = F.col("sketch"), F.col("edited_sketch")
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", sketches.as_text(mine).alias("fingerprint"),
+        sketches.as_text(edited).alias("edited_fingerprint"), sketches.resemblance(mine, edited).alias("near_edited"),
+        sketches.resemblance(mine, F.col("next_sketch")).alias("near_next"),
+        sketches.containment(mine, edited).alias("contained_in_edited"), sketches.distinct_count(mine).alias("distinct_shingles"))
+
+
+@query("op3_warc")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"))
+    index = warc.read_index(spark, path)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
