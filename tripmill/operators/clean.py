@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmill.functions.geo import in_range
-from tripmill.operators.scan import BLOCK, exact_percentiles, row_count, with_neighbours
+from tripmill.operators.scan import BLOCK, exact_percentiles, row_count, with_key, with_neighbours
 from tripmill.schema import MIN_POINTS
 
 
@@ -15,15 +15,15 @@ def coordinate_filter(points: DataFrame) -> DataFrame:
 
 
 def longest_group(points: DataFrame) -> int:
-    """Rows in the longest trip of densely numbered points: one pass over one column."""
-    return int(points.agg(F.coalesce(F.max("k"), F.lit(-1))).first()[0]) + 1
+    """Rows in the longest trip: one count per trip, combined before the shuffle."""
+    return points.groupBy("trj_id").count().agg(F.max("count")).first()[0] or 0
 
 
 def at_least(
     df: DataFrame, keys: list[str], minimum: int = MIN_POINTS, longest: int | None = None, block: int = BLOCK,
     shuffled: bool = False,
 ) -> DataFrame:
-    """Keep the groups of at least ``minimum`` rows.
+    """Keep the groups of at least ``minimum`` rows; rows with null keys are a group too.
 
     Groups known to hold at most ``block`` rows are counted in a window, which
     shares their partitioning. Otherwise counts are combined before the
@@ -34,8 +34,9 @@ def at_least(
     count = F.count(F.lit(1))
     if longest is not None and longest <= block:
         return df.withColumn("_n", count.over(Window.partitionBy(*keys))).where(F.col("_n") >= minimum).drop("_n")
-    kept = df.groupBy(*keys).agg((row_count(df.columns) if shuffled else count).alias("_n")).where(F.col("_n") >= minimum).select(*keys)
-    return df.join(kept, keys, "left_semi")
+    keyed = with_key(df, keys)
+    kept = keyed.groupBy("_key").agg((row_count(df.columns) if shuffled else count).alias("_n")).where(F.col("_n") >= minimum)
+    return keyed.join(kept.select("_key"), "_key", "left_semi").drop("_key")
 
 
 def valid_points(
@@ -48,7 +49,8 @@ def valid_points(
     each point is one of: set to a fixed state, keep the state, or flip it. The
     state is the last fixed one, flipped once per flip since. Trips under
     ``minimum`` points, before or after, are dropped. ``k`` must number a
-    trip's points 0, 1, 2, ...
+    trip's points 0, 1, 2, ...; a point without a number has no place and is
+    dropped. Points without a trip id are a trip of their own.
 
     If the longest trip fits in a block, one window per trip does it all.
     Otherwise trips are cut into blocks, and one summary row per block carries
@@ -56,8 +58,12 @@ def valid_points(
     """
     longest = longest_group(points) if longest is None else longest
     fits = longest <= block
-    group = ["trj_id"] if fits else ["trj_id", "blk"]
-    near = points.withColumn("own", F.lit(True)) if fits else with_neighbours(points, "k", block, before=2, after=1)
+    group = ["trj_id"] if fits else ["_key", "blk"]
+    numbered = points.where("k is not null")
+    near = (
+        numbered.withColumn("own", F.lit(True)) if fits
+        else with_key(with_neighbours(numbered, "k", block, before=2, after=1), ["trj_id"])
+    )
     w = Window.partitionBy(*group).orderBy("k")
     ok = in_range(F.col("lat"), F.col("lon"))
     seen = near.select(
@@ -85,18 +91,18 @@ def valid_points(
         local = local.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("trj_id")))
         dropped = F.pmod(F.col("_flips") + F.col("_mark"), F.lit(2)) == 1
     else:
-        per_block = local.groupBy("trj_id", "blk").agg(
+        per_block = local.groupBy("_key", "blk").agg(
             F.sum("_flip").alias("_f"), F.max_by("_mark", "k").alias("_m"),
             row_count(points.columns).alias("_rows"),
         )
-        blocks = Window.partitionBy("trj_id").orderBy("blk")
+        blocks = Window.partitionBy("_key").orderBy("blk")
         earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
         start = per_block.withColumn("_f_before", F.coalesce(F.sum("_f").over(earlier), F.lit(0))).select(
-            "trj_id", "blk", "_f_before",
+            "_key", "blk", "_f_before",
             F.last(F.col("_m") - F.col("_f_before"), ignorenulls=True).over(earlier).alias("_mark_before"),
-            F.sum("_rows").over(Window.partitionBy("trj_id")).alias("_n"),
+            F.sum("_rows").over(Window.partitionBy("_key")).alias("_n"),
         )
-        local = local.join(start, ["trj_id", "blk"])
+        local = local.join(start, ["_key", "blk"])
         mark = F.coalesce(F.col("_mark") - F.col("_f_before"), F.col("_mark_before"))
         dropped = F.pmod(F.col("_f_before") + F.col("_flips") + mark, F.lit(2)) == 1
     kept = local.where((F.col("_n") >= minimum) & ~dropped & ~bad_base).select(*points.columns)

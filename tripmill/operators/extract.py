@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.operators.scan import BLOCK, carry_over, ordered_blocks, ordered_rank
+from tripmill.operators.scan import BLOCK, carry_over, ordered_blocks, ordered_rank, with_key
 
 DAY = 86400.0
 
@@ -64,8 +64,8 @@ def asof_label(
         w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         seen = merged.withColumn("_seen", F.last("_l", ignorenulls=True).over(w))
     else:
-        w = Window.partitionBy(key, "blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        local = ordered_blocks(merged, [key], order).withColumn("_here", F.last("_l", ignorenulls=True).over(w))
+        w = Window.partitionBy("_key", "blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        local = with_key(ordered_blocks(merged, [key], order), [key]).withColumn("_here", F.last("_l", ignorenulls=True).over(w))
         carried = carry_over(local, [key], lasts={"_earlier": F.max("_l")})
         seen = carried.withColumn("_seen", F.coalesce("_here", "_earlier"))
     found = F.when(F.col("t") < F.col("_seen.end_time"), F.col("_seen.label"))
@@ -79,7 +79,8 @@ def label_runs(
 ) -> DataFrame:
     """Runs of equal labels in time order: number, label, first and last time, length.
 
-    The first run of a key has number 1.
+    The first run of a key has number 1. A null label equals no other, so it is
+    a run of its own; rows with a null key are a key of their own.
     """
     if group_fits(samples, [key], block):
         w = Window.partitionBy(key).orderBy(*order)
@@ -88,11 +89,13 @@ def label_runs(
             "run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
         )
     else:
-        w = Window.partitionBy(key, "blk").orderBy(*order)
-        local = ordered_blocks(samples, [key], order).withColumn("_lag", F.lag("label").over(w))
-        last = F.max_by("label", F.struct(*order))
+        # Structs tell a null label before from no row before.
+        w = Window.partitionBy("_key", "blk").orderBy(*order)
+        local = with_key(ordered_blocks(samples, [key], order), [key]).withColumn("_lag", F.lag(F.struct("label")).over(w))
+        last = F.max_by(F.struct("label"), F.struct(*order))
+        before = F.coalesce("_lag", "_earlier").getField("label")
         seen = carry_over(local, [key], lasts={"_earlier": last}).withColumn(
-            "_new", F.when(F.col("label") == F.coalesce("_lag", "_earlier"), 0).otherwise(1)
+            "_new", F.when(F.col("label") == before, 0).otherwise(1)
         ).drop("_lag", "_earlier").withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         marked = carry_over(seen, [key], sums={"_runs": F.sum("_new")}).withColumn("run", F.col("_runs") + F.col("_run"))
     return marked.groupBy(key, "run").agg(

@@ -55,6 +55,14 @@ def row_count(columns: Sequence[str]) -> Column:
     return F.sum(F.least(F.hash(*columns), F.lit(lowest)).cast("bigint") + F.lit(1 - lowest))
 
 
+def with_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_key``, the keys as one struct, which is never null: rows with null keys are a group in joins too.
+
+    Windows, sums and joins by ``_key`` and a block share one partitioning.
+    """
+    return df.withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
+
+
 def carry_over(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,28 +72,30 @@ def carry_over(
     lasts: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Join to each row aggregates over the earlier blocks of its group.
+    """Join to each row aggregates over the earlier blocks of its group; null keys are a group of their own.
 
+    Rows that have ``_key`` (``with_key``) already keep it and are not shuffled again for it.
     Values are aggregate expressions per block. ``sums`` adds them up (0 in the
     first block), ``maxima`` takes the largest, ``lasts`` the latest that is not
     null, and ``totals`` the sum over all blocks of the group.
     """
     sums, maxima, lasts, totals = (x or {} for x in (sums, maxima, lasts, totals))
-    keys = list(keys)
-    per_block = df.groupBy(*keys, block).agg(
+    keyed = df if "_key" in df.columns else with_key(df, keys)
+    per_block = keyed.groupBy("_key", block).agg(
         *[agg.alias(name) for part in (sums, maxima, lasts, totals) for name, agg in part.items()]
     )
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    group = Window.partitionBy("_key")
     earlier = group.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     everything = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = per_block.select(
-        *keys, block,
+        "_key", block,
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums],
         *[F.max(n).over(earlier).alias(n) for n in maxima],
         *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in lasts],
         *[F.sum(n).over(everything).alias(n) for n in totals],
     )
-    return df.join(carried, [*keys, block])
+    joined = keyed.join(carried, ["_key", block])
+    return joined if keyed is df else joined.drop("_key")
 
 
 def hash_rank(
@@ -99,13 +109,13 @@ def hash_rank(
     """
     parts = [seed, *([salt] if salt is not None else []), *[F.col(c) for c in ids]]
     keyed = df.withColumn("_h", hash32(*parts)).withColumn("_blk", F.shiftright("_h", 32 - RANK_BITS))
-    inside = Window.partitionBy(*strata, "_blk").orderBy("_h", *ids)
-    local = keyed.withColumn("_in_block", F.row_number().over(inside))
+    inside = Window.partitionBy("_key", "_blk").orderBy("_h", *ids)
+    local = with_key(keyed, strata).withColumn("_in_block", F.row_number().over(inside))
     count = F.count(F.lit(1))
     ranked = carry_over(
         local, strata, "_blk", sums={"_before": count}, totals={total: count} if total else None
     )
-    return ranked.withColumn(rank, F.col("_before") + F.col("_in_block")).drop("_h", "_blk", "_in_block", "_before")
+    return ranked.withColumn(rank, F.col("_before") + F.col("_in_block")).drop("_h", "_blk", "_key", "_in_block", "_before")
 
 
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: str = "blk") -> DataFrame:
@@ -126,9 +136,9 @@ def ordered_rank(
     """Exact 1-based rank by value per key, with running sums in that order."""
     running = running or {}
     keys = list(keys)
-    inside = Window.partitionBy(*keys, "_blk").orderBy(*order)
+    inside = Window.partitionBy("_key", "_blk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = ordered_blocks(df, keys, order, "_blk").select(
+    local = with_key(ordered_blocks(df, keys, order, "_blk"), keys).select(
         "*", F.row_number().over(inside).alias("_in_block"),
         *[F.sum(c).over(upto).alias(f"_run_{n}") for n, c in running.items()],
     )
@@ -140,7 +150,7 @@ def ordered_rank(
     )
     for name in running:
         ranked = ranked.withColumn(name, F.col(f"_pre_{name}") + F.col(f"_run_{name}"))
-    temporary = ["_blk", "_in_block", "_before", *[f"_{p}_{n}" for n in running for p in ("pre", "run")]]
+    temporary = ["_blk", "_key", "_in_block", "_before", *[f"_{p}_{n}" for n in running for p in ("pre", "run")]]
     return ranked.withColumn(rank, F.col("_before") + F.col("_in_block")).drop(*temporary)
 
 
@@ -177,8 +187,8 @@ def exact_percentiles(
         df.select(F.explode(F.array_compact(F.array(*candidates))).alias("x")).select("x.*")
         .groupBy("i", "blk", "v").agg(F.count(F.lit(1)).alias("n"))
     )
-    inside = Window.partitionBy("i", "blk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = carry_over(near.withColumn("_run", F.sum("n").over(inside)), ["i"], sums={"_before": F.sum("n")})
+    inside = Window.partitionBy("_key", "blk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = carry_over(with_key(near, ["i"]).withColumn("_run", F.sum("n").over(inside)), ["i"], sums={"_before": F.sum("n")})
     through = F.col("_before") + F.col("_run")
     picks = []
     for i, position in enumerate(positions):

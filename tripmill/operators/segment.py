@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmill.operators.clean import longest_group
-from tripmill.operators.scan import BLOCK, row_count
+from tripmill.operators.scan import BLOCK, row_count, with_key
 from tripmill.schema import MAX_SEGMENT, MIN_POINTS, STAY_SECONDS
 
 
@@ -17,17 +17,19 @@ def mark_stays(
     """Add ``stay_id`` (parts cut where the time step exceeds ``gap``) and ``pos``, the place within the part.
 
     Adds ``start`` as well, the place of the part's first point in its trip.
-    ``k`` orders a trip's points and may have holes. If the longest trip fits in
+    ``k`` orders a trip's points and may have holes; a point without ``k`` has no
+    place and is dropped, points without a trip id are a trip of their own. If the longest trip fits in
     a block, one window per trip does it; otherwise one summary row per block
     carries the counts of rows and cuts and the latest cut across blocks.
     """
     keys = list(keys)
     longest = longest_group(points) if longest is None else longest
     fits = longest <= block
-    group = keys if fits else [*keys, "blk"]
+    group = keys if fits else ["_key", "blk"]
     w = Window.partitionBy(*group).orderBy("k")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    source = points if fits else points.withColumn("blk", F.floor(F.col("k") / block)).where(F.col("blk").isNotNull())
+    numbered = points.where("k is not null")
+    source = numbered if fits else with_key(numbered.withColumn("blk", F.floor(F.col("k") / block)), keys)
     local = (
         source
         .withColumn("_row", F.row_number().over(w) - 1)
@@ -38,12 +40,12 @@ def mark_stays(
     if fits:
         begin = F.coalesce(F.col("_cut_row"), F.lit(0)).cast("bigint")
         return local.select(*points.columns, F.col("_cuts").alias("stay_id"), begin.alias("start"), (F.col("_row") - begin).alias("pos"))
-    per_block = local.groupBy(*keys, "blk").agg(
+    per_block = local.groupBy("_key", "blk").agg(
         row_count(points.columns).alias("_n"),
         F.min_by("t", "k").alias("_first_t"), F.max_by("t", "k").alias("_last_t"),
         F.max("_cuts").alias("_inner"), F.max("_cut_row").alias("_inner_row"),
     )
-    blocks = Window.partitionBy(*keys).orderBy("blk")
+    blocks = Window.partitionBy("_key").orderBy("blk")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
     through = blocks.rowsBetween(Window.unboundedPreceding, 0)
     start = (
@@ -52,10 +54,10 @@ def mark_stays(
         .withColumn("_cuts_before", F.coalesce(F.sum("_inner").over(earlier), F.lit(0)) + F.sum(F.col("_edge").cast("long")).over(through))
         .withColumn("_latest", F.greatest(F.when(F.col("_edge"), F.col("_base")), F.col("_base") + F.col("_inner_row")))
         .withColumn("_start", F.when(F.col("_edge"), F.col("_base")).otherwise(F.coalesce(F.max("_latest").over(earlier), F.lit(0))))
-        .select(*keys, "blk", "_base", "_cuts_before", "_start")
+        .select("_key", "blk", "_base", "_cuts_before", "_start")
     )
     begin = F.coalesce(F.col("_base") + F.col("_cut_row"), F.col("_start"))
-    return local.join(start, [*keys, "blk"]).select(
+    return local.join(start, ["_key", "blk"]).select(
         *points.columns,
         (F.col("_cuts_before") + F.col("_cuts")).alias("stay_id"),
         begin.alias("start"),
