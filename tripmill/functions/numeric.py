@@ -7,16 +7,12 @@ import numpy as np
 
 def mask_around(centres, n: int, length: int) -> np.ndarray:
     """Ones with ``length`` zeros around each centre; windows at an end cover that end."""
-    mask = np.ones(n, dtype=np.int32)
-    half = length // 2
-    for i in centres:
-        if i - half <= 0:
-            mask[:length] = 0
-        elif i + half >= n:
-            mask[-length:] = 0
-        else:
-            mask[i - half : i - half + length] = 0
-    return mask
+    at = np.asarray(centres, dtype=np.int64) - length // 2
+    start = np.where(at <= 0, 0, np.where(at + 2 * (length // 2) >= n, max(0, n - length), at))
+    edges = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edges, start, 1)
+    np.add.at(edges, np.minimum(start + length, n), -1)
+    return (edges[:n].cumsum() == 0).astype(np.int32)
 
 
 def local_peaks(grid: np.ndarray, distance: int = 1, relative: float | None = None) -> np.ndarray:
@@ -42,17 +38,15 @@ def local_peaks(grid: np.ndarray, distance: int = 1, relative: float | None = No
     return np.array(kept, dtype=int).reshape(-1, grid.ndim)
 
 
-def repeated_peaks(grid, least: int, most: int, relative: float = 0.0, distance: int = 2, rounds: int = 100) -> np.ndarray:
+def repeated_peaks(grid, least: int, most: int, relative: float = 0.0, distance: int = 2) -> np.ndarray:
     """Peaks found again and again with those already found set to zero, until there are more than ``least``.
 
-    Stops when a round finds nothing, and after ``rounds`` rounds. Of more than
+    Stops when a round finds nothing, as each round takes cells away. Of more than
     ``most`` peaks the highest stay.
     """
     work = grid.copy()
     found = np.empty((0, grid.ndim), dtype=int)
-    for _ in range(rounds):
-        if len(found) > least:
-            break
+    while len(found) <= least:
         peaks = local_peaks(work, distance, relative)
         if not len(peaks):
             break

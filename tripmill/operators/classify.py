@@ -62,7 +62,7 @@ def trip_descriptors(steps: DataFrame, keys: list[str], legacy_layout: bool = Fa
 
 
 def assembled(rows: DataFrame, columns: list[str], scale: bool = True) -> Pipeline:
-    stages = [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip")]
+    stages = [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="error")]
     stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=scale))
     return Pipeline(stages=stages)
 

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from tripmill.operators.scan import exact_percentiles, ordered_rank
+from tripmill.operators.scan import exact_percentiles, ordered_rank, with_key
 from tripmill.operators.shape_masks import packed_points
 
 # The constants of the bandwidth rules.
 IQR_SCALE = 1.349
 SILVERMAN, SCOTT = 0.9, 1.059
 BLOCK_VALUES = 4096
+RANKS = 256  # in a block of ranks
 
 
 def kernel(u: Column, kind: str) -> Column:
@@ -75,13 +76,17 @@ def block_sums(at: pd.Series, values: pd.Series, folds: pd.Series, counts: pd.Se
     return pd.Series([one(*row) for row in zip(at, values, folds, counts, bandwidths)])
 
 
-def bandwidth_scores(rows: DataFrame, value: str, fold: str, bandwidths: list[float]) -> DataFrame:
+def bandwidth_scores(rows: DataFrame, value: str, fold: str, bandwidths: list[float], step: float | None = None) -> DataFrame:
     """Held-out log likelihood of each bandwidth, averaged over folds; ``best`` marks the largest.
 
-    Values are counted per fold, then packed in blocks; blocks meet block by
-    block and give sums, so no pair of values ever becomes a row.
+    Values are rounded to multiples of ``step`` (a sixteenth of the smallest
+    bandwidth; values on that grid stay exact) and counted per fold. From there on
+    the work depends on the number of grid places only, not on the rows: places
+    are packed in blocks, blocks meet block by block and give sums.
     """
-    counted = rows.groupBy(F.col(value).cast("double").alias("v"), F.col(fold).cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("c"))
+    step = min(bandwidths) / 16 if step is None else step
+    place = F.round(F.col(value).cast("double") / step) * step
+    counted = rows.groupBy(place.alias("v"), F.col(fold).cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("c"))
     n_blocks = max(1, math.ceil(counted.count() / BLOCK_VALUES))
     keyed = counted.withColumn("b", F.pmod(F.xxhash64("v", "fold"), F.lit(n_blocks)).cast("int"))
     blocks = keyed.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("v", "fold", "c"))).alias("t"))
@@ -180,12 +185,20 @@ def local_maxima(cells: DataFrame, axes: list[str], value: str, order: int = 1,
 def shortest_interval(rows: DataFrame, value: str, by: list[str] = [], alpha: float = 0.05) -> DataFrame:
     """The shortest interval with a ``1 - alpha`` share of the sample, per group; the lowest of equals.
 
-    Values are ranked over a global sort; each meets the one ``floor((1 - alpha) n)``
-    ranks on by an equi-join on group and rank.
+    Distinct values are counted and ranked over a global sort, so equal values,
+    however many, are one row with a range of ranks. The interval from the first
+    rank of a value ends at the value whose range holds the rank
+    ``floor((1 - alpha) n)`` further on; ranges and ranks meet by blocks of ranks.
+    Null values are not in the sample; null groups are groups.
     """
-    ranked = ordered_rank(rows.select(*by, F.col(value).alias("v")), by, ["v"], rank="rnk", total="n")
-    low = ranked.select(*by, "v", (F.col("rnk") + F.floor((1.0 - alpha) * F.col("n"))).alias("rnk"))
-    high = ranked.select(*by, "rnk", F.col("v").alias("hi"))
-    spans = low.join(high, [*by, "rnk"])
-    best = F.min_by(F.struct(F.col("v").alias("hdi_min"), F.col("hi").alias("hdi_max")), F.struct(F.col("hi") - F.col("v"), F.col("rnk")))
-    return spans.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = with_key(ordered_rank(counted, by, ["v"], running={"upto": F.col("n")}), by)
+    sizes = ranked.groupBy("_key").agg(F.max("upto").alias("total"))
+    start = F.col("upto") - F.col("n") + 1
+    low = ranked.join(sizes, "_key").select(
+        "_key", F.col("v").alias("lo"), start.alias("rnk"), (start + F.floor((1.0 - alpha) * F.col("total"))).alias("at"))
+    blocks = F.explode(F.sequence(F.floor(start / RANKS), F.floor(F.col("upto") / RANKS)))
+    high = ranked.select("_key", F.col("v").alias("hi"), start.alias("from"), "upto", blocks.alias("b"))
+    spans = low.withColumn("b", F.floor(F.col("at") / RANKS)).join(high, ["_key", "b"]).where("at BETWEEN `from` AND upto")
+    best = F.min_by(F.struct(F.col("lo").alias("hdi_min"), F.col("hi").alias("hdi_max")), F.struct(F.col("hi") - F.col("lo"), F.col("rnk")))
+    return spans.groupBy("_key").agg(best.alias("b")).select(*[F.col("_key").getField(c).alias(c) for c in by], "b.*")

@@ -161,8 +161,8 @@ def threshold_curve(predictions: DataFrame, label: int, n_points: int, low: floa
     """
     if low is None or high is None:
         ends = predictions.where(F.col("y_pred") == label).agg(F.min("score").alias("a"), F.max("score").alias("b")).first()
-        low, high = 0.99 * ends["a"], 1.01 * ends["b"]
-    step = (high - low) / (n_points - 1)
+        low, high = 0.99 * (ends["a"] or 0.0), 1.01 * (ends["b"] or 0.0)  # both 0 where the class is never predicted
+    step = (high - low) / (n_points - 1) or 1.0  # equal ends: every threshold is that score
 
     def threshold(j: Column) -> Column:
         return F.when(j == n_points - 1, F.lit(high)).otherwise(F.lit(low) + j * F.lit(step))

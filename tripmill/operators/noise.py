@@ -20,7 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from tripmill.functions.geo import geodesic_m
 from tripmill.functions.scalar import hash32, uniform01
 from tripmill.operators.scan import hash_rank
-from tripmill.schema import DRIFT_FACTOR, MIN_POINTS, MISSING_RATE, lookup
+from tripmill.schema import DRIFT_FACTOR, MAX_SEGMENT, MIN_POINTS, MISSING_RATE, lookup
 
 SEGMENT = ["trj_id", "seg_id"]
 # Metres per degree, correlation of the drift, offset range of outliers.
@@ -72,8 +72,8 @@ def add_drift(
     """Correlated drift on the chosen segments, scaled by their mean step length and class.
 
     The drift is an AR(1) series; its closed form is a running sum of the
-    innovations over powers of the correlation, which is safe for segments of at
-    most 200 points.
+    innovations over powers of the correlation. It is begun anew every ``MAX_SEGMENT``
+    points, so that these powers stay in range in longer series too.
     """
     w = Window.partitionBy(*keys).orderBy("pos")
     whole = Window.partitionBy(*keys)
@@ -84,11 +84,14 @@ def add_drift(
     # Steps and draws are evaluated for chosen rows only.
     rows = rows.withColumn("_step", F.when(F.col("_chosen"), step)).withColumn("_sigma", scale / METERS_PER_DEGREE)
     rows = rows.withColumn("_shrink", F.cos(F.radians(F.avg("lat").over(whole))))
-    power = F.pow(F.lit(PHI), F.col("pos"))
-    size = F.when(F.col("pos") == 0, 1.0).otherwise(math.sqrt(1 - PHI**2))
+    rows = rows.withColumn("_blk", F.floor(F.col("pos") / MAX_SEGMENT))
+    place = F.pmod(F.col("pos"), F.lit(MAX_SEGMENT))
+    run = Window.partitionBy(*keys, "_blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    power = F.pow(F.lit(PHI), place)
+    size = F.when(place == 0, 1.0).otherwise(math.sqrt(1 - PHI**2))
     for axis, purpose in (("lat", 10), ("lon", 20)):
         shock = F.when(F.col("_chosen"), normal_draw(seed, *ids, "pos", purpose=purpose) * size / power)
-        sum_ = F.sum(shock).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        sum_ = F.sum(shock).over(run)
         rows = rows.withColumn(f"_{axis}", sum_ * power * F.col("_sigma"))
     lat = F.least(F.lit(90.0), F.greatest(F.lit(-90.0), F.col("lat") + F.col("_lat")))
     lon = F.least(F.lit(180.0), F.greatest(F.lit(-180.0), F.col("lon") + F.col("_lon") / F.col("_shrink")))

@@ -138,9 +138,13 @@ def _union(spark, sf):
     return augment.reverse(fx.points(spark, sf), with_originals=True).select("trj_id", "k", "lat", "copy")
 
 
-PAD = 40
-PACK = ", pk AS (SELECT trj_id, seg_id, list([round(distance, 3), round(velocity, 3)] ORDER BY pos) AS x FROM good GROUP BY ALL)"
-PADDED = f"list_concat(x[1:{PAD}], list_transform(range(greatest(0, {PAD} - len(x))), lambda i: [0.0::DOUBLE, 0.0::DOUBLE]))"
+CLIP = 40
+PACK = ", pk AS (SELECT trj_id, seg_id, list([round(distance, 3), round(velocity, 3)] ORDER BY pos) AS x FROM good GROUP BY ALL), lg AS (SELECT max(len(x)) AS m FROM pk)"
+
+
+def padded_sql(x: str, length: str, width: int = 2) -> str:
+    zeros = "[" + ", ".join(["0.0::DOUBLE"] * width) + "]"
+    return f"list_concat({x}[1:{length}], list_transform(range(greatest(0, {length} - len({x}))), lambda i: {zeros}))"
 
 
 def packed(spark, sf):
@@ -148,30 +152,42 @@ def packed(spark, sf):
     return prepare.pack(rows, SEG, ["distance", "velocity"])
 
 
-@query("pad_batch", chain("good", PACK + f" SELECT trj_id, seg_id, {PADDED} AS x, list_transform(range({PAD}), lambda i: i < len(x)) AS padding_mask FROM pk"))
+def longest(rows, x="x"):
+    """The length batches are padded to: that of the longest sample."""
+    return rows.agg(F.max(F.size(x))).first()[0]
+
+
+@query("pad_batch", chain("good", PACK + f" SELECT trj_id, seg_id, {padded_sql('x', 'm')} AS x, list_transform(range(m), lambda i: i < len(x)) AS padding_mask FROM pk, lg"))
 def _pad(spark, sf):
-    return prepare.pad_batch(packed(spark, sf), PAD, 2)
+    rows = packed(spark, sf)
+    return prepare.pad_batch(rows, longest(rows), 2)
+
+
+@query("pad_batch_clipped", chain("good", PACK + f" SELECT trj_id, seg_id, {padded_sql('x', CLIP)} AS x, list_transform(range({CLIP}), lambda i: i < len(x)) AS padding_mask FROM pk"))
+def _pad_clipped(spark, sf):
+    """A maximum length given as a setting, which longer samples are clipped to."""
+    return prepare.pad_batch(packed(spark, sf), CLIP, 2)
 
 
-@query("pad_two", chain("good", PACK + f""", q AS (SELECT trj_id, seg_id, x AS x1, list_transform(x[1:30], lambda v: [v[1]]) AS x2 FROM pk)
-SELECT trj_id, seg_id, {PADDED.replace('x[1', 'x1[1').replace('len(x)', 'len(x1)')} AS x1, list_transform(range({PAD}), lambda i: i < len(x1)) AS mask_x1,
- list_concat(x2[1:{PAD}], list_transform(range(greatest(0, {PAD} - len(x2))), lambda i: [0.0::DOUBLE])) AS x2, list_transform(range({PAD}), lambda i: i < len(x2)) AS mask_x2 FROM q"""))
+@query("pad_two", chain("good", PACK + f""", q AS (SELECT trj_id, seg_id, x AS x1, list_transform(x, lambda v: [v[1]]) AS x2, m FROM pk, lg)
+SELECT trj_id, seg_id, {padded_sql('x1', 'm')} AS x1, list_transform(range(m), lambda i: i < len(x1)) AS mask_x1,
+ {padded_sql('x2', 'm', 1)} AS x2, list_transform(range(m), lambda i: i < len(x2)) AS mask_x2 FROM q"""))
 def _pad_two(spark, sf):
-    two = packed(spark, sf).select(*SEG, F.col("x").alias("x1"), F.transform(F.slice("x", 1, 30), lambda v: F.array(v[0])).alias("x2"))
-    return prepare.pad_two(two, PAD, (2, 1))
+    two = packed(spark, sf).select(*SEG, F.col("x").alias("x1"), F.transform("x", lambda v: F.array(v[0])).alias("x2"))
+    return prepare.pad_two(two, longest(two, "x1"), (2, 1))
 
 
-@query("imputation_targets", chain("good", " SELECT trj_id, seg_id, pos, pos % 3 = 0 AND pos < 40 AS target FROM good"))
+@query("imputation_targets", chain("good", " SELECT trj_id, seg_id, pos, pos % 3 = 0 AS target FROM good"))
 def _imputation(spark, sf):
     rows = rows_of(spark, sf)
     mask = F.when(F.col("pos") % 3 == 0, 0).otherwise(1)
-    return rows.select(*SEG, "pos", prepare.imputation_targets(mask, F.col("pos") < PAD).alias("target"))
+    return rows.select(*SEG, "pos", prepare.imputation_targets(mask, F.col("pos").isNotNull()).alias("target"))
 
 
-@query("denoising_targets", chain("good", PACK + f" SELECT trj_id, seg_id, list_transform(range({PAD}), lambda i: [i < len(x), i < len(x)]) AS targets FROM pk"))
+@query("denoising_targets", chain("good", PACK + f" SELECT trj_id, seg_id, list_transform(range(m), lambda i: [i < len(x), i < len(x)]) AS targets FROM pk, lg"))
 def _denoising(spark, sf):
     p = packed(spark, sf)
-    return p.select(*SEG, prepare.denoising_targets(prepare.padding_mask(F.col("x"), PAD), 2).alias("targets"))
+    return p.select(*SEG, prepare.denoising_targets(prepare.padding_mask(F.col("x"), longest(p)), 2).alias("targets"))
 
 
 @query("compensate_masking", chain("good", " SELECT trj_id, seg_id, pos, " + ", ".join(

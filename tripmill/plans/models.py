@@ -143,13 +143,15 @@ def fixed_network():
     return predict
 
 
-@query("score_batches", chain("good", f""", pk AS (SELECT trj_id, seg_id, list(round(velocity, 3) ORDER BY pos)[1:40] AS x FROM good WHERE accepted GROUP BY ALL),
-m AS (SELECT trj_id, seg_id, list_sum(x) / 40 AS mean, greatest(list_max(x), CASE WHEN len(x) < 40 THEN 0.0 ELSE list_max(x) END) AS top FROM pk),
+@query("score_batches", chain("good", f""", pk AS (SELECT trj_id, seg_id, list(round(velocity, 3) ORDER BY pos) AS x FROM good WHERE accepted GROUP BY ALL), lg AS (SELECT max(len(x)) AS m FROM pk),
+m AS (SELECT trj_id, seg_id, list_sum(x) / m AS mean, greatest(list_max(x), CASE WHEN len(x) < m THEN 0.0 ELSE list_max(x) END) AS top FROM pk, lg),
 s AS (SELECT trj_id, seg_id, list_transform(range(5), lambda c: c * mean - 0.37 * c * c + 0.01 * top) AS z FROM m)
 SELECT trj_id, seg_id, CAST(list_position(z, list_max(z)) - 1 AS INT) AS y_pred, {r('z[5]', 6)} AS last_score FROM s"""))
 def _score(spark, sf):
     rows = clean_steps(spark, sf).withColumn("velocity", F.round("velocity", 3))
-    packed = prepare.pad_batch(prepare.pack(rows, SEG, ["velocity"]), 40, 1)
+    packed = prepare.pack(rows, SEG, ["velocity"])
+    length = packed.agg(F.max(F.size("x"))).first()[0]
+    packed = prepare.pad_batch(packed, length, 1)
     flat = packed.select(*SEG, F.transform("x", lambda v: v[0]).alias("x"))
-    out = cl.score_batches(flat, fixed_network, [40])
+    out = cl.score_batches(flat, fixed_network, [length])
     return out.select(*SEG, "y_pred", rounded(F.get("scores", F.lit(4)), 6).alias("last_score"))

@@ -299,9 +299,12 @@ def _long(spark, sf):
     return model_scores(spark, sf)
 
 
-@query("scores_wide", MODELS + " SELECT metric, model, " + ", ".join(f'max(value) FILTER (dataset = {y}) AS "{y}"' for y in (1996, 1997, 1998)) + " FROM lg GROUP BY metric, model")
+YEARS = list(range(1992, 2003))  # all that the tables have
+
+
+@query("scores_wide", MODELS + " SELECT metric, model, " + ", ".join(f'max(value) FILTER (dataset = {y}) AS "{y}"' for y in YEARS) + " FROM lg GROUP BY metric, model")
 def _wide(spark, sf):
-    return ranks.to_wide(model_scores(spark, sf), ["metric", "model"], [1996, 1997, 1998])
+    return ranks.to_wide(model_scores(spark, sf), ["metric", "model"], YEARS)
 
 
 @query("competition_ranks", RANKED + " SELECT model, dataset, metric, value, rank FROM rk")

@@ -80,33 +80,33 @@ def _rules(spark, sf):
     return out.select(*[rounded(F.col(c), 6).alias(c) for c in out.columns])
 
 
-@query("bandwidth_scores", """WITH v AS (SELECT l_quantity AS v, CAST(l_orderkey % 5 AS INT) AS fold, count(*) AS c FROM lineitem GROUP BY ALL),
-h AS (SELECT CAST(0.5 * i AS DOUBLE) AS h FROM range(1, 7) t(i)), n AS (SELECT fold, sum(c) AS n FROM v GROUP BY fold),
+@query("bandwidth_scores", """WITH v AS (SELECT l_quantity AS v, CAST(l_orderkey % 30 AS INT) AS fold, count(*) AS c FROM lineitem GROUP BY ALL),
+h AS (SELECT CAST(0.5 * i AS DOUBLE) AS h FROM range(1, 31) t(i)), n AS (SELECT fold, sum(c) AS n FROM v GROUP BY fold),
 d AS (SELECT e.v, e.fold, e.c, h, sum(t.c * exp(-0.5 * pow((e.v - t.v) / h, 2))) AS s FROM v e JOIN v t ON e.fold <> t.fold, h GROUP BY ALL),
 l AS (SELECT h, d.fold, sum(d.c * ln(s / ((SELECT sum(n) FROM n) - n) / h / sqrt(2 * pi()))) AS ll FROM d JOIN n USING (fold) GROUP BY ALL),
 m AS (SELECT h AS bandwidth, avg(ll) AS score FROM l GROUP BY h)
 SELECT bandwidth, (round(score, 4) + 0.0) AS score, bandwidth = (SELECT arg_max(bandwidth, score) FROM m) AS best FROM m""")
 def _scores(spark, sf):
-    rows = fx.table(spark, sf, "lineitem").select("l_quantity", (F.col("l_orderkey") % 5).cast("int").alias("fold"))
-    out = de.bandwidth_scores(rows, "l_quantity", "fold", [0.5 * i for i in range(1, 7)])
+    rows = fx.table(spark, sf, "lineitem").select("l_quantity", (F.col("l_orderkey") % 30).cast("int").alias("fold"))
+    out = de.bandwidth_scores(rows, "l_quantity", "fold", [0.5 * i for i in range(1, 31)])
     return out.withColumn("score", rounded(F.col("score"), 4))
 
 
 @query("kde_grid", chain("segs", f""", b AS (SELECT trj_id, seg_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1, count(*) AS n FROM segs GROUP BY ALL),
-g AS (SELECT *, x0 + i * (x1 - x0) / 7 AS x, y0 + j * (y1 - y0) / 7 AS y, i, j FROM b, range(8) a(i), range(8) c(j))
+g AS (SELECT *, x0 + i * (x1 - x0) / 99 AS x, y0 + j * (y1 - y0) / 99 AS y, i, j FROM b, range(100) a(i), range(100) c(j))
 SELECT g.trj_id, g.seg_id, {r('any_value(x)', 9)} AS x, {r('any_value(y)', 9)} AS y, {r('sum(exp(-0.5 * (pow((x - lon) / 0.001, 2) + pow((y - lat) / 0.001, 2)))) / any_value(n) / (2 * pi() * 0.000001)', 2)} AS density
 FROM g JOIN segs s USING (trj_id, seg_id) GROUP BY g.trj_id, g.seg_id, i, j"""))
 def _grid(spark, sf):
-    out = de.kde_grid(segs(spark, sf), SEG, 0.001, 8)
+    out = de.kde_grid(segs(spark, sf), SEG, 0.001, 100)
     return out.select(*SEG, rounded(F.col("x"), 9).alias("x"), rounded(F.col("y"), 9).alias("y"), rounded(F.col("density"), 2).alias("density"))
 
 
 @query("radius_density_peak", chain("segs", f""", b AS (SELECT trj_id, seg_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM segs GROUP BY ALL),
-g AS (SELECT *, least(x1 - x0, y1 - y0) / 2 AS rad, x0 + i * (x1 - x0) / 9 AS x, y0 + j * (y1 - y0) / 9 AS y, i, j FROM b, range(10) a(i), range(10) c(j)),
+g AS (SELECT *, least(x1 - x0, y1 - y0) / 2 AS rad, x0 + i * (x1 - x0) / 49 AS x, y0 + j * (y1 - y0) / 49 AS y, i, j FROM b, range(50) a(i), range(50) c(j)),
 z AS (SELECT g.trj_id, g.seg_id, sum(pow(exp(-3 * sqrt(pow(x - lon, 2) + pow(y - lat, 2)) / rad), 2) / (2 * pi()) / 0.4) AS d FROM g JOIN segs s USING (trj_id, seg_id) GROUP BY g.trj_id, g.seg_id, i, j)
 SELECT trj_id, seg_id, {r('CASE WHEN isnan(max(d)) THEN NULL ELSE max(d) END', 5)} AS density FROM z GROUP BY trj_id, seg_id"""))
 def _radius(spark, sf):
-    return de.radius_density_peak(segs(spark, sf), SEG, 10).select(*SEG, rounded(F.col("density"), 5).alias("density"))
+    return de.radius_density_peak(segs(spark, sf), SEG, 50).select(*SEG, rounded(F.col("density"), 5).alias("density"))
 
 
 CUBE = "WITH c AS (SELECT CAST(event_id % 10 AS INT) AS x, CAST(event_id // 10 % 10 AS INT) AS y, CAST(event_id // 100 AS INT) AS z, value FROM events)"

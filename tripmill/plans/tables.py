@@ -38,10 +38,10 @@ def _tables(spark, sf):
 
 @query("noisy_feature_tables")
 def _noisy_tables(spark, sf):
-    """The same tables for all 16 noise sets at once, with random masks; rows per set and table."""
+    """The same tables for all 16 noise sets at once; rows per set and table."""
     swept = stage(noise.noise_sweep(clean_segments(spark, sf)), "sweep")
     keys = ["noise_config", *SEG]
-    tables = feature_tables(swept, keys=keys, mask_mode="random", trj_mask_mode="random")
+    tables = feature_tables(swept, keys=keys)
     return _sizes(tables, keys).groupBy("name", "noise_config").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("segments"))
 
 

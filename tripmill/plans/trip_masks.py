@@ -80,10 +80,10 @@ query("label_runs_bucketed", RUNS_OUT)(lambda spark, sf: _runs(spark, sf, block=
 
 
 @query("run_trips", RUNS + f""", g AS (SELECT user_id, run, any_value(event_type) AS label, min(t) AS st, max(t) AS et, count(*) AS n FROM runs GROUP BY user_id, run)
-SELECT g.user_id, CAST(g.run AS BIGINT) AS run, g.label, e.event_id FROM g JOIN events e ON e.user_id = g.user_id AND {EPOCH} BETWEEN st AND et WHERE n >= 2""")
+SELECT g.user_id, CAST(g.run AS BIGINT) AS run, g.label, e.event_id FROM g JOIN events e ON e.user_id = g.user_id AND {EPOCH} BETWEEN st AND et WHERE g.label IN ('view', 'click', 'signup')""")
 def _run_trips(spark, sf):
     p = timed_events(spark, sf).select("user_id", "event_id", "t")
-    runs = _runs(spark, sf).where("n >= 2").select("user_id", "run", "label", "st", "et")
+    runs = extract.use_modes(_runs(spark, sf), ["view", "click", "signup"]).select("user_id", "run", "label", "st", "et")
     return extract.interval_trips(p, runs, "user_id", keep=["user_id", "run", "label", "event_id"])
 
 
@@ -248,13 +248,13 @@ def _subsample(spark, sf):
 
 
 @query("fill_linear", chain("points", f""",
-h AS (SELECT trj_id, k, CASE WHEN k % 7 < 5 AND k % 250 NOT IN (0, 249) THEN lat END AS v FROM points WHERE lat < 90),
+h AS (SELECT trj_id, k, CASE WHEN k % 7 < 5 AND k % 250 NOT IN (0, 249) AND lat < 90 THEN lat END AS v FROM points),
 i AS (SELECT *, row_number() OVER w AS i FROM h WINDOW w AS (PARTITION BY trj_id ORDER BY k)),
 j AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER w AS ia, last_value(v IGNORE NULLS) OVER w AS va,
   first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER u AS ib, first_value(v IGNORE NULLS) OVER u AS vb FROM i
   WINDOW w AS (PARTITION BY trj_id ORDER BY k ROWS UNBOUNDED PRECEDING), u AS (PARTITION BY trj_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT trj_id, k, {r("CASE WHEN va IS NULL THEN vb WHEN vb IS NULL OR ia = ib THEN va ELSE va + CAST(i - ia AS DOUBLE) / (ib - ia) * (vb - va) END", 8)} AS v FROM j"""))
 def _fill(spark, sf):
-    hole = F.when((F.col("k") % 7 < 5) & ~F.col("k").isin(0, 249), F.col("lat"))
-    rows = fx.points(spark, sf).where("lat < 90").select("trj_id", "k", hole.alias("v"))
+    hole = F.when((F.col("k") % 7 < 5) & ~F.col("k").isin(0, 249) & (F.col("lat") < 90), F.col("lat"))
+    rows = fx.points(spark, sf).select("trj_id", "k", hole.alias("v"))
     return resample.fill_linear(rows, ["trj_id"], "k", "v").withColumn("v", rounded(F.col("v"), 8))

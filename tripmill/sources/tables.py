@@ -4,25 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FILES = 32  # in a folder of a stage table, at most
+
+
 def write_stage(df: DataFrame, path: str, partitions: list[str] = ["split", "noise_config"]) -> None:
     """Write a stage table, in folders per split and noise configuration where it has those columns."""
     present = [c for c in partitions if c in df.columns]
-    # Rows of one folder come from few tasks, so it has few files; the folder key alone would put a split in one task.
-    df.write.mode("overwrite").partitionBy(*present).parquet(path)
+    # Rows of one folder come from at most FILES tasks; the folder key alone would put a split in one task.
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in present]), F.lit(FILES))
+    df.repartition(*present, salt).write.mode("overwrite").partitionBy(*present).parquet(path)
 
 
 def cached_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stage table at ``path``; built and written first if it is not there."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The stage table at ``path``; built and written first if it is not there or was not written to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
