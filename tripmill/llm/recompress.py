@@ -8,10 +8,11 @@ Equal substrings therefore have equal symbols inside, except near their ends.
 For each symbol the round also carries how many words around it decided it.
 
 A window sees the symbols that it decides alone, and is found by one of them,
-its anchor: of the highest level it sees, the one with the smallest name. Equal
-windows have equal anchors. Neighbouring windows with one anchor form a context;
-contexts that are equal as a whole are counted with partial sums, and where an
-anchor is shared by different contexts their windows are compared.
+its anchor: of the highest level it sees, the one with the smallest name, taken
+with the half window of words after it, or before it if it lies in the second
+half. Equal windows have equal anchors. Neighbouring windows with one anchor form
+a context; an anchor with one kind of context is settled by its smallest
+document, and where an anchor has different contexts their windows are compared.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmill.llm import common as C
-from tripmill.session import stage
+from tripmill.session import stage, unstage
 
-ROUNDS = 9
+ROUNDS = 3
 LAST = (1 << 63) - 1  # a null id comes after all others
 
 _CONTEXT = "d bigint, th int, anchor bigint, digest bigint, start int, windows int"
@@ -102,6 +103,8 @@ def levels(names: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarr
 
 def anchors(names: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, places: np.ndarray, width: int):
     """For each window start in ``places``: the name of its anchor and a number telling which symbol it is."""
+    half = width // 2
+    halves = C.window_hashes(names, half) if half else names
     found = np.zeros(len(places), bool)
     key, which = np.zeros(len(places), np.uint64), np.zeros(len(places), np.int64)
     for level, (symbols, low, high) in reversed(list(enumerate(levels(names, text, begin, end)))):
@@ -128,8 +131,10 @@ def anchors(names: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndar
             table = np.minimum(table[:-size], table[size:])
             size *= 2
         at = C.position_of(best)
-        key[rest] = C.mix(symbols[at], np.full(1, level, np.uint64), 500)
-        which[rest] = at * 32 + level
+        late = low[at] - s[seen] >= half
+        around = halves[np.where(late, np.maximum(low[at] - half + 1, 0), np.minimum(low[at], len(halves) - 1))]
+        key[rest] = C.mix(C.mix(symbols[at], around, 500 + level), late.astype(np.uint64), 600)
+        which[rest] = (at * 32 + level) * 2 + late
         found[rest] = True
     return key, which
 
@@ -204,22 +209,29 @@ def earlier_runs(texts: DataFrame, width: int = 50) -> DataFrame:
     ``texts`` has ``d`` (order of the text), ``text`` (not null), ``th`` (hash of the text).
     """
     contexts = stage(C.map_batches(texts.select("d", "th", "text"), _contexts(width), _CONTEXT), "word-contexts")
-    kinds = contexts.groupBy("anchor", "digest").agg(
-        F.min(F.struct("d", "th", "start", "windows")).alias("at"), F.max("d").alias("latest"))
-    kinds = stage(kinds, "word-kinds")
-    again = kinds.where("latest > at.d").select("anchor", "digest", F.col("at.d").alias("first"))
-    equal = contexts.join(again, ["anchor", "digest"]).where("d > first").select("d", "th", "start", "windows")
-    shared = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    shared = (
+        contexts.groupBy("anchor")
+        .agg(F.min("d").alias("first"), F.max("d").alias("latest"),
+             F.min("digest").alias("one"), F.max("digest").alias("other"))
+        .where("first < latest").select("anchor", "first", (F.col("one") < F.col("other")).alias("mixed"))
+    )
+    met = stage(contexts.join(shared, "anchor"), "word-shared")
+    unstage(contexts)
+    equal = met.where("not mixed and d > first").select("d", "th", "start", "windows")
+    mixed = met.where("mixed").drop("first")
+    kinds = mixed.groupBy("anchor", "digest").agg(F.min("d").alias("first"))
+    mixed = stage(mixed.join(kinds, ["anchor", "digest"]), "word-mixed")
+    equal_mixed = mixed.where("d > first").select("d", "th", "start", "windows")
     listed = (
-        kinds.join(shared, "anchor").select("at.*").groupBy("d", "th")
-        .agg(F.collect_set(F.struct("start", "windows")).alias("contexts"))
+        mixed.where("d = first").groupBy("d", "th").agg(F.collect_set(F.struct("start", "windows")).alias("contexts"))
         .withColumnsRenamed({"d": "_d", "th": "_t"})
     )
-    opened = texts.join(listed, F.expr("d = _d and th = _t")).select("d", "th", "text", "contexts")
-    windows = stage(C.map_batches(opened, _open_windows(width), "one bigint, two bigint, d bigint, th int, start int"), "word-windows")
+    # All columns stay, so that this join and the one that cuts the texts read one and the same exchange.
+    opened = texts.join(listed, F.expr("d = _d and th = _t")).select(*texts.columns, "contexts")
+    windows = C.map_batches(opened, _open_windows(width), "one bigint, two bigint, d bigint, th int, start int")
     first = windows.groupBy("one", "two").agg(F.min("d").alias("first"), F.max("d").alias("latest")).where("latest > first")
     single = windows.join(first, ["one", "two"]).where("d > first").select("d", "th", "start", F.lit(1).alias("windows"))
-    return equal.unionByName(single)
+    return equal.unionByName(equal_mixed).unionByName(single)
 
 
 def _cut(width: int):
@@ -266,7 +278,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     ).withColumn("th", F.hash("text"))
     runs = earlier_runs(texts, width).groupBy("d", "th").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
     runs = runs.withColumnsRenamed({"d": "_d", "th": "_t"})
-    joined = texts.join(runs, F.expr("d = _d and th = _t"), "left").select("row", "text", "runs")
+    joined = texts.join(runs, F.expr("d = _d and th = _t"), "left").select(*texts.columns, "runs")
     row = joined.schema["row"].dataType.simpleString()
     out = C.map_batches(joined, _cut(width), f"row {row}, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c != "text"], *results)
