@@ -20,6 +20,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def match_rows(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of whole rows with ``listed`` (``_id``, ``_th``: id and hash of the text); null ids match null ids.
+
+    The row is one struct during the join, so its column names cannot clash.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    same = F.expr("_row.doc_id <=> _id and hash(_row.text) = _th")
+    return rows.join(listed, same, how).select("_row.*")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` texts, unless the session sets fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

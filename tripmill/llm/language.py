@@ -161,11 +161,13 @@ class Scorer:
 
     def posterior(self, texts: list[str | None]) -> list[tuple[str, float]]:
         languages = self.model["languages"]
+        if not languages:
+            return [("und", 0.0)] * len(texts)
         counts = [Counter(units(t)) if t and any(map(str.isalpha, t)) else None for t in texts]
         self.learn_units(list(dict.fromkeys(u for c in counts if c for u in c)))
         out = []
         for c in counts:
-            if not c or not languages:
+            if not c:
                 out.append(("und", 0.0))
                 continue
             logs = np.array([self.known[u] for u in c]).T @ np.fromiter(c.values(), float, len(c)) + self.model["prior"]

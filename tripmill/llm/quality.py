@@ -96,7 +96,7 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
     out = {}
     for label, flat in found.items():
         m = flat.reshape(d + 1, d + 1)
-        if m[0, 0] >= 2:
+        if m[0, 0] > 0:
             mean = m[0, 1:] / m[0, 0]
             out[label] = (m[0, 0], mean, m[1:, 1:] / m[0, 0] - np.outer(mean, mean))
     return out
@@ -111,7 +111,7 @@ def fit(labelled: DataFrame) -> dict:
     found = moments(labelled)
     counts = {label: found[label][0] if label in found else 0.0 for label in (0, 1)}
     model: dict = {"prior": float(np.log((counts[1] + 1) / (counts[0] + 1))), "classes": {}}
-    if len(found) < 2:
+    if min(counts.values()) < 2:
         return model
     pooled = sum(n * cov for n, _, cov in found.values()) / sum(counts.values())
     for label, (_, mean, cov) in found.items():
@@ -138,7 +138,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float =
     learned from, all of them. Other labels than 0 and 1, and labels of unknown
     ids, are not used; a repeated label counts each time. A null text counts as
     empty. Without two labelled rows of each class the score is the share of
-    label 1, one half if there is none. An empty table gives an empty table.
+    label 1 (with one row of each class added), one half if there is none. An empty table gives an empty table.
     """
     rows = stage(with_statistics(docs), "statistics")
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
@@ -158,4 +158,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, threshold: floa
     """The rows of ``docs`` with a score of at least ``threshold``, all columns kept; repeated rows share their score."""
     good = scores(docs, labels, learn, threshold).where("predicted = 1").select(
         F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(good, F.expr("doc_id <=> _id and hash(text) = _th"), "left_semi")
+    return C.match_rows(docs, good, "left_semi")

@@ -231,7 +231,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int
     alike = groups.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
     kept = stage(alike.groupBy("root").agg(F.min(F.struct("doc_id", "th", "rows")).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"), F.col("k.rows").alias("_rows")), "kept")
-    left = docs.join(kept.drop("_rows").distinct(), F.expr("doc_id <=> _id and hash(text) = _th"), "left_semi")
+    left = C.match_rows(docs, kept.drop("_rows").distinct(), "left_semi")
     if kept.where("_rows > 1").isEmpty():
         return left
     return left.dropDuplicates(["doc_id", "text"])  # rows repeated as a whole
