@@ -17,7 +17,7 @@ STATISTICS = [
     "words", "word_length", "word_length_spread", "upper", "symbols", "exclamation", "bars", "digits", "full_stops",
     "distinct_words", "repeated_neighbours", "commonest_word", "repeated_lines", "short_words", "not_ascii",
 ]
-SHRINK_TO_POOLED = 0.2
+SHRINK_TO_POOLED = 0.2  # at least; a class of few rows is shrunk more
 SHRINK_TO_DIAGONAL = 0.05
 FLOOR = 1e-3  # added to variances
 
@@ -114,8 +114,9 @@ def fit(labelled: DataFrame) -> dict:
     if min(counts.values()) < 2:
         return model
     pooled = sum(n * cov for n, _, cov in found.values()) / sum(counts.values())
-    for label, (_, mean, cov) in found.items():
-        cov = (1 - SHRINK_TO_POOLED) * cov + SHRINK_TO_POOLED * pooled
+    for label, (n, mean, cov) in found.items():
+        weight = max(SHRINK_TO_POOLED, len(mean) / (len(mean) + n))
+        cov = (1 - weight) * cov + weight * pooled
         cov = (1 - SHRINK_TO_DIAGONAL) * cov + SHRINK_TO_DIAGONAL * np.diag(np.diag(cov)) + FLOOR * np.eye(len(mean))
         factor = np.linalg.cholesky(cov)
         model["classes"][label] = (mean, np.linalg.inv(factor), float(np.log(np.diag(factor)).sum()))
