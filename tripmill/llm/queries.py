@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.llm import language, leaks, packing, quality, recompress, simhash, sketches, suffix_dedup, token_counts, warc
+from tripmill.llm import language, leaks, packing, quality, recompress, simhash, sketches, sql, suffix_dedup, token_counts, warc
 from tripmill.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +46,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.containment(mine, edited).alias("contained_in_edited"), sketches.distinct_count(mine).alias("distinct_shingles"))
 
 
-@query("op3_warc")
+@query("op3_warc", sql.WARC)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages"))
     index = warc.read_index(spark, path)
@@ -60,7 +60,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-@query("op5_suffix_array_dedup")
+@query("op5_suffix_array_dedup", sql.REPEATED_BYTES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.remove_repeats(docs).drop("kept")
@@ -72,7 +72,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("th")
 
 
-@query("op7_substring_dedup")
+@query("op7_substring_dedup", sql.REPEATED_WORDS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return recompress.remove_repeats(docs, width=50).select("doc_id", "n_words", "n_removed", "kept_sha256")
