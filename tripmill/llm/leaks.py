@@ -20,6 +20,7 @@ SHINGLE = 5
 OVERLAP = 0.6  # share of the shingles of question and of answer that must be in the passage
 ANSWER = 0.25  # share of an item's words, its last ones, that is its answer
 POSTINGS = 16  # in a block of a posting list
+RANGES = 64  # of items, for which the largest impact of each term is kept too
 INDEX_WORDS = 500_000  # words of items in one index, about; more items are searched in several
 _WORD = re.compile(r"\w+")
 _SLACK = 1e-9
@@ -53,6 +54,10 @@ class Index:
         self.impacts = [[p[1] for p in x] for x in lists.values()]
         self.block_most = [[max(x[i: i + POSTINGS]) for i in range(0, len(x), POSTINGS)] for x in self.impacts]
         self.most = np.array([max(x) for x in self.impacts] + [0.0])
+        size = max(1, -(-len(self.ids) // RANGES))
+        self.range_most = np.zeros((len(self.most), -(-len(self.ids) // size) or 1))
+        for t, (listed, impacts) in enumerate(zip(self.items, self.impacts)):
+            np.maximum.at(self.range_most[t], np.array(listed) // size, impacts)
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose score for these distinct terms is at least ``threshold``, by block-max WAND."""
@@ -110,22 +115,29 @@ class Index:
     def passages(self, words: list[str], threshold: float) -> list[tuple[int, int, int, list[int]]]:
         """Passages that could reach the threshold: first word, one past the last, and the distinct terms in it.
 
-        Passages are twice as long as the longest item and begin every such
+        A passage is left out if its largest impacts in each range of items add up to
+        less, the test of block-max WAND for all passages of a text at once. Passages are twice as long as the longest item and begin every such
         length, so each stretch of an item's length lies inside one.
         """
         step = self.longest
         none = len(self.most) - 1
         get = self.terms.get
         terms = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-        running = np.concatenate(([0.0], np.cumsum(self.most[terms])))
         starts = np.arange(0, max(1, len(words) - step), step)
         stops = np.minimum(starts + 2 * step, len(words))
-        out = []
-        for i in np.flatnonzero(running[stops] - running[starts] >= threshold - 1e-6):
-            distinct = np.unique(terms[starts[i]: stops[i]])
-            if self.most[distinct].sum() >= threshold - _SLACK:
-                out.append((int(starts[i]), int(stops[i]), [t for t in distinct.tolist() if t != none]))
-        return out
+        lengths = stops - starts
+        passage, term = np.repeat(np.arange(len(starts)), lengths), terms[C.spans(starts, lengths)]
+        pairs = np.unique((passage * len(self.most) + term)[term < none])
+        if not len(pairs):
+            return []
+        passage, term = np.divmod(pairs, len(self.most))
+        first = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+        bound = np.add.reduceat(self.range_most[term], first, axis=0).max(axis=1)
+        ends = np.append(first[1:], len(pairs))
+        return [
+            (int(starts[passage[f]]), int(stops[passage[f]]), term[f:e].tolist())
+            for f, e, most in zip(first, ends, bound) if most >= threshold - _SLACK
+        ]
 
     def matches(self, words: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> dict[int, tuple[float, float, float]]:
         """Items found in a text: item id to score and the overlaps of question and answer, the best of its passages."""
@@ -222,4 +234,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns kept."""
     found = stage(find_leaks(docs, items).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "leaks")
-    return docs.join(found, F.expr("doc_id <=> _id and hash(text) = _th"), "left_anti")
+    return C.match_rows(docs, found, "left_anti")
