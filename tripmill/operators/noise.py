@@ -194,19 +194,20 @@ SWEEP_KINDS = ["drift", "missing", "outlier", "mixed"]
 SWEEP_LEVELS = [0.0, 0.1, 0.2, 0.3]
 
 
-def noise_sweep(segments: DataFrame, seed: int = 42) -> DataFrame:
+def noise_sweep(segments: DataFrame, seed: int = 42, changed_only: bool = False) -> DataFrame:
     """All 16 configurations in one table, told apart by ``noise_config``.
 
-    Each row is listed once per configuration and the three noise steps run
-    once over the union, each at the configuration's own intensity and seed.
-    ``segments`` is read several times and should be a stored table.
+    Segments are chosen first, from one row each. Only those that a configuration
+    changes go through the three noise steps, once for all configurations, each
+    at its own intensity and seed; the others are listed as they are, or left
+    out with ``changed_only``. ``segments`` is read several times and should be
+    a stored table.
     """
     configs = [
         F.struct(F.lit(f"{kind}_{round(level * 100)}_percent").alias("noise_config"), F.lit(kind).alias("_kind"), F.lit(level).alias("_level"))
         for kind in SWEEP_KINDS for level in SWEEP_LEVELS
     ]
     keys = ["noise_config", *SEGMENT]
-    rows = segments.select("*", F.inline(F.array(*configs)))
     heads = heads_of(segments).select("*", F.inline(F.array(*configs)))
 
     def level(kind: str, mixed_share: float) -> Column:
@@ -215,10 +216,22 @@ def noise_sweep(segments: DataFrame, seed: int = 42) -> DataFrame:
     def own_seed(shift: int) -> Column:
         return F.when(F.col("_kind") == "mixed", seed + shift).otherwise(seed)
 
-    rows = add_drift(rows, level("drift", 0.8), own_seed(0), keys, ["noise_config"], heads)
-    rows = drop_runs(rows, level("missing", 0.6), own_seed(1), keys, ["noise_config"], heads)
-    rows = add_outliers(rows, level("outlier", 0.3), own_seed(2), keys, ["noise_config"], heads)
-    return rows.drop("_kind", "_level")
+    steps = [(level("drift", 0.8), own_seed(0)), (level("missing", 0.6), own_seed(1)), (level("outlier", 0.3), own_seed(2))]
+    chosen = [choose_segments(heads, share, own, keys, ["noise_config"]) for share, own in steps]
+    touched = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).distinct()
+    settings = heads.select(*keys, "_kind", "_level")
+    rows = segments.join(settings.join(touched, keys), SEGMENT).select("noise_config", *segments.columns, "_kind", "_level")
+    for step, (share, own) in zip((add_drift, drop_runs, add_outliers), steps):
+        rows = step(rows, share, own, keys, ["noise_config"], heads)
+    rows = rows.drop("_kind", "_level")
+    if changed_only:
+        return rows
+    left = segments.join(settings.join(touched, keys, "left_anti").select(*keys), SEGMENT)
+    return rows.unionByName(left.select("noise_config", *segments.columns))
+
+
+def sweep_names() -> list[str]:
+    return [f"{kind}_{round(level * 100)}_percent" for kind in SWEEP_KINDS for level in SWEEP_LEVELS]
 
 
 def noise_statistics(steps: DataFrame) -> DataFrame:
@@ -246,6 +259,34 @@ def noise_ratio_check(original: DataFrame, noisy: DataFrame, config: list[str])
     return both.withColumn("ratio_difference", F.abs(F.col("generated_noise_ratio") - F.col("original_noise_ratio")))
 
 
+def changed_ratio_check(original: DataFrame, changed: DataFrame, names: list[str], keys: list[str] = SEGMENT) -> DataFrame:
+    """``noise_ratio_check`` for each of ``names`` from the steps of the changed segments only.
+
+    What a configuration leaves as it was counts as in ``original``: its counts are
+    those of all segments, less those of the changed ones, plus theirs now.
+    """
+    bad, n = F.count(F.when(~F.col("accepted"), 1)).alias("bad"), F.count(F.lit(1)).alias("n")
+    forward = F.col("delta_t") > 0
+    before = original.where(forward).groupBy(*keys).agg(bad, n)
+    now = changed.groupBy("noise_config", *keys).agg(
+        F.count(F.when(forward & ~F.col("accepted"), 1)).alias("new_bad"), F.count(F.when(forward, 1)).alias("new_n"))
+    moved = now.join(before, keys, "left").groupBy("noise_config").agg(
+        F.sum(F.col("new_bad") - F.coalesce("bad", F.lit(0))).alias("bad"), F.sum(F.col("new_n") - F.coalesce("n", F.lit(0))).alias("n"))
+    every = before.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("all_bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"))
+    spark = original.sparkSession
+    listed = spark.createDataFrame([(x,) for x in names], "noise_config string").join(moved, "noise_config", "left")
+
+    def ratio(b: Column, m: Column) -> Column:
+        return b / F.greatest(m, F.lit(1))
+
+    total_bad, total = every.select("all_bad").scalar(), every.select("all_n").scalar()
+    both = listed.select(
+        "noise_config",
+        ratio(total_bad + F.coalesce("bad", F.lit(0)), total + F.coalesce("n", F.lit(0))).alias("generated_noise_ratio"),
+        ratio(total_bad, total).alias("original_noise_ratio"))
+    return both.withColumn("ratio_difference", F.abs(F.col("generated_noise_ratio") - F.col("original_noise_ratio")))
+
+
 def mix_clean_noisy(clean: DataFrame, noisy: DataFrame, keys: list[str], columns: list[str], share: Column | float, seed: int = 42) -> DataFrame:
     """Per sample the noisy values with probability ``share``, else the clean ones; rows matched by key and ``pos``."""
     pairs = clean.select(*keys, "pos", *columns).join(

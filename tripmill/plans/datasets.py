@@ -133,9 +133,9 @@ def _recode(spark, sf):
 
 
 @query("union_with_reversed", chain("points", """, n AS (SELECT *, max(k) OVER (PARTITION BY trj_id) + 1 AS n FROM points)
-SELECT a.trj_id, a.k, b.lat, 'reversed' AS copy FROM n a JOIN n b ON a.trj_id = b.trj_id AND b.k = a.n - 1 - a.k UNION ALL SELECT trj_id, k, lat, 'original' FROM points"""))
+SELECT a.trj_id, a.k, a.t, b.lat, b.lon, 'reversed' AS copy FROM n a JOIN n b ON a.trj_id = b.trj_id AND b.k = a.n - 1 - a.k UNION ALL SELECT trj_id, k, t, lat, lon, 'original' FROM points"""))
 def _union(spark, sf):
-    return augment.reverse(fx.points(spark, sf), with_originals=True).select("trj_id", "k", "lat", "copy")
+    return augment.reverse(fx.points(spark, sf), with_originals=True).select("trj_id", "k", "t", "lat", "lon", "copy")
 
 
 CLIP = 40

@@ -118,9 +118,8 @@ def _sweep(spark, sf):
 def _ratio_sweep(spark, sf):
     """Implausible steps before and after each of the 16 configurations."""
     base = clean_segments(spark, sf)
-    keys = ["noise_config", *SEG]
-    noisy = motion.step_features(noise.noise_sweep(base), keys=keys)
-    return noise.noise_ratio_check(motion.step_features(base), noisy, ["noise_config"])
+    changed = motion.step_features(noise.noise_sweep(base, changed_only=True), keys=["noise_config", *SEG])
+    return noise.changed_ratio_check(motion.step_features(base), changed, noise.sweep_names())
 
 
 @query("outlier_ratio_check", chain("steps", CLEAN + OUTLIERS.replace("SELECT trj_id, seg_id, pos, (round", ", dirty AS (SELECT trj_id, seg_id, label, t, pos, (round", 1) + "), "
@@ -168,10 +167,10 @@ def _translate(spark, sf):
 @query("crop_trips", chain("points", f""", n AS (SELECT trj_id, max(k) + 1 AS n FROM points GROUP BY trj_id),
 l AS (SELECT *, CASE WHEN n <= 10 THEN n ELSE 10 + CAST(floor({u(42, 60, 'trj_id')} * (n - 9)) AS BIGINT) END AS len FROM n),
 s AS (SELECT *, CAST(floor({u(42, 61, 'trj_id')} * (n - len + 1)) AS BIGINT) AS st FROM l)
-SELECT p.trj_id, p.k - st AS k, p.t - CASE WHEN n > 10 THEN z.t ELSE 0 END AS t, p.lat FROM points p JOIN s USING (trj_id)
+SELECT p.trj_id, p.k - st AS k, p.t - CASE WHEN n > 10 THEN z.t ELSE 0 END AS t, p.lat, p.lon FROM points p JOIN s USING (trj_id)
   JOIN points z ON z.trj_id = p.trj_id AND z.k = st WHERE p.k >= st AND p.k < st + len"""))
 def _crop(spark, sf):
-    return augment.crop(fx.points(spark, sf)).select("trj_id", "k", "t", "lat")
+    return augment.crop(fx.points(spark, sf)).select("trj_id", "k", "t", "lat", "lon")
 
 
 @query("swap_coordinates", chain("points", " SELECT trj_id, k, lon AS lat, lat AS lon FROM points"))
@@ -216,11 +215,12 @@ def _warp(spark, sf):
 
 
 @query("contrast_view", chain("segs", f""", c AS (SELECT *, n_points - n_points * 9 // 10 AS unused, CAST(floor(n_points * 0.1::DOUBLE) AS INT) AS cut, {u(42, 110, "trj_id", "seg_id")} > 0.5 AS suffix FROM segs)
-SELECT trj_id, seg_id, CASE WHEN suffix THEN pos ELSE pos - cut END AS pos, {r(f"lat + 0.001 * {gauss(42, 111, 'trj_id', 'seg_id', 'pos')}", 8)} AS lat
+SELECT trj_id, seg_id, CASE WHEN suffix THEN pos ELSE pos - cut END AS pos, {r(f"lat + 0.001 * {gauss(42, 111, 'trj_id', 'seg_id', 'pos')}", 8)} AS lat,
+  {r(f"lon + 0.001 * {gauss(42, 113, 'trj_id', 'seg_id', 'pos')}", 8)} AS lon, t
 FROM c WHERE CASE WHEN suffix THEN pos < n_points - cut ELSE pos >= cut END"""))
 def _contrast(spark, sf):
     out = augment.contrast_view(segments_of(fx.points(spark, sf)), SEG)
-    return out.select(*SEG, "pos", rounded(F.col("lat"), 8).alias("lat"))
+    return out.select(*SEG, "pos", rounded(F.col("lat"), 8).alias("lat"), rounded(F.col("lon"), 8).alias("lon"), "t")
 
 
 @query("noisy_share_mix", chain("good", f""", x AS (SELECT trj_id, seg_id, pos, velocity, {u(42, 40, "trj_id", "seg_id")} < 0.5 AS is_noisy FROM good WHERE accepted)
