@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tripmill.operators import clean, extract, segment, split
+from tripmill.operators import clean, density, extract, resample, segment, split
 
 
 def same(a, b):
@@ -76,3 +76,20 @@ def test_splits_keep_rows_without_label(spark, make):
     out = make(rows)
     assert out.count() == 100 and out.where("label is null").count() == 25
     assert out.where("label is null and split <> 'train'").count() > 0
+
+
+def test_fill_over_blocks(spark):
+    rows = spark.range(300).select(
+        F.when(F.col("id") >= 100, F.floor(F.col("id") / 100)).alias("s"), (F.col("id") % 100).alias("k"),
+        F.when((F.col("id") % 100 > 40) & (F.col("id") % 7 == 0), F.col("id").cast("double") ** 2).alias("v"))
+    whole = resample.fill_linear(rows, ["s"], "k", "v")
+    same(whole, resample.fill_linear(rows, ["s"], "k", "v", block=8))
+    assert whole.count() == 300 and whole.where("v is null").isEmpty()
+
+
+def test_shortest_interval_of_equal_values(spark):
+    """Nine of ten values are equal, and one group is null."""
+    rows = spark.range(1000).select(
+        F.when(F.col("id") % 2 == 0, 1).alias("g"), F.when(F.col("id") % 20 < 18, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
+    got = {r.g: (r.hdi_min, r.hdi_max) for r in density.shortest_interval(rows, "v", ["g"], alpha=0.2).collect()}
+    assert got == {1: (5.0, 5.0), None: (5.0, 5.0)}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from tripmill.operators.scan import BLOCK, carry_over, with_key
 
 
 def resample_linear(rows: DataFrame, keys: list[str], order: str, columns: list[str], size: str) -> DataFrame:
@@ -81,20 +82,35 @@ def subsample(rows: DataFrame, keys: list[str], order: str, limit: int = 256, fa
 
     The length is the largest number plus one, combined before the shuffle.
     """
-    long = rows.groupBy(*keys).agg((F.max(order) + 1).alias("_n")).where(F.col("_n") > limit).select(*keys, F.lit(True).alias("_long"))
-    thin = rows.join(long, keys, "left").where(F.col("_long").isNull() | (F.col(order) % factor == 0))
+    keyed = with_key(rows, keys)
+    long = keyed.groupBy("_key").agg((F.max(order) + 1).alias("_n")).where(F.col("_n") > limit).select("_key", F.lit(True).alias("_long"))
+    thin = keyed.join(long, "_key", "left").where(F.col("_long").isNull() | (F.col(order) % factor == 0))
     place = F.when(F.col("_long"), F.floor(F.col(order) / factor)).otherwise(F.col(order))
-    return thin.withColumn(order, place.cast(dict(rows.dtypes)[order])).drop("_long")
+    return thin.withColumn(order, place.cast(dict(rows.dtypes)[order])).select(*rows.columns)
 
 
-def fill_linear(rows: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
-    """Missing values filled linearly by row number; ends take the nearest value. A series is one segment."""
-    w = Window.partitionBy(*keys).orderBy(order)
+def fill_linear(rows: DataFrame, keys: list[str], order: str, column: str, block: int = BLOCK) -> DataFrame:
+    """Missing values filled linearly by row number; ends take the nearest value.
+
+    Series are cut into blocks of ``block`` values of ``order``; one row per block
+    carries the number of rows before it and the nearest known values on both sides.
+    Rows with null keys are a series, rows without ``order`` come first.
+    """
+    keyed = with_key(rows.withColumn("_blk", F.coalesce(F.floor(F.col(order) / block), F.lit(-1))), keys)
+    w = Window.partitionBy("_key", "_blk").orderBy(order)
+    local = keyed.withColumn("_row", F.row_number().over(w))
+    numbered = carry_over(local, keys, "_blk", sums={"_before": F.count(F.lit(1))}).withColumn("_i", F.col("_before") + F.col("_row"))
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(column).alias("v")))
-    numbered = rows.withColumn("_i", F.row_number().over(w))
-    around = numbered.withColumn(
-        "_a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    near = numbered.withColumn(
+        "_here_a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ).withColumn("_here_b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    ends = near.groupBy("_key", "_blk").agg(F.min("_here_b").alias("low"), F.max("_here_a").alias("high"))
+    blocks = Window.partitionBy("_key").orderBy("_blk")
+    beyond = ends.select(
+        "_key", "_blk",
+        F.last("high", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_far_a"),
+        F.first("low", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_far_b"))
+    around = near.join(beyond, ["_key", "_blk"]).withColumn("_a", F.coalesce("_here_a", "_far_a")).withColumn("_b", F.coalesce("_here_b", "_far_b"))
     share = (F.col("_i") - F.col("_a.i")) / F.nullif(F.col("_b.i") - F.col("_a.i"), F.lit(0))
     between = F.col("_a.v") + F.coalesce(share, F.lit(0.0)) * (F.col("_b.v") - F.col("_a.v"))
-    return around.withColumn(column, F.coalesce(between, F.col("_a.v"), F.col("_b.v"))).drop("_i", "_a", "_b")
+    return around.withColumn(column, F.coalesce(between, F.col("_a.v"), F.col("_b.v"))).select(*rows.columns)
