@@ -220,7 +220,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, max_bits: int
     return prints.join(linked(prints, lanes, max_bits), names)
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int = 42) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int = 46) -> DataFrame:
     """The rows of ``docs`` without those that are near a kept one: of each component one row with the smallest id stays.
 
     The fingerprint has 256 bits here, since texts that share four fifths of
