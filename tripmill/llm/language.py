@@ -87,8 +87,8 @@ def fit(texts: DataFrame, path: str = P.DEFAULT_MODEL) -> dict:
     """Languages, their log shares, and the probability of each piece in each of them.
 
     ``texts`` has ``text`` and ``lang``, neither null. Expected counts are gathered by
-    expectation maximisation over the words of at most about ``LEARN_ROWS`` texts
-    per language, chosen by a hash; the driver gets a number per language and piece.
+    expectation maximisation over the words of at most about ``LEARN_ROWS`` different
+    texts per language, chosen by a hash; the driver gets a number per language and piece.
     """
     pieces = vocabulary(path)
     shares = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -97,7 +97,7 @@ def fit(texts: DataFrame, path: str = P.DEFAULT_MODEL) -> dict:
         return {"languages": [], "pieces": pieces}
     bound = F.create_map(*[F.lit(x) for lang in languages for x in (lang, LEARN_ROWS / shares[lang])])
     draw = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
-    chosen = texts.where(draw < bound[F.col("lang")])
+    chosen = texts.where(draw < bound[F.col("lang")]).distinct()  # copies of a text count once
 
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: Counter = Counter()
@@ -145,19 +145,16 @@ def fit(texts: DataFrame, path: str = P.DEFAULT_MODEL) -> dict:
 class Scorer:
     """Log probabilities of units per language, kept for those met before."""
 
-    def __init__(self, model: dict, path: str, keep: int = 200_000):
-        self.model, self.matcher, self.keep = model, _matcher(model["pieces"], path), keep
-        self.known: dict[str, np.ndarray] = {}
+    def __init__(self, model: dict, path: str, keep: int = 600_000):
+        self.model, self.matcher, self.known = model, _matcher(model["pieces"], path), P.Kept(keep)
 
     def learn_units(self, found: list[str]) -> None:
-        new = [u for u in found if u not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, found
-        for rows in P.length_classes(new) if new else ():
+        new = self.known.missing(found)
+        for rows in P.length_classes(new):
             group = [new[i] for i in rows]
             alpha, (lengths, _) = forward(self.matcher, group, self.model["probabilities"])
             logs = np.log(alpha[np.arange(len(group)), lengths])
-            self.known.update(zip(group, logs))
+            self.known.young.update(zip(group, logs.tolist()))
 
     def posterior(self, texts: list[str | None]) -> list[tuple[str, float]]:
         languages = self.model["languages"]
@@ -170,7 +167,7 @@ class Scorer:
             if not c:
                 out.append(("und", 0.0))
                 continue
-            logs = np.array([self.known[u] for u in c]).T @ np.fromiter(c.values(), float, len(c)) + self.model["prior"]
+            logs = np.array([self.known.young[u] for u in c]).T @ np.fromiter(c.values(), float, len(c)) + self.model["prior"]
             best = int(np.argmax(logs))
             out.append((languages[best], float(1.0 / np.exp(logs - logs[best]).sum())))
         return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -34,16 +35,13 @@ class Matcher:
         self.automaton.make_automaton()
 
     def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """unit, start, end (exclusive, in the unit) and piece of each occurrence, longest first among equal ends.
+        """unit, start, end (exclusive, in the unit) and piece of each occurrence, by unit and end, longest first.
 
         Units are searched end to end; an occurrence that crosses units is left out.
         """
         lengths = np.array([len(u) for u in units], np.int64)
-        found = list(self.automaton.iter("".join(units)))
-        if not found:
-            empty = np.zeros(0, np.int64)
-            return empty, empty, empty, empty
-        last, piece = np.array(found, np.int64).T
+        found = np.fromiter(chain.from_iterable(self.automaton.iter("".join(units))), np.int64)
+        last, piece = found.reshape(-1, 2).T
         stops = np.cumsum(lengths)
         unit = np.searchsorted(stops, last, "right")
         begin = stops[unit] - lengths[unit]
@@ -77,9 +75,32 @@ def with_unknown(
     one = end - start == 1
     single[offset[unit[one]] + start[one]] = True
     bare = np.flatnonzero(~single)
-    owner = np.searchsorted(offset + lengths, bare, "right")
-    place = bare - offset[owner]
-    unit, start = np.concatenate((unit, owner)), np.concatenate((start, place))
-    end, piece = np.concatenate((end, place + 1)), np.concatenate((piece, np.full(len(bare), unknown)))
-    order = np.lexsort((start, unit, end))
+    if len(bare):  # the shortest piece to its end, so the last there
+        owner = np.searchsorted(offset + lengths, bare, "right")
+        place = bare - offset[owner]
+        at = np.searchsorted(offset[unit] + end, bare + 1, "right")
+        unit, start = np.insert(unit, at, owner), np.insert(start, at, place)
+        end, piece = np.insert(end, at, place + 1), np.insert(piece, at, unknown)
+    narrow = end.astype(np.uint16) if lengths.max() < 1 << 16 else end
+    order = np.argsort(narrow, kind="stable")  # units and starts are in order already
     return unit[order], start[order], end[order], piece[order]
+
+
+class Kept:
+    """Values of units met lately, of at most about ``size``: two generations, the younger of which holds what was used since."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, units: Sequence[str]) -> list[str]:
+        """Those of the distinct ``units`` without a value; the others stay for the next look-up."""
+        if len(self.young) > self.size // 2:
+            self.young, self.old = {}, self.young
+        out = []
+        for u in units:
+            if u not in self.young:
+                if u in self.old:
+                    self.young[u] = self.old[u]
+                else:
+                    out.append(u)
+        return out

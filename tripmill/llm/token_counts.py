@@ -27,22 +27,19 @@ class TokenCounter:
     its unknown neighbours.
     """
 
-    def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], keep: int = 200_000):
+    def __init__(self, pieces: list[str], scores: list[float], kinds: list[int], keep: int = 800_000):
         self.matcher = P.Matcher(pieces)
         self.scores = np.array([*scores, min(scores) - UNKNOWN_PENALTY])
         self.bytes = sum(k == 2 for k in kinds) == 256
-        self.known: dict[str, int] = {}
-        self.keep = keep
+        self.known = P.Kept(keep)
 
     def count_units(self, units: list[str]) -> list[int]:
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known = {}
-            new = list(dict.fromkeys(units))
+        """Tokens of each of the distinct ``units``."""
+        new = self.known.missing(units)
         for chosen in P.length_classes(new):
             group = [new[i] for i in chosen]
-            self.known.update(zip(group, self._best(group)))
-        return [self.known[u] for u in units]
+            self.known.young.update(zip(group, self._best(group)))
+        return [self.known.young[u] for u in units]
 
     def _best(self, units: list[str]) -> list[int]:
         lengths = np.array([len(u) for u in units], np.int64)
@@ -52,7 +49,8 @@ class TokenCounter:
         score[:, 0] = 0.0
         count = np.zeros(score.shape, np.int64)
         open_run = np.zeros(score.shape, bool)  # whether the best path ends in an unknown piece
-        size = self._unknown_sizes(units) if self.bytes else None
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        offset = np.cumsum(lengths) - lengths
         edges = np.searchsorted(end, np.arange(score.shape[1] + 1))
         for e in range(1, score.shape[1]):
             lo, hi = edges[e], edges[e + 1]
@@ -67,22 +65,16 @@ class TokenCounter:
             u, s, p = u[winner], s[winner], p[winner]
             score[u, e] = value[winner]
             strange = p == unknown
-            if size is not None:
-                step = np.where(strange, size[u, s], 1)
+            if self.bytes:
+                code = codes[(offset[u] + s)[strange]]
+                step = np.ones(len(u), np.int64)
+                step[strange] += (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
             else:
                 step = np.where(strange & open_run[u, s], 0, 1)
             count[u, e] = count[u, s] + step
             open_run[u, e] = strange
         return count[np.arange(len(units)), lengths].tolist()
 
-    @staticmethod
-    def _unknown_sizes(units: list[str]) -> np.ndarray:
-        out = np.ones((len(units), max(len(u) for u in units)), np.int64)
-        for i, u in enumerate(units):
-            codes = np.frombuffer(u.encode("utf-32-le", "surrogatepass"), np.uint32)
-            out[i, : len(codes)] = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-        return out
-
     def count(self, texts: list[str]) -> list[int]:
         split = []
         for t in texts:
