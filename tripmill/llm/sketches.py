@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripmill.operators.scan import ordered_blocks
+from tripmill.operators.scan import ordered_blocks, with_key
 
 K = 128
 SHINGLE = 5
@@ -128,19 +128,22 @@ def with_edits(docs: DataFrame) -> DataFrame:
     columns are left out.
     """
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", text.alias("text"))
-    facts = neighbours(docs.select("doc_id", F.length(text).cast("bigint").alias("n_chars"))).withColumnRenamed("doc_id", "_id")
-    placed = own.join(facts, F.expr("doc_id <=> _id")).drop("_id")
+    # Ids are joined as structs, which are never null; the sum over heads then shares its partitioning with the join,
+    # and both uses of the texts read the same columns, so they are shuffled once.
+    own = with_key(docs.select("doc_id", text.alias("text")), ["doc_id"]).drop("doc_id")
+    facts = neighbours(docs.select("doc_id", F.length(text).cast("bigint").alias("n_chars")))
+    placed = own.join(with_key(facts, ["doc_id"]).drop("doc_id", "next_id"), "_key")
     begins = F.left("text", F.floor(F.col("previous_chars") / 4).cast("int")).alias("head")
     heads = (
-        placed.select(F.col("previous_id").alias("_to"), F.struct(begins, sketch(F.col("text")).alias("sketch")).alias("next"))
-        .groupBy("_to").agg(F.min("next").alias("next"))
+        placed.select(
+            F.struct(F.col("previous_id").alias("doc_id")).alias("_key"), F.struct(begins, sketch(F.col("text")).alias("sketch")).alias("next"))
+        .groupBy("_key").agg(F.min("next").alias("next"))
     )
     n = F.length("text")
     moved = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", n - moved), F.left("next.head", moved))
-    both = placed.join(heads, F.expr("doc_id <=> _to")).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), F.col("next.sketch").alias("next_sketch"))
+    both = placed.join(heads, "_key").select(
+        F.col("_key.doc_id").alias("doc_id"), n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), F.col("next.sketch").alias("next_sketch"))
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("sketch"),
         sketch(F.col("edited")).alias("edited_sketch"), "next_sketch")
