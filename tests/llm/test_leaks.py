@@ -76,6 +76,30 @@ def test_question_and_answer():
     assert leaks.parts(["one"]) == (["one"], ["one"])
 
 
+def test_changed_words_hide_no_leak():
+    """One changed, dropped or added word at every place of an item, and each two changed words of its answer."""
+    draw = random.Random(4)
+    word = vocabulary(draw)
+    items = {i: [word() for _ in range(n)] for i, n in enumerate([15, 16, 18, 23, 30, 45, 59])}
+    frequency = Counter(w for words in items.values() for w in set(words))
+    index = leaks.Index(items, frequency, len(items), sum(map(len, items.values())) / len(items))
+    for i, words in items.items():
+        n, later = len(words), len(words) - len(leaks.parts(words)[1])
+        edits = [words[:k] + new + words[k + 1:] for k in range(n) for new in (["changed"], [], [words[k], "added"])]
+        edits += [[w if j not in (a, b) else "changed" for j, w in enumerate(words)] for a in range(later, n) for b in range(a)]
+        for edit in edits:
+            text = [word() for _ in range(draw.randint(0, 90))] + edit + [word() for _ in range(draw.randint(0, 90))]
+            assert i in index.matches(text), (i, edit)
+        for _ in range(20):  # question without its answer
+            other = [f"other{k}" for k in range(n - later)]
+            assert i not in index.matches([word() for _ in range(30)] + words[:later] + other)
+
+
+def test_words_in_order():
+    assert leaks.in_order("a b c a d".split(), "x a c b a".split()) == 3
+    assert [leaks.allowed(n) for n in (1, 2, 3, 4, 10, 15, 45)] == [0, 1, 1, 2, 2, 3, 9]
+
+
 def test_empty(spark, docs_of):
     items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
     assert leaks.find_leaks(docs_of([]), items).isEmpty()

@@ -1,4 +1,4 @@
-"""Benchmark items inside texts: BM25 over an inverted index of the items with block-max WAND, then overlap of words."""
+"""Benchmark items inside texts: BM25 over an inverted index of the items with block-max WAND, then overlap of words in order."""
 
 from __future__ import annotations
 
@@ -17,7 +17,9 @@ from tripmill.session import stage
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of the score that the item itself has
 SHINGLE = 5
-OVERLAP = 0.6  # share of the shingles of question and of answer that must be in the passage
+OVERLAP = 0.6  # share of the shingles of question and of answer that must be in the passage, unless their words are there in order
+EDITS = 0.2  # share of the words of question or answer that may be missing from that order; two words in any case
+SLIP = 2  # words by which edits may move a part of the item
 ANSWER = 0.25  # share of an item's words, its last ones, that is its answer
 POSTINGS = 16  # in a block of a posting list
 RANGES = 64  # of items, for which the largest impact of each term is kept too
@@ -116,15 +118,15 @@ class Index:
         """Passages that could reach the threshold: first word, one past the last, and the distinct terms in it.
 
         A passage is left out if its largest impacts in each range of items add up to
-        less, the test of block-max WAND for all passages of a text at once. Passages are twice as long as the longest item and begin every such
-        length, so each stretch of an item's length lies inside one.
+        less, the test of block-max WAND for all passages of a text at once. Passages are ``SLIP`` words more than twice as long as the
+        longest item and begin every such length, so each stretch of an item's length lies inside one, inserted words with it.
         """
         step = self.longest
         none = len(self.most) - 1
         get = self.terms.get
         terms = np.fromiter((get(w, none) for w in words), np.int64, len(words))
         starts = np.arange(0, max(1, len(words) - step), step)
-        stops = np.minimum(starts + 2 * step, len(words))
+        stops = np.minimum(starts + 2 * step + SLIP, len(words))
         lengths = stops - starts
         passage, term = np.repeat(np.arange(len(starts)), lengths), terms[C.spans(starts, lengths)]
         pairs = np.unique((passage * len(self.most) + term)[term < none])
@@ -151,7 +153,14 @@ class Index:
             for number, score in hits:
                 question, answer = parts(self.words[number])
                 shares = _share(question, shingles), _share(answer, shingles)
-                if min(shares) >= overlap:
+                ok = min(shares) >= overlap
+                if not ok:
+                    for asked, told in aligned(self.words[number], passage):
+                        least = overlap * len(question) if shares[0] >= overlap else len(question) - allowed(len(question))
+                        if asked >= least and (shares[1] >= overlap or told >= len(answer) - allowed(len(answer))):
+                            ok, shares = True, (max(shares[0], asked / len(question)), max(shares[1], told / len(answer)))
+                            break
+                if ok:
                     item = self.ids[number]
                     found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, *shares))
         return found
@@ -169,6 +178,50 @@ def _share(words: list[str], shingles: dict[int, set]) -> float:
     return sum(s in shingles[n] for s in own) / len(own)
 
 
+def allowed(n: int) -> int:
+    """Words of a part of ``n`` words that may be changed or missing: two, at most half of a part; more of a long one."""
+    return max(min(2, n // 2), int(n * EDITS))
+
+
+def in_order(words: list[str], text: list[str]) -> int:
+    """Length of the longest common subsequence, by bits."""
+    masks: dict[str, int] = {}
+    for i, w in enumerate(words):
+        masks[w] = masks.get(w, 0) | 1 << i
+    open_ = full = (1 << len(words)) - 1
+    for w in text:
+        hit = open_ & masks.get(w, 0)
+        open_ = (open_ + hit) | (open_ - hit)
+    return len(words) - (open_ & full).bit_count()
+
+
+def aligned(words: list[str], passage: list[str]) -> list[tuple[int, int]]:
+    """Words of question and of answer found in order, for each place of the passage where half of the item's words line up.
+
+    Of places less than half an item apart only the one counts at which most words do.
+    """
+    at: dict[str, list[int]] = defaultdict(list)
+    for j, w in enumerate(words):
+        at[w].append(j)
+    votes: dict[int, int] = defaultdict(int)
+    for i, w in enumerate(passage):
+        for j in at.get(w, ()):
+            votes[i - j] += 1
+    question, answer = parts(words)
+    out, taken = [], []
+    for d in sorted(votes, key=lambda d: (-votes[d], d)):
+        if any(2 * abs(d - t) < len(words) for t in taken):
+            continue
+        if 2 * sum(votes.get(d + k, 0) for k in range(-SLIP, SLIP + 1)) >= len(words):
+            taken.append(d)
+            start = max(0, d - SLIP)
+            asked = in_order(question, passage[start: max(0, d + len(question) + SLIP)])
+            # What the whole item has beyond its question, so that no word counts for both parts.
+            told = in_order(words, passage[start: max(0, d + len(words) + SLIP)]) - asked
+            out.append((asked, told if len(words) > 1 else asked))
+    return out
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``doc_id, th, item_id, score, question_overlap, answer_overlap``: each text with each item found in it.
 
@@ -178,6 +231,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     without words are not looked for; a repeated item counts once per distinct
     id and text, and its id is found if any of its texts is. A null text has no
     words. Repeated rows are found alike. Empty tables give an empty table.
+    Of question and of answer either ``overlap`` of the shingles must be in the
+    passage or all words but ``allowed`` in order, where the item lines up.
     """
     spark = docs.sparkSession
     listed = items.where("text is not null and item_id is not null").select("item_id", "text").distinct()
