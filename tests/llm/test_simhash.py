@@ -116,3 +116,31 @@ def test_one_of_each_group_stays(docs_of):
 
 def test_empty(docs_of):
     assert simhash.near_groups(docs_of([])).isEmpty() and simhash.keep_first(docs_of([])).isEmpty()
+
+
+@pytest.mark.parametrize("group", [4096, 8])
+def test_links_hold_on_both_sides_of_four_fifths(docs_of, monkeypatch, group):
+    """Pairs just below 0.8 stay, pairs at 0.8 and above lose one; chains go by single links."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    rows, twins = [], []
+    for i in range(120):
+        size = draw.choice([8, 24, 60, 150, 400])
+        words = [word() for _ in range(size + 4)]
+        rows.append((i, " ".join(words)))
+        near = draw.choice([0.70, 0.75, 0.78, 0.79, 0.80, 0.81, 0.83, 0.9])
+        cut = round(size * (1 - near))  # leaves size - cut of size shingles
+        twins.append((1000 + i, " ".join(words[cut:])))
+    chain = [word() for _ in range(130)]
+    rows += twins + [(2000 + k, " ".join(chain[10 * k: 10 * k + 100])) for k in range(4)]  # neighbours share 86 of 106
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[i: i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+    sets = {i: shingles(t) for i, t in rows}
+    linked = lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    want = joined(sorted(sets), linked)
+    assert len(set(want.values())) > 130 and {want[2000 + k] for k in range(4)} == {2000}
+    assert sorted(r.doc_id for r in simhash.keep_first(docs_of(rows)).collect()) == sorted(set(want.values()))

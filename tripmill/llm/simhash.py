@@ -6,6 +6,7 @@ the Hamming distances to fixed reference fingerprints are worked out once; by
 the triangle inequality two fingerprints can only be near if they are about as
 far from each reference, so pairs whose largest coordinate difference is over
 the limit are discarded, and the true distance is taken of those that are left.
+``keep_first`` takes such pairs as candidates only and compares their shingles.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ def _matrix(batch: pa.RecordBatch, lanes: int) -> np.ndarray:
     return np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(lanes)], axis=1)
 
 
-def _keys(chosen: list[list[int]], lanes: int):
+def _keys(chosen: list[list[int]], lanes: int, also: tuple = ()):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = _matrix(batch, lanes)
         bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
@@ -107,22 +108,23 @@ def _keys(chosen: list[list[int]], lanes: int):
             value = bits[:, places].astype(np.uint64) @ (np.uint64(1) << np.arange(len(places), dtype=np.uint64))
             keys.append(C.mix(value, np.full(1, i, np.uint64), 11))
         row = pa.array(np.tile(np.arange(len(prints)), len(chosen)))
-        names = ["node", *[f"f{i}" for i in range(lanes)]]
+        names = ["node", *also, *[f"f{i}" for i in range(lanes)]]
         return pa.RecordBatch.from_arrays(
             [pa.array(C.signed(np.concatenate(keys))), *[batch.column(n).take(row) for n in names]], names=["key", *names])
     return run
 
 
-def near_pairs(prints: np.ndarray, max_bits: int, labels: np.ndarray, most: int = 1 << 20) -> None:
-    """Give linked fingerprints one label, the smallest of theirs. ``labels`` starts as 0, 1, 2, ..."""
+def _near(prints: np.ndarray, max_bits: int, most: int = 1 << 20, sizes: np.ndarray | None = None) -> Iterator[tuple]:
+    """Pairs of at most ``max_bits`` differing bits, and their bits; with ``sizes`` (of sets) those that can share four fifths."""
     seeds = np.arange(1, PIVOTS * prints.shape[1] + 1, dtype=np.uint64)
     pivots = C.mix(seeds, seeds, 13).reshape(PIVOTS, -1)
     far = np.zeros((len(prints), PIVOTS), np.int16)
     for lane in range(prints.shape[1]):
         far += np.bitwise_count(prints[:, lane, None] ^ pivots[None, :, lane]).astype(np.int16)
-    order = np.argsort(far[:, 0], kind="stable")
-    first = far[order, 0]
-    until = np.searchsorted(first, first + max_bits, "right")
+    by = far[:, 0] if sizes is None else sizes
+    order = np.argsort(by, kind="stable")
+    first = by[order]
+    until = np.searchsorted(first, first + max_bits if sizes is None else first * 5 // 4, "right")
     counts = until - np.arange(len(order)) - 1
     at = 0
     while at < len(order):
@@ -130,14 +132,50 @@ def near_pairs(prints: np.ndarray, max_bits: int, labels: np.ndarray, most: int
         a = np.repeat(np.arange(at, end), counts[at:end])
         b = C.spans(np.arange(at, end) + 1, counts[at:end])
         a, b = order[a], order[b]
-        for column in far.T[1:]:
+        for column in far.T[1 if sizes is None else 0:]:
             near = np.abs(column[a] - column[b]) <= max_bits
             a, b = a[near], b[near]
-        true = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64) <= max_bits
-        _merge(labels, a[true], b[true])
+        bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+        true = bits <= max_bits
+        yield a[true], b[true], bits[true]
         at = end
 
 
+def near_pairs(prints: np.ndarray, max_bits: int, labels: np.ndarray, most: int = 1 << 20) -> None:
+    """Give linked fingerprints one label, the smallest of theirs. ``labels`` starts as 0, 1, 2, ..."""
+    for a, b, _ in _near(prints, max_bits, most):
+        _merge(labels, a, b)
+
+
+def forest(count: int, pairs: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a shortest spanning forest over 0..count, kept up to date while pairs come in."""
+    kept = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for new in pairs:
+        if not len(new[0]):
+            continue
+        a, b, bits = (np.concatenate(x) for x in zip(kept, new))
+        order = np.argsort(bits, kind="stable")
+        a, b, bits = a[order], b[order], bits[order]
+        labels, used, at, size = np.arange(count), [], 0, 1024
+        while at < len(a):
+            apart = np.flatnonzero(labels[a[at: at + size]] != labels[b[at: at + size]]) + at
+            up = labels.tolist()
+            for i, x, y in zip(apart.tolist(), a[apart].tolist(), b[apart].tolist()):
+                while up[x] != x:
+                    x = up[x]
+                while up[y] != y:
+                    y = up[y]
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    used.append(i)
+            labels = np.array(up)
+            while not np.array_equal(top := labels[labels], labels):
+                labels = top
+            at, size = at + size, size * 2
+        kept = a[used], b[used], bits[used]
+    return kept[0], kept[1]
+
+
 def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     while len(a):
         x, y = labels[a], labels[b]
@@ -148,16 +186,14 @@ def _merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def _links(lanes: int, max_bits: int):
-    """Links that join what is near in each group of a table; rows come sorted by key and part."""
+def _by_group(lanes: int, also: list[str], emit):
+    """Call ``emit`` with fingerprints, nodes and the columns ``also`` of each group; rows come sorted by key and part."""
 
-    def emit(prints: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch | None:
-        labels = np.arange(len(prints))
-        near_pairs(prints, max_bits, labels)
-        moved = np.flatnonzero(labels != np.arange(len(labels)))
-        if not len(moved):
+    def pairs(held: list[tuple]) -> pa.RecordBatch | None:
+        if sum(len(h[1]) for h in held) < 2:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[labels[moved]])], names=["u", "v"])
+        u, v = emit(*map(np.concatenate, zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"]) if len(u) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -165,30 +201,24 @@ def _links(lanes: int, max_bits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            prints, nodes = _matrix(batch, lanes), batch.column("node").to_numpy()
+            values = [_matrix(batch, lanes), *[batch.column(c).to_numpy() for c in ("node", *also)]]
             where = np.stack([batch.column(c).to_numpy() for c in ("key", "one", "two")], axis=1)
             edge = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
-            for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(nodes)]):
+            for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(where)]):
                 here = tuple(where[s].tolist())
-                if here != last and held:
-                    if sum(len(h[1]) for h in held) > 1 and (out := emit(*map(np.concatenate, zip(*held)))) is not None:
+                if here != last:
+                    if (out := pairs(held)) is not None:
                         yield out
                     held = []
-                held.append((prints[s:e], nodes[s:e]))
+                held.append(tuple(x[s:e] for x in values))
                 last = here
-        if held and (out := emit(*map(np.concatenate, zip(*held)))) is not None:
+        if (out := pairs(held)) is not None:
             yield out
     return run
 
 
-def linked(prints: DataFrame, lanes: int = 1, max_bits: int = 4) -> DataFrame:
-    """``f0 ..., root, first_id`` for each distinct fingerprint: its component and the component's smallest id."""
-    names = [f"f{i}" for i in range(lanes)]
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    kinds = stage(prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "fingerprints")
-    chosen = tables(lanes, max_bits, kinds.count())
-    columns = ", ".join(f"{n} bigint" for n in ["key", "node", *names])
-    rows = C.map_batches(kinds.select("node", *names), _keys(chosen, lanes), columns)
+def _met(rows: DataFrame, lanes: int, emit, also: tuple = ()) -> DataFrame:
+    """``u, v`` that ``emit`` gives for each group of ``rows`` (``key, node, f0 ...``); large groups meet in pairs of parts."""
     large = rows.groupBy("key").count().where(F.col("count") > GROUP)
     parts = large.select("key", F.ceil(F.col("count") / (GROUP // 2)).cast("int").alias("parts"))
     many = F.coalesce("parts", F.lit(1))
@@ -196,10 +226,34 @@ def linked(prints: DataFrame, lanes: int = 1, max_bits: int = 4) -> DataFrame:
     dealt = (
         rows.join(parts, "key", "left")
         .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-        .select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", *names)
+        .select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", *also,
+                *[f"f{i}" for i in range(lanes)])
     )
     group = ["key", "one", "two"]
-    edges = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_links(lanes, max_bits), "u bigint, v bigint")
+    sorted_rows = dealt.repartition(*group).sortWithinPartitions(*group)
+    return sorted_rows.mapInArrow(_by_group(lanes, list(also), emit), "u bigint, v bigint")
+
+
+def _tabled(kinds: DataFrame, lanes: int, chosen: list[list[int]], also: tuple = ()) -> DataFrame:
+    names = [f"f{i}" for i in range(lanes)]
+    columns = ", ".join(f"{n} bigint" for n in ["key", "node", *also, *names])
+    return C.map_batches(kinds.select("node", *also, *names), _keys(chosen, lanes, also), columns)
+
+
+def linked(prints: DataFrame, lanes: int = 1, max_bits: int = 4) -> DataFrame:
+    """``f0 ..., root, first_id`` for each distinct fingerprint: its component and the component's smallest id."""
+    names = [f"f{i}" for i in range(lanes)]
+    node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
+    kinds = stage(prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "fingerprints")
+    chosen = tables(lanes, max_bits, kinds.count())
+
+    def emit(prints: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        labels = np.arange(len(prints))
+        near_pairs(prints, max_bits, labels)
+        moved = np.flatnonzero(labels != np.arange(len(labels)))
+        return nodes[moved], nodes[labels[moved]]
+
+    edges = _met(_tabled(kinds, lanes, chosen), lanes, emit)
     roots = components(edges)
     placed = kinds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min("first_id").alias("first_id"))
@@ -220,16 +274,97 @@ def near_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, max_bits: int
     return prints.join(linked(prints, lanes, max_bits), names)
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int = 46) -> DataFrame:
-    """The rows of ``docs`` without those that are near a kept one: of each component one row with the smallest id stays.
+def shingle_sets(texts: DataFrame, shingle: int, lanes: int, whole: bool = False) -> DataFrame:
+    """For each row its distinct shingles: ``node``, a digest of the set, and either the set (``whole``) or ``doc_id, th, size, f0 ...``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import xxhash
+
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        node = pa.array(C.signed(np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64)))
+        if whole:
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(C.signed(np.concatenate(sets))))
+            return pa.RecordBatch.from_arrays([node, held], names=["node", "shingles"])
+        rows = [majority(x, lanes) if len(x) else [0] * lanes for x in sets]
+        size = pa.array([len(x) for x in sets], pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("th"), node, size] + [pa.array(c, pa.int64()) for c in zip(*rows)],
+            names=["doc_id", "th", "node", "size", *names])
+
+    names = [f"f{i}" for i in range(lanes)]
+    texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("th"))
+    prints = "doc_id bigint, th int, node bigint, size bigint, " + ", ".join(f"{n} bigint" for n in names)
+    return C.map_batches(texts, run, "node bigint, shingles array<bigint>" if whole else prints)
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (``u, v``) whose sets share at least four fifths of all their shingles, in whole numbers."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"in_{c}")) for c in ("u", "v"))
+    both = F.size(F.array_intersect("in_u", "in_v"))
+    return pairs.join(one, "u").join(two, "v").where(both * 9 >= (F.size("in_u") + F.size("in_v")) * 4).select("u", "v")
+
+
+def alike_groups(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int = 64, sure_bits: int = 48) -> DataFrame:
+    """``doc_id, th, root, first_id`` for each row of ``docs``: components of texts whose sets of shingles are at least 0.8 alike.
+
+    Fingerprints of at most ``max_bits`` differing bits, found by tables that
+    miss one at ``sure_bits`` with chance 1 - ``RECALL``, are candidates. First
+    the pairs of a shortest spanning forest of each group are compared by their
+    shingles; then, where such a pair failed, all candidates of the same tree
+    that are not connected yet. Sets are compared by 64-bit hashes of their
+    shingles; texts without words are alike.
+    """
+    names = [f"f{i}" for i in range(lanes)]
+    prints = stage(shingle_sets(docs, shingle, lanes), "prints")
+    kinds = stage(prints.groupBy("node", "size", *names).agg(
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one")), "fingerprints")
+
+    def nearest(prints: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = forest(len(nodes), _near(prints, max_bits, sizes=sizes))
+        return nodes[a], nodes[b]
+
+    rows = _tabled(kinds, lanes, tables(lanes, sure_bits, kinds.count()), ("size",))
+    found = _met(rows, lanes, nearest, ("size",))
+    tried = stage(found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    needed = tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct()
+    ids = kinds.join(needed, "node", "left_semi").select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"))
+    texts = C.match_rows(docs.select("doc_id", "text"), ids, "left_semi")
+    sets = stage(shingle_sets(texts, shingle, lanes, whole=True).dropDuplicates(["node"]), "shingles")
+    links = stage(alike(tried, sets), "links")
+    roots = components(links)
+    failed = tried.join(links, ["u", "v"], "left_anti")
+    if not failed.isEmpty():
+        trees = components(tried).withColumnRenamed("root", "key")
+        torn = trees.join(failed.select(F.col("u").alias("node")), "node", "left_semi").select("key").distinct()
+        open_nodes = trees.join(torn, "key", "left_semi").join(roots, "node", "left").withColumn("place", F.coalesce("root", "node"))
+
+        def apart(prints: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            out = [(a[left], b[left]) for a, b, _ in _near(prints, max_bits, sizes=sizes) if (left := places[a] != places[b]).any()]
+            a, b = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+            return np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
+
+        rows = open_nodes.select("key", "node", "place").join(kinds.select("node", "size", *names), "node")
+        more = _met(rows, lanes, apart, ("size", "place")).distinct().join(failed, ["u", "v"], "left_anti")
+        more = stage(alike(more, sets), "more-links")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more))
+    placed = kinds.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = placed.groupBy("root").agg(F.min("first_id").alias("first_id"))
+    return prints.select("doc_id", "th", "node").join(placed.drop("first_id").join(first, "root"), "node").drop("node")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int = 64) -> DataFrame:
+    """The rows of ``docs`` without those alike to others: of each component one row with the smallest id stays.
 
-    The fingerprint has 256 bits here, since texts that share four fifths of
-    their five-word shingles differ in about 15 of 100 bits, which 64 bits do
-    not tell well from chance. All columns are kept.
+    Texts are linked if their sets of five-word shingles are at least 0.8 alike.
+    The fingerprint that finds them has 256 bits, since such texts differ in
+    about 15 of 100 bits (19 for sets of four and five), which 64 bits do not
+    tell well from chance. All columns are kept.
     """
-    groups = near_groups(docs, shingle, lanes, max_bits).where("doc_id <=> first_id")
-    alike = groups.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
-    kept = stage(alike.groupBy("root").agg(F.min(F.struct("doc_id", "th", "rows")).alias("k")).select(
+    groups = alike_groups(docs, shingle, lanes, max_bits).where("doc_id <=> first_id")
+    same = groups.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    kept = stage(same.groupBy("root").agg(F.min(F.struct("doc_id", "th", "rows")).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"), F.col("k.rows").alias("_rows")), "kept")
     left = C.match_rows(docs, kept.drop("_rows").distinct(), "left_semi")
     if kept.where("_rows > 1").isEmpty():
