@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmill.llm import language, leaks, packing, quality, recompress, simhash, sketches, sql, suffix_dedup, token_counts, warc
+from tripmill.llm import (
+    language, leaks, packing, quality, recompress, simhash, sketches, sql, suffix_dedup, tensored, token_counts, warc)
 from tripmill.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op11_minhash_near_dedup", sql.NEAR_SETS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensored.near_groups(table(spark, sf_dir, "documents"))
