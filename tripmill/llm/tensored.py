@@ -317,7 +317,7 @@ def near_groups(docs: DataFrame, shingle: int = 2) -> DataFrame:
     members = stage(members.join(counts.select("key", (F.expr(f"rows > {GROUP} or shingles > {GROUP_SHINGLES}")).alias("large")), "key"), "members")
     wanted = members.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), F.col("node").alias("_node"))
     same = F.expr("doc_id <=> _id and th = _th")
-    needed = texts.join(wanted, same).select("_node", "text")
+    needed = texts.join(wanted.hint("merge"), same).select("_node", "text")  # one plan at every size; wanted grows with the copies
     sets = stage(C.map_batches(needed, _sets(shingle), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
     zero = F.lit(0)
     links = _linked(members.where("not large").select("key", zero.alias("one"), zero.alias("two"), "node", F.col("node").alias("place")), sets)
@@ -327,9 +327,10 @@ def near_groups(docs: DataFrame, shingle: int = 2) -> DataFrame:
     roots = components(links)
     for table in (ties, members, sets):
         unstage(table)
-    placed = kinds.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    found = placed.join(first, "root").select("node", "component_id")
-    own = prints.select("doc_id", "node", "n_shingles").join(found, "node", "left")
+    linked = stage(kinds.select("node", "first_id").join(roots, "node"), "linked")
+    first = linked.groupBy("root").agg(F.min("first_id").alias("least"))
+    found = linked.join(first, "root").select("node", "least")
+    own = kinds.select("node", "first_id").join(found, "node", "left").select("node", F.coalesce("least", "first_id").alias("component_id"))
+    own = prints.select("doc_id", "node", "n_shingles").join(own, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
