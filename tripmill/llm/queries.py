@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmill.llm import (
-    language, leaks, packing, quality, recompress, simhash, sketches, sql, suffix_dedup, tensored, token_counts, warc)
+    language, leaks, packing, quality, recompress, simhash, sketches, sql, suffix_dedup, tensored, token_counts, variants, warc)
 from tripmill.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_minhash_near_dedup", sql.NEAR_SETS)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensored.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants", sql.SPELLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_forms(table(spark, sf_dir, "documents"))

@@ -56,3 +56,33 @@ e AS (SELECT u, v FROM c JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE
 r(doc_id, place) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM r JOIN e ON e.u = r.place),
 f AS (SELECT doc_id, min(place) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM f LEFT JOIN n USING (doc_id)"""
+
+
+def _crc(hex_bytes: str) -> str:
+    """SQL for the CRC-32 of the bytes written as hexadecimal digits in ``hex_bytes``; ``crc_of`` has a value for each byte."""
+    byte = f"CAST('0x' || substr({hex_bytes}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)"
+    listed = f"list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length({hex_bytes}) // 2), lambda i: {byte}))"
+    return f"xor(list_reduce({listed}, lambda a, b: xor(a >> 8, crc_of[CAST(xor(a & 255, b) AS BIGINT) + 1])), CAST(4294967295 AS BIGINT))"
+
+
+#: CRC-32 from its polynomial, 3988292384 (fixed value). Words one symbol apart meet by the word without that symbol and its place.
+SPELLING = rf"""
+WITH RECURSIVE t0(i, c, k) AS (SELECT i, CAST(i AS BIGINT), 0 FROM range(256) r(i) UNION ALL
+  SELECT i, xor(c >> 1, CASE WHEN c & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END), k + 1 FROM t0 WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS crc_of FROM t0 WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+kinds AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY doc_id, run),
+keyed AS (SELECT run, times, hex(encode(doc_id || ':' || run)) AS x FROM kinds),
+hashed AS (SELECT run, times, {_crc('x')} AS h FROM keyed, tab),
+spoilt AS (SELECT times, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) r(i)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, v.word, v.n FROM less l JOIN v ON v.word = l.rest UNION SELECT v.word, l.word, l.n FROM less l JOIN v ON v.word = l.rest),
+best AS (SELECT word, count(*) AS n_near, arg_max(other, (m, -place)) AS other, max(m) AS m
+  FROM (SELECT *, row_number() OVER (ORDER BY encode(other)) AS place FROM pairs) GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM formed WHERE form IS NULL
+  UNION ALL SELECT f.word, c.root FROM chain c JOIN formed f ON f.form = c.word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)"""
