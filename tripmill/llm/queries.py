@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmill.llm import (
-    language, leaks, packing, quality, recompress, simhash, sketches, sql, suffix_dedup, tensored, token_counts, variants, warc)
+    language, leaks, packing, quality, ranking, recompress, simhash, sketches, sql, suffix_dedup, tensored, token_counts, variants, warc)
 from tripmill.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants", sql.SPELLING)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ranked_search", sql.RANKED)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -86,3 +86,18 @@ formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n T
 chain AS (SELECT word, word AS root FROM formed WHERE form IS NULL
   UNION ALL SELECT f.word, c.root FROM chain c JOIN formed f ON f.form = c.word)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN chain USING (word)"""
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Scores of all documents that share a term with an item.
+RANKED = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+g AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (SELECT row, doc_id, n, unnest(t) AS term FROM (SELECT row_number() OVER () AS row, doc_id, t, len(t) AS n FROM d)),
+f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY row, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, g GROUP BY term, docs),
+s AS (SELECT item_id, row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM f JOIN w USING (term) JOIN q USING (term), g GROUP BY item_id, row, doc_id),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
