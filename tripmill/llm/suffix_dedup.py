@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from tripmill.llm import common as C
 from tripmill.llm.gsaca import suffix_array
-from tripmill.session import stage
+from tripmill.session import stage, unstage
 
 PARTS = 8  # of a context, by distance from the anchor
 ARRAY_SYMBOLS = 1 << 17  # gathered for one suffix array
 GROUP = 1500  # distinct parts with one core compared by suffix array; larger groups are counted by window
 
 _CONTEXT = "doc_id bigint, th int, anchor bigint, digest bigint, start int, windows int, offset int"
-_PART = "anchor bigint, part int, core bigint, digest bigint, doc_id bigint, th int, start int, windows int, lead binary, tail binary, n bigint"
+_BODY = "anchor bigint, digest bigint, n bigint, doc_id bigint, th int, start int, windows int, offset int, body binary"
+_PART = "anchor bigint, context bigint, part int, core bigint, digest bigint, doc_id bigint, th int, start int, windows int, n bigint"
+_OPEN = "anchor bigint, part int, core bigint, kinds bigint, n bigint, doc_id bigint, th int, start int, lead binary, tail binary"
 _RUN = "doc_id bigint, th int, start int, stop int"
 
 
@@ -76,38 +78,77 @@ def _contexts(width: int):
     return run
 
 
+def _bodies(width: int):
+    """The bytes of the contexts listed with each text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = C.text_bytes(batch.column("text"))
+        listed = batch.column("contexts")
+        row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy())
+        each = listed.flatten()
+        column = {c: each.field(c) for c in ("anchor", "digest", "n", "start", "windows", "offset")}
+        first = offsets[row] + column["start"].to_numpy()
+        last = first + column["windows"].to_numpy() + width - 1
+        column["body"] = pa.array([data[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())], pa.binary())
+        take = pa.array(row)
+        column |= {c: batch.column(c).take(take) for c in ("doc_id", "th")}
+        names = [x.split()[0] for x in _BODY.split(", ")]
+        return pa.RecordBatch.from_arrays([column[c] for c in names], names=names)
+    return run
+
+
+def _places(batch: pa.RecordBatch, width: int):
+    """For each part: its number, the contexts that have it, their first and last windows in it, and the place of the anchor."""
+    step = (width - anchor_width(width) + 1) // PARTS
+    data, offsets = C.text_bytes(batch.column("body"))
+    starts, windows = offsets[:-1], batch.column("windows").to_numpy().astype(np.int64)
+    anchor = starts + batch.column("offset").to_numpy()
+    for part in range(PARTS):
+        low, high = part * step, (part + 1) * step - 1  # distances from window start to anchor
+        first = np.maximum(anchor - high, starts)
+        last = np.minimum(anchor - low, starts + windows - 1)
+        row = np.flatnonzero(first <= last)
+        yield part, low, high, row, first[row], last[row], anchor[row], data, starts
+
+
 def _parts(width: int):
-    """The parts of each context: core, bytes before and after it, and a digest of all of them."""
-    k = anchor_width(width)
-    step = (width - k + 1) // PARTS
+    """The parts of each context: core, and a digest of all of it."""
+    step = (width - anchor_width(width) + 1) // PARTS
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bodies = batch.column("body")
-        data, offsets = C.text_bytes(bodies)
-        starts, windows = offsets[:-1], batch.column("windows").to_numpy().astype(np.int64)
-        cores, whole = C.window_hashes(data, width - step + 1), C.window_hashes(data, width)
-        anchor = starts + batch.column("offset").to_numpy()
         out = []
-        for part in range(PARTS):
-            low, high = part * step, (part + 1) * step - 1  # distances from window start to anchor
-            first = np.maximum(anchor - high, starts)
-            last = np.minimum(anchor - low, starts + windows - 1)
-            row = np.flatnonzero(first <= last)
-            f, e, p = first[row], last[row], anchor[row]
+        for part, low, _, row, f, e, p, data, starts in _places(batch, width):
+            if not part:
+                cores, whole = C.window_hashes(data, width - step + 1), C.window_hashes(data, width)
             shape = ((p - f) * 4096 + (e - f)).astype(np.uint64)
             digest = C.mix(C.mix(whole[f], whole[e], 3), shape, 5)
-            lead = [data[a:b].tobytes() for a, b in zip(f, p - low)]
-            tail = [data[a:b].tobytes() for a, b in zip(p + width - high, e + width)]
-            out.append((row, np.full(len(row), part), cores[p - low], digest, f - starts[row], e - f + 1, lead, tail))
-        row, part, core, digest, first, count = (np.concatenate(x) for x in list(zip(*out))[:6])
+            out.append((row, np.full(len(row), part), cores[p - low], digest, f - starts[row], e - f + 1))
+        row, part, core, digest, first, count = (np.concatenate(x) for x in zip(*out))
         take = pa.array(row)
-        lead, tail = (pa.array([x for o in out for x in o[i]], pa.binary()) for i in (6, 7))
         start = batch.column("start").to_numpy()[row] + first
         return pa.RecordBatch.from_arrays(
-            [batch.column("anchor").take(take), pa.array(part, pa.int32()), pa.array(C.signed(core)),
+            [batch.column("anchor").take(take), batch.column("digest").take(take), pa.array(part, pa.int32()), pa.array(C.signed(core)),
              pa.array(C.signed(digest)), batch.column("doc_id").take(take), batch.column("th").take(take),
-             pa.array(start, pa.int32()), pa.array(count, pa.int32()), lead, tail, batch.column("n").take(take)],
-            names=["anchor", "part", "core", "digest", "doc_id", "th", "start", "windows", "lead", "tail", "n"])
+             pa.array(start, pa.int32()), pa.array(count, pa.int32()), batch.column("n").take(take)],
+            names=[x.split()[0] for x in _PART.split(", ")])
+    return run
+
+
+def _opened(width: int):
+    """The bytes before and after the core for the parts listed with each context."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        listed = [{x["part"]: x for x in row} for row in batch.column("parts").to_pylist()]
+        ids, th, start = (batch.column(c).to_pylist() for c in ("doc_id", "th", "start"))
+        anchors = batch.column("anchor").to_pylist()
+        out = []
+        for part, low, high, row, f, e, p, data, starts in _places(batch, width):
+            for i, a, z, at, s in zip(row.tolist(), f.tolist(), e.tolist(), p.tolist(), starts[row].tolist()):
+                if (x := listed[i].get(part)) is not None:
+                    out.append((anchors[i], part, x["core"], x["kinds"], x["n"], ids[i], th[i], start[i] + a - s,
+                                data[a: at - low].tobytes(), data[at + width - high: z + width].tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _OPEN.split(", ")]) if out else None
     return run
 
 
@@ -222,31 +263,36 @@ def repeated_runs(docs: DataFrame, width: int = 400) -> DataFrame:
     Rows with equal id and text are separate texts and therefore repeat each other.
     """
     contexts = stage(C.map_batches(docs.select("doc_id", "th", "text"), _contexts(width), _CONTEXT), "contexts")
-    place = F.min(F.struct("doc_id", "th", "start", "windows", "offset")).alias("at")
-    kinds = stage(contexts.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), place), "context-kinds")
     shared = (
-        kinds.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"))
-        .where("kinds > 1 and single > 0").select("anchor")
-    )
-    wanted = kinds.join(shared, "anchor").select("anchor", "n", "at.*")
-    bodies = (
-        wanted.withColumnsRenamed({"doc_id": "_d", "th": "_t"})
-        .join(docs.select("doc_id", "th", "text"), F.expr("doc_id <=> _d and th = _t"))
-        .select("anchor", "n", "doc_id", "th", "start", "windows", "offset",
-                F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("windows") + width - 1).alias("body"))
+        contexts.groupBy("anchor")
+        .agg(F.count(F.lit(1)).alias("times"), F.min("digest").alias("one"), F.max("digest").alias("other"))
+        .where("times > 1").select("anchor", (F.col("one") < F.col("other")).alias("mixed"))
     )
+    met = stage(contexts.join(shared, "anchor"), "contexts-met")
+    unstage(contexts)
+    stop = (F.col("start") + F.col("windows") + width - 1).alias("stop")
+    equal = met.where("not mixed").select("doc_id", "th", "start", stop)  # an anchor with one kind of context, more than once
+    mixed = met.where("mixed").drop("mixed")
+    place = F.min(F.struct("doc_id", "th", "start", "windows", "offset")).alias("at")
+    kinds = stage(mixed.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), place), "context-kinds")
+    often = mixed.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"]).select("doc_id", "th", "start", stop)
+    single = kinds.groupBy("anchor").agg(F.count_if(F.col("n") == 1).alias("single")).where("single > 0").select("anchor")
+    wanted = kinds.join(single, "anchor").select("at.doc_id", "at.th", F.struct("anchor", "digest", "n", "at.start", "at.windows", "at.offset").alias("x"))
+    listed = wanted.groupBy("doc_id", "th").agg(F.collect_list("x").alias("contexts")).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
+    same = F.expr("doc_id <=> _d and th = _t")
+    texts = docs.select("doc_id", "th", "text").join(listed, same).select("doc_id", "th", "text", "contexts")
+    bodies = stage(C.map_batches(texts, _bodies(width), _BODY), "bodies")
     parts = stage(C.map_batches(bodies, _parts(width), _PART), "parts")
     group = ["anchor", "part", "core"]
-    part_kinds = parts.groupBy(*group, "digest").agg(
-        F.sum("n").alias("n"), F.min(F.struct("doc_id", "th", "start", "lead", "tail")).alias("at"))
-    part_kinds = stage(part_kinds, "part-kinds")
+    part_kinds = stage(parts.groupBy(*group, "digest").agg(F.sum("n").alias("n"), F.min("context").alias("context")), "part-kinds")
     sizes = (
         part_kinds.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("single"))
         .where("kinds > 1 and single > 0").select(*group, "kinds")
     )
-    open_parts = part_kinds.join(sizes, group).select(*group, "kinds", "n", "at.*")
+    opened = part_kinds.join(sizes, group).groupBy("anchor", "context").agg(F.collect_list(F.struct("part", "core", "kinds", "n")).alias("parts"))
+    open_parts = stage(C.map_batches(bodies.join(opened.withColumnRenamed("context", "digest"), ["anchor", "digest"]), _opened(width), _OPEN), "parts-open")
+    unstage(bodies)
     small = open_parts.where(F.col("kinds") <= GROUP).select(*group, "lead", "tail", "doc_id", "th", "start", "n")
     compared = small.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare(width), _RUN)
     windows = C.map_batches(open_parts.where(F.col("kinds") > GROUP), _window_rows(width),
@@ -254,14 +300,14 @@ def repeated_runs(docs: DataFrame, width: int = 400) -> DataFrame:
     common = windows.groupBy("h", "g").agg(F.sum("n").alias("times")).where("times > 1").select("h", "g")
     counted = windows.where("n = 1").join(common, ["h", "g"]).select(
         "doc_id", "th", "start", (F.col("start") + width).alias("stop"))
-    stop = (F.col("start") + F.col("windows") + width - 1).alias("stop")
-    equal = contexts.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"])
     equal_parts = parts.where("n = 1").join(
         part_kinds.where("n > 1").select(*group, "digest"), [*group, "digest"])
-    return (
-        equal.select("doc_id", "th", "start", stop).unionByName(equal_parts.select("doc_id", "th", "start", stop))
-        .unionByName(compared).unionByName(counted)
-    )
+    found = stage(
+        equal.unionByName(often).unionByName(equal_parts.select("doc_id", "th", "start", stop))
+        .unionByName(compared).unionByName(counted), "byte-runs")
+    for table in (met, kinds, parts, part_kinds, open_parts):
+        unstage(table)
+    return found
 
 
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
