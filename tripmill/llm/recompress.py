@@ -218,12 +218,16 @@ def earlier_runs(texts: DataFrame, width: int = 50) -> DataFrame:
     met = stage(contexts.join(shared, "anchor"), "word-shared")
     unstage(contexts)
     equal = met.where("not mixed and d > first").select("d", "th", "start", "windows")
-    mixed = met.where("mixed").drop("first")
-    kinds = mixed.groupBy("anchor", "digest").agg(F.min("d").alias("first"))
-    mixed = stage(mixed.join(kinds, ["anchor", "digest"]), "word-mixed")
-    equal_mixed = mixed.where("d > first").select("d", "th", "start", "windows")
+    mixed = met.where("mixed").drop("first", "mixed")
+    one = F.struct("d", "th", "start", "windows")
+    kinds = stage(mixed.groupBy("anchor", "digest").agg(
+        F.min("d").alias("first"), F.min(one).alias("one"), F.count(F.lit(1)).alias("times")), "word-kinds")
+    # A kind that occurs once is there already; only the rows of the others meet theirs.
+    often = stage(mixed.join(kinds.where("times > 1").select("anchor", "digest", "first"), ["anchor", "digest"]), "word-often")
+    equal_mixed = often.where("d > first").select("d", "th", "start", "windows")
+    alone = kinds.where("times = 1").select("one.*").unionByName(often.where("d = first").select("d", "th", "start", "windows"))
     listed = (
-        mixed.where("d = first").groupBy("d", "th").agg(F.collect_set(F.struct("start", "windows")).alias("contexts"))
+        alone.groupBy("d", "th").agg(F.collect_set(F.struct("start", "windows")).alias("contexts"))
         .withColumnsRenamed({"d": "_d", "th": "_t"})
     )
     # All columns stay, so that this join and the one that cuts the texts read one and the same exchange.
