@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from tripmill.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,7 +51,7 @@ def test_near_duplicates_leave_one_of_each_group(results):
     for i in before:
         others = [near(i, j) for j in before if j != i]
         if i not in after:  # nothing goes without a near copy
-            assert max(others) > 0.6
+            assert max(others) >= 0.8
         elif max(others) >= 0.9:  # clear copies: only one is left
             assert not [j for j in after if j != i and near(i, j) >= 0.9]
 
@@ -102,5 +101,4 @@ def test_empty_documents(spark, results):
 
 def test_every_operator_has_a_query():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
-    assert simhash.RECALL >= 0.99
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

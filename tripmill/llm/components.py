@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmill.session import stage
+from tripmill.session import stage, unstage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
         moves.append(move)
         a, b = (move.withColumnsRenamed({"node": c, "to": f"to_{c}"}) for c in ("u", "v"))
         drawn = left.join(a, "u").join(b, "v").where("to_u <> to_v")
-        left = stage(drawn.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct(), "edges")
+        before, left = left, stage(drawn.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct(), "edges")
+        unstage(before)
+    unstage(left)
     if not moves:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).where(F.lit(False))
+        return stage(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).where(F.lit(False)), "roots")
     roots = moves[0].withColumnRenamed("to", "root")
     for move in moves[1:]:
         step = move.withColumnsRenamed({"node": "root"})
         roots = roots.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return stage(roots, "roots")
+    out = stage(roots, "roots")
+    for move in moves:
+        unstage(move)
+    return out

@@ -86,7 +86,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, lanes=1, max_bits=4)
+    found = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select(
         "doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("first_id").alias("component_id"))
 

@@ -1,33 +1,33 @@
 """SimHash fingerprints and the documents they link, by pivot distance tables.
 
 A fingerprint bit is set if it is set in over half of the shingle hashes of the
-text. Fingerprints meet in tables by some of their bits. In a group of a table
-the Hamming distances to fixed reference fingerprints are worked out once; by
-the triangle inequality two fingerprints can only be near if they are about as
-far from each reference, so pairs whose largest coordinate difference is over
-the limit are discarded, and the true distance is taken of those that are left.
+text. Fingerprints meet in tables by some of their bits, or, where more of them may
+differ, by minima of their shingle hashes. In a group of a table the Hamming
+distances to fixed reference fingerprints are worked out once; by the triangle
+inequality two fingerprints can only be near if they are about as far from each
+reference, so pairs whose largest coordinate difference is over the limit are
+discarded, and the true distance is taken of those that are left.
 ``keep_first`` takes such pairs as candidates only and compares their shingles.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmill.llm import common as C
+from tripmill.llm import tensored
 from tripmill.llm.components import components
-from tripmill.session import stage
+from tripmill.session import stage, unstage
 
 PIVOTS = 16
 GROUP = 4096  # fingerprints compared at once; a larger group of a table is compared in pairs of such parts
-PER_GROUP = 256  # fingerprints a group should have, on average, in tables of sampled bits
-RECALL = 0.99
+KEYS, MINIMA = 20, 4  # keys that texts with many equal shingles share, and minima of each
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M64 = (1 << 64) - 1
 
@@ -76,44 +76,50 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame
     return C.map_batches(texts, run, "doc_id bigint, th int, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def tables(lanes: int, max_bits: int, rows: int) -> list[list[int]]:
-    """The bits each table goes by.
-
-    For one lane and few bits: blocks such that two of them are left untouched
-    whatever bits differ, and a table for each two, so no link is missed.
-    Otherwise samples of bits, as many as leave ``PER_GROUP`` rows a group, and as
-    many tables as find a pair at ``max_bits`` with chance ``RECALL``.
-    """
-    bits = 64 * lanes
-    if lanes == 1 and max_bits <= 6:
-        blocks = np.array_split(np.arange(64), max_bits + 2)
-        return [np.concatenate(pair).tolist() for pair in combinations(blocks, 2)]
-    width = max(1, round(math.log2(max(2.0, rows / PER_GROUP))))
-    same = (1 - max_bits / bits) ** width
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - same))
-    draw = np.random.default_rng(42)
-    return [np.sort(draw.choice(bits, width, replace=False)).tolist() for _ in range(count)]
+def tables(max_bits: int) -> list[list[int]]:
+    """The bits each table goes by, for 64 bits: blocks such that two are left untouched whatever bits differ, a table for each two."""
+    blocks = np.array_split(np.arange(64), max_bits + 2)
+    return [np.concatenate(pair).tolist() for pair in combinations(blocks, 2)]
 
 
 def _matrix(batch: pa.RecordBatch, lanes: int) -> np.ndarray:
     return np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(lanes)], axis=1)
 
 
-def _keys(chosen: list[list[int]], lanes: int, also: tuple = ()):
+def _by_bits(chosen: list[list[int]]):
+    """Each fingerprint of one lane under the key of each table."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = _matrix(batch, lanes)
+        prints = _matrix(batch, 1)
         bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
         keys = []
         for i, places in enumerate(chosen):
             value = bits[:, places].astype(np.uint64) @ (np.uint64(1) << np.arange(len(places), dtype=np.uint64))
             keys.append(C.mix(value, np.full(1, i, np.uint64), 11))
         row = pa.array(np.tile(np.arange(len(prints)), len(chosen)))
-        names = ["node", *also, *[f"f{i}" for i in range(lanes)]]
         return pa.RecordBatch.from_arrays(
-            [pa.array(C.signed(np.concatenate(keys))), *[batch.column(n).take(row) for n in names]], names=["key", *names])
+            [pa.array(C.signed(np.concatenate(keys))), batch.column("node").take(row), batch.column("f0").take(row)], names=["key", "node", "f0"])
     return run
 
 
+def _by_minima(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each row under each of the keys that its set has from its smallest shingle hashes."""
+    keys = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.int64)
+    row = pa.array(np.repeat(np.arange(batch.num_rows), KEYS))
+    rest = [n for n in batch.schema.names if n != "minima"]
+    return pa.RecordBatch.from_arrays([pa.array(keys), *[batch.column(n).take(row) for n in rest]], names=["key", *rest])
+
+
+def minima(hashes: np.ndarray) -> bytes:
+    """``KEYS`` keys of a set of hashes, each of ``MINIMA`` minima: sets that are 0.8 alike share none with chance 3e-5."""
+    draw = np.random.default_rng(7).integers(0, 1 << 63, (KEYS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.array([[(hashes * odd).min() for odd in row] for row in draw]) if len(hashes) else np.zeros((KEYS, MINIMA), np.uint64)
+    key = np.arange(KEYS, dtype=np.uint64)
+    for k in range(MINIMA):
+        key = C.mix(key, least[:, k], 61 + k)
+    return key.tobytes()
+
+
 def _near(prints: np.ndarray, max_bits: int, most: int = 1 << 20, sizes: np.ndarray | None = None) -> Iterator[tuple]:
     """Pairs of at most ``max_bits`` differing bits, and their bits; with ``sizes`` (of sets) those that can share four fifths."""
     seeds = np.arange(1, PIVOTS * prints.shape[1] + 1, dtype=np.uint64)
@@ -234,18 +240,9 @@ def _met(rows: DataFrame, lanes: int, emit, also: tuple = ()) -> DataFrame:
     return sorted_rows.mapInArrow(_by_group(lanes, list(also), emit), "u bigint, v bigint")
 
 
-def _tabled(kinds: DataFrame, lanes: int, chosen: list[list[int]], also: tuple = ()) -> DataFrame:
-    names = [f"f{i}" for i in range(lanes)]
-    columns = ", ".join(f"{n} bigint" for n in ["key", "node", *also, *names])
-    return C.map_batches(kinds.select("node", *also, *names), _keys(chosen, lanes, also), columns)
-
-
-def linked(prints: DataFrame, lanes: int = 1, max_bits: int = 4) -> DataFrame:
-    """``f0 ..., root, first_id`` for each distinct fingerprint: its component and the component's smallest id."""
-    names = [f"f{i}" for i in range(lanes)]
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    kinds = stage(prints.groupBy(*names).agg(F.min("doc_id").alias("first_id")).withColumn("node", node), "fingerprints")
-    chosen = tables(lanes, max_bits, kinds.count())
+def linked(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+    """``f0, root, first_id`` for each distinct fingerprint: its component and the component's smallest id."""
+    kinds = stage(prints.groupBy("f0").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.col("f0")), "fingerprints")
 
     def emit(prints: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         labels = np.arange(len(prints))
@@ -253,15 +250,16 @@ def linked(prints: DataFrame, lanes: int = 1, max_bits: int = 4) -> DataFrame:
         moved = np.flatnonzero(labels != np.arange(len(labels)))
         return nodes[moved], nodes[labels[moved]]
 
-    edges = _met(_tabled(kinds, lanes, chosen), lanes, emit)
+    rows = C.map_batches(kinds.select("node", "f0"), _by_bits(tables(max_bits)), "key bigint, node bigint, f0 bigint")
+    edges = _met(rows, 1, emit)
     roots = components(edges)
     placed = kinds.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min("first_id").alias("first_id"))
     return placed.drop("first_id", "node").join(first, "root")
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, max_bits: int = 4) -> DataFrame:
-    """``doc_id, th, f0 ..., root, first_id`` for each row of ``docs``.
+def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """``doc_id, th, f0, root, first_id`` for each row of ``docs``.
 
     ``root`` names the component of the row under links of at most ``max_bits``
     differing bits, ``first_id`` is the smallest doc_id in it (null if all are).
@@ -269,13 +267,12 @@ def near_groups(docs: DataFrame, shingle: int = 4, lanes: int = 1, max_bits: int
     linked like any other. Repeated rows and ids stay rows of their own. An
     empty table gives an empty table; other columns are left out.
     """
-    prints = stage(fingerprints(docs, shingle, lanes), "prints")
-    names = [f"f{i}" for i in range(lanes)]
-    return prints.join(linked(prints, lanes, max_bits), names)
+    prints = stage(fingerprints(docs, shingle), "prints")
+    return prints.join(linked(prints, max_bits), "f0")
 
 
 def shingle_sets(texts: DataFrame, shingle: int, lanes: int, whole: bool = False) -> DataFrame:
-    """For each row its distinct shingles: ``node``, a digest of the set, and either the set (``whole``) or ``doc_id, th, size, f0 ...``."""
+    """For each row its distinct shingles: ``node``, a digest of the set, and either the set (``whole``) or ``doc_id, th, size, f0 ..., minima``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
@@ -289,69 +286,64 @@ def shingle_sets(texts: DataFrame, shingle: int, lanes: int, whole: bool = False
         rows = [majority(x, lanes) if len(x) else [0] * lanes for x in sets]
         size = pa.array([len(x) for x in sets], pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("th"), node, size] + [pa.array(c, pa.int64()) for c in zip(*rows)],
-            names=["doc_id", "th", "node", "size", *names])
+            [batch.column("doc_id"), batch.column("th"), node, size] + [pa.array(c, pa.int64()) for c in zip(*rows)]
+            + [pa.array([minima(x) for x in sets], pa.binary())],
+            names=["doc_id", "th", "node", "size", *names, "minima"])
 
     names = [f"f{i}" for i in range(lanes)]
     texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("th"))
-    prints = "doc_id bigint, th int, node bigint, size bigint, " + ", ".join(f"{n} bigint" for n in names)
+    prints = "doc_id bigint, th int, node bigint, size bigint, " + ", ".join(f"{n} bigint" for n in names) + ", minima binary"
     return C.map_batches(texts, run, "node bigint, shingles array<bigint>" if whole else prints)
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (``u, v``) whose sets share at least four fifths of all their shingles, in whole numbers."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"in_{c}")) for c in ("u", "v"))
-    both = F.size(F.array_intersect("in_u", "in_v"))
-    return pairs.join(one, "u").join(two, "v").where(both * 9 >= (F.size("in_u") + F.size("in_v")) * 4).select("u", "v")
-
-
-def alike_groups(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int = 64, sure_bits: int = 48) -> DataFrame:
+def alike_groups(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int = 64) -> DataFrame:
     """``doc_id, th, root, first_id`` for each row of ``docs``: components of texts whose sets of shingles are at least 0.8 alike.
 
-    Fingerprints of at most ``max_bits`` differing bits, found by tables that
-    miss one at ``sure_bits`` with chance 1 - ``RECALL``, are candidates. First
-    the pairs of a shortest spanning forest of each group are compared by their
-    shingles; then, where such a pair failed, all candidates of the same tree
-    that are not connected yet. Sets are compared by 64-bit hashes of their
+    Rows that share one of ``KEYS`` keys, whose number is the same at every size,
+    have their fingerprints compared by pivot distances; those of at most
+    ``max_bits`` differing bits are candidates, and of each group the shortest
+    spanning forest leaves the task. The sets of a tree of such edges are compared
+    as a whole if it is small; in a large one its edges are checked first, then
+    the components they leave. Sets are compared by 64-bit hashes of their
     shingles; texts without words are alike.
     """
     names = [f"f{i}" for i in range(lanes)]
     prints = stage(shingle_sets(docs, shingle, lanes), "prints")
-    kinds = stage(prints.groupBy("node", "size", *names).agg(
+    kinds = stage(prints.groupBy("node", "size", *names, "minima").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one")), "fingerprints")
 
     def nearest(prints: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = forest(len(nodes), _near(prints, max_bits, sizes=sizes))
         return nodes[a], nodes[b]
 
-    rows = _tabled(kinds, lanes, tables(lanes, sure_bits, kinds.count()), ("size",))
+    columns = ", ".join(f"{n} bigint" for n in ["key", "node", "size", *names])
+    rows = C.map_batches(kinds.select("node", "size", *names, "minima"), _by_minima, columns)
     found = _met(rows, lanes, nearest, ("size",))
     tried = stage(found.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    needed = tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct()
-    ids = kinds.join(needed, "node", "left_semi").select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"))
-    texts = C.match_rows(docs.select("doc_id", "text"), ids, "left_semi")
+    trees = components(tried).withColumnRenamed("root", "key")
+    members = kinds.select("node", "size", "one").join(trees, "node")
+    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles")).select(
+        "key", F.expr(f"rows > {tensored.GROUP} or shingles > {tensored.GROUP_SHINGLES}").alias("large"))
+    members = stage(members.join(many, "key"), "members")
+    ids = members.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"))
+    texts = C.match_rows(docs.select("doc_id", "text"), ids.hint("merge"), "left_semi")  # one plan at every size
     sets = stage(shingle_sets(texts, shingle, lanes, whole=True).dropDuplicates(["node"]), "shingles")
-    links = stage(alike(tried, sets), "links")
+    part = F.lit(0)
+    small = members.where("not large").select("key", part.alias("one"), part.alias("two"), "node", F.col("node").alias("place"))
+    links = tensored.linked(small, sets)
+    large = members.where("large").select("key", "node", "size")
+    if not large.isEmpty():
+        inside = tried.join(large.select(F.col("node").alias("u")), "u", "left_semi")
+        sure = stage(tensored.alike(inside, sets), "links")
+        placed = large.join(components(sure), "node", "left").select("key", "node", F.coalesce("root", "node").alias("place"), "size")
+        links = links.unionByName(sure).unionByName(tensored.between(stage(placed, "places"), sets))
     roots = components(links)
-    failed = tried.join(links, ["u", "v"], "left_anti")
-    if not failed.isEmpty():
-        trees = components(tried).withColumnRenamed("root", "key")
-        torn = trees.join(failed.select(F.col("u").alias("node")), "node", "left_semi").select("key").distinct()
-        open_nodes = trees.join(torn, "key", "left_semi").join(roots, "node", "left").withColumn("place", F.coalesce("root", "node"))
-
-        def apart(prints: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            out = [(a[left], b[left]) for a, b, _ in _near(prints, max_bits, sizes=sizes) if (left := places[a] != places[b]).any()]
-            a, b = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-            return np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-
-        rows = open_nodes.select("key", "node", "place").join(kinds.select("node", "size", *names), "node")
-        more = _met(rows, lanes, apart, ("size", "place")).distinct().join(failed, ["u", "v"], "left_anti")
-        more = stage(alike(more, sets), "more-links")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
     placed = kinds.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min("first_id").alias("first_id"))
-    return prints.select("doc_id", "th", "node").join(placed.drop("first_id").join(first, "root"), "node").drop("node")
+    out = stage(prints.select("doc_id", "th", "node").join(placed.drop("first_id").join(first, "root"), "node").drop("node"), "groups")
+    for table in (prints, kinds, tried, members, sets, roots):
+        unstage(table)
+    return out
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int = 64) -> DataFrame:
@@ -362,11 +354,13 @@ def keep_first(docs: DataFrame, shingle: int = 5, lanes: int = 4, max_bits: int
     about 15 of 100 bits (19 for sets of four and five), which 64 bits do not
     tell well from chance. All columns are kept.
     """
-    groups = alike_groups(docs, shingle, lanes, max_bits).where("doc_id <=> first_id")
-    same = groups.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    groups = alike_groups(docs, shingle, lanes, max_bits)
+    same = groups.where("doc_id <=> first_id").groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
     kept = stage(same.groupBy("root").agg(F.min(F.struct("doc_id", "th", "rows")).alias("k")).select(
         F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"), F.col("k.rows").alias("_rows")), "kept")
-    left = C.match_rows(docs, kept.drop("_rows").distinct(), "left_semi")
+    unstage(groups)
+    left = C.match_rows(docs, kept.drop("_rows").distinct().hint("merge"), "left_semi")
     if kept.where("_rows > 1").isEmpty():
         return left
-    return left.dropDuplicates(["doc_id", "text"])  # rows repeated as a whole
+    rank = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*docs.columns))  # of rows alike in id and text the first by all columns
+    return left.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

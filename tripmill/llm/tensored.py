@@ -246,7 +246,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``u, v`` for groups of ``rows`` (``key, one, two, node, place``), each compared in one task."""
     group = ["key", "one", "two"]
     held = rows.join(sets, "node").select(*group, "node", "place", "shingles")
@@ -260,18 +260,15 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").where(both * 9 >= (F.size("in_u") + F.size("in_v")) * 4).select("u", "v")
 
 
-def _large(ties: DataFrame, trees: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links in large trees: by the hub with most shared keys first, then between the components around each hub."""
-    inside = ties.join(trees.select(F.col("node").alias("v")), "v", "left_semi")
-    best = inside.groupBy("v").agg(F.max(F.struct("n", "u")).getField("u").alias("u")).select("u", "v")
-    links = stage(alike(best, sets), "tie-links")
-    roots = components(links)
-    around = inside.select(F.col("u").alias("key"), F.col("v").alias("node")).union(inside.select("u", "u")).distinct()
-    placed = around.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("place"))
-    placed = stage(placed.join(sets.select("node", F.size("shingles").alias("size")), "node"), "tie-places")
+def between(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different places inside each key of ``placed`` (``key, node, place, size``).
+
+    The place with most nodes of a key is its main one; the others are compared
+    with each other and with it, in pairs of parts where they are many.
+    """
     sizes = placed.groupBy("key", "place").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"))
     parts = F.ceil(F.greatest(F.col("rows") / (GROUP // 2), F.col("size") / (GROUP_SHINGLES // 2))).cast("int")
-    hubs = (
+    split = (
         sizes.groupBy("key").agg(
             F.max(F.struct("rows", "size", "place")).alias("main"), F.sum("rows").alias("rows"), F.sum("size").alias("size"))
         .where("rows > main.rows")
@@ -280,13 +277,25 @@ def _large(ties: DataFrame, trees: DataFrame, sets: DataFrame) -> DataFrame:
         .withColumn("loose", parts).withColumn("rows", F.col("main_rows")).withColumn("size", F.col("main_size"))
         .select("key", "main", "loose", parts.alias("fixed"))
     )
-    split = placed.join(hubs, "key")
+    rows = placed.join(split, "key")
     by = F.xxhash64("node")
     own = F.when(F.col("place") == F.col("main"), F.col("loose") + F.pmod(by, F.col("fixed"))).otherwise(F.pmod(by, F.col("loose")))
     other = F.sequence(F.lit(0), F.col("loose") + F.when(F.col("place") == F.col("main"), 0).otherwise(F.col("fixed")) - 1)
-    dealt = split.withColumn("own", own.cast("int")).withColumn("other", F.explode(other)).select(
+    dealt = rows.withColumn("own", own.cast("int")).withColumn("other", F.explode(other)).select(
         "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node", "place")
-    return links.unionByName(_linked(dealt, sets))
+    return linked(dealt, sets)
+
+
+def _large(ties: DataFrame, trees: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links in large trees: by the hub with most shared keys first, then between the components around each hub."""
+    inside = ties.join(trees.select(F.col("node").alias("v")), "v", "left_semi")
+    best = inside.groupBy("v").agg(F.max(F.struct("n", "u")).getField("u").alias("u")).select("u", "v")
+    links = stage(alike(best, sets), "tie-links")
+    roots = components(links)
+    around = inside.select(F.col("u").alias("key"), F.col("v").alias("node")).union(inside.select("u", "u")).distinct()
+    placed = around.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("place"))
+    placed = stage(placed.join(sets.select("node", F.size("shingles").alias("size")), "node"), "tie-places")
+    return links.unionByName(between(placed, sets))
 
 
 def near_groups(docs: DataFrame, shingle: int = 2) -> DataFrame:
@@ -320,16 +329,16 @@ def near_groups(docs: DataFrame, shingle: int = 2) -> DataFrame:
     needed = texts.join(wanted.hint("merge"), same).select("_node", "text")  # one plan at every size; wanted grows with the copies
     sets = stage(C.map_batches(needed, _sets(shingle), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
     zero = F.lit(0)
-    links = _linked(members.where("not large").select("key", zero.alias("one"), zero.alias("two"), "node", F.col("node").alias("place")), sets)
+    links = linked(members.where("not large").select("key", zero.alias("one"), zero.alias("two"), "node", F.col("node").alias("place")), sets)
     large = members.where("large").select("node", "key")
     if not large.isEmpty():
         links = links.unionByName(_large(ties, large, sets))
     roots = components(links)
     for table in (ties, members, sets):
         unstage(table)
-    linked = stage(kinds.select("node", "first_id").join(roots, "node"), "linked")
-    first = linked.groupBy("root").agg(F.min("first_id").alias("least"))
-    found = linked.join(first, "root").select("node", "least")
+    placed = stage(kinds.select("node", "first_id").join(roots, "node"), "placed")
+    first = placed.groupBy("root").agg(F.min("first_id").alias("least"))
+    found = placed.join(first, "root").select("node", "least")
     own = kinds.select("node", "first_id").join(found, "node", "left").select("node", F.coalesce("least", "first_id").alias("component_id"))
     own = prints.select("doc_id", "node", "n_shingles").join(own, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
