@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20  # text handled at once inside a task; a longer text is a slice of its own
+SLICE_BYTES = 1 << 16  # text handled at once inside a task, so that its arrays stay in the cache; a longer text is a slice of its own
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _LOW = np.uint64(0xFFFFFFFF)
 

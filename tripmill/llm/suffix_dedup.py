@@ -40,6 +40,22 @@ def anchor_width(width: int) -> int:
     return width + 1 - PARTS * max(1, width * 5 // 6 // PARTS)
 
 
+def _anchors(part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of all strings of ``k`` bytes, and those of the power of two below it, of which longer ones are made."""
+    h, size = C.mix(part.astype(np.uint64), np.full(1, 400, np.uint64)), 1
+    while size * 2 <= k:
+        h, size = C.mix(h[:-size], h[size:], size + 1), size * 2
+    return (C.mix(h[: size - k], h[k - size:], k + 1) if k > size else h), h, size
+
+
+def _whole(base: np.ndarray, size: int, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the strings of ``width`` bytes that start at ``at``."""
+    out = base[at]
+    for offset in [*range(size, width - size, size), width - size]:
+        out = C.mix(out, base[at + offset], offset)
+    return out
+
+
 def _contexts(width: int):
     k = anchor_width(width)
 
@@ -53,9 +69,8 @@ def _contexts(width: int):
             windows = np.maximum(lengths - width + 1, 0)
             if not windows.any():
                 continue
-            anchors = C.window_hashes(part, k)
+            anchors, base, size = _anchors(part, k)
             chosen = C.position_of(C.sliding_minimum(C.with_position(anchors), width - k + 1))
-            whole = C.window_hashes(part, width)
             row = np.repeat(np.arange(end - at), windows)
             place = C.spans(starts, windows)
             position = chosen[place]
@@ -65,7 +80,7 @@ def _contexts(width: int):
             last = np.append(first[1:], len(place)) - 1
             s, e, p, r = place[first], place[last], position[first], row[first]
             shape = ((p - s) * 4096 + (e - s)).astype(np.uint64)
-            digest = C.mix(C.mix(whole[s], whole[e], 3), shape, 5)
+            digest = C.mix(C.mix(_whole(base, size, s, width), _whole(base, size, e, width), 3), shape, 5)
             found.append((r + at, anchors[p], digest, s - starts[r], e - s + 1, p - s))
         if not found:
             return None
