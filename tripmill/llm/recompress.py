@@ -212,13 +212,14 @@ def earlier_runs(texts: DataFrame, width: int = 50) -> DataFrame:
     shared = (
         contexts.groupBy("anchor")
         .agg(F.min("d").alias("first"), F.max("d").alias("latest"),
-             F.min("digest").alias("one"), F.max("digest").alias("other"))
-        .where("first < latest").select("anchor", "first", (F.col("one") < F.col("other")).alias("mixed"))
+             F.min("digest").alias("one"), F.max("digest").alias("other"), F.min_by("digest", "d").alias("lead"))
+        .where("first < latest").select("anchor", "first", "lead", (F.col("one") < F.col("other")).alias("mixed"))
     )
     met = stage(contexts.join(shared, "anchor"), "word-shared")
     unstage(contexts)
-    equal = met.where("not mixed and d > first").select("d", "th", "start", "windows")
-    mixed = met.where("mixed").drop("first", "mixed")
+    # What equals the context of the anchor's first document is settled there, however many copies it has.
+    equal = met.where("digest = lead and d > first").select("d", "th", "start", "windows")
+    mixed = met.where("mixed and (digest <> lead or d = first)").drop("first", "lead", "mixed")
     one = F.struct("d", "th", "start", "windows")
     kinds = stage(mixed.groupBy("anchor", "digest").agg(
         F.min("d").alias("first"), F.min(one).alias("one"), F.count(F.lit(1)).alias("times")), "word-kinds")
