@@ -2,6 +2,7 @@
 
 from tripmill.operators import classify as cl
 from tripmill.operators import evaluate as ev
+from tripmill.operators import neighbours as nb
 
 
 def test_grid_search_and_reload(spark, tmp_path):
@@ -25,8 +26,52 @@ def test_neighbours_with_a_hot_cell(spark):
     train = spark.createDataFrame([(i, v.tolist(), i % 4) for i, v in enumerate(x)], "id long, x array<double>, label int")
     q = rng.normal(0, 2, (40, 3))
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, x array<double>")
-    got = cl.nearest_neighbours(train, queries, 5, pivots=6, block=16).toPandas().sort_values(["qid", "place"])
+    got = cl.nearest_neighbours(train, queries, 5, fan=4, leaf=16, block=16).toPandas().sort_values(["qid", "place"])
     for i, v in enumerate(q):
         d = np.sqrt(((x - v) ** 2).sum(axis=1))
         want = np.lexsort((np.arange(len(x)), d))[:5]
         assert got[got["qid"] == i]["id"].tolist() == want.tolist()
+
+
+def test_ball_tree_against_all_pairs(spark):
+    """Several levels, ties by id, more neighbours than rows of a leaf."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(0, 3, (700, 2)), 1)
+    train = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, x array<double>, label int")
+    q = np.concatenate([rng.normal(0, 4, (30, 2)), x[:5]])
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, qx array<double>")
+    tree = nb.ball_tree(train, fan=3, leaf=20)
+    assert tree.levels >= 3 and tree.points.groupBy("node").count().agg({"count": "max"}).first()[0] <= 20
+    for k in (1, 30):
+        got = nb.search(tree, queries, k).toPandas().sort_values(["qid", "place"])
+        for i, v in enumerate(q):
+            d = np.sqrt(((x - v) ** 2).sum(axis=1))
+            assert got[got["qid"] == i]["id"].tolist() == np.lexsort((np.arange(len(x)), d))[:k].tolist()
+
+
+def test_neighbours_in_a_grid_search(spark, tmp_path):
+    """Cross-validated like any classifier; the saved model gives the same classes."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    rows = spark.range(180).selectExpr("id", "cast(id % 3 as double) AS label", "id % 3 * 4.0 + id % 5 * 0.1 AS a", "id % 3 * -2.0 + id % 7 * 0.1 AS b")
+    data = cl.assembled(rows, ["a", "b"]).fit(rows).transform(rows).cache()
+    best, table = cl.grid_search(data, {"nearest_neighbours": cl.model_grid(2, 3)["nearest_neighbours"]}, folds=3)
+    assert len(table) == 6 and all(r[2] == 1.0 for r in table)
+    cl.save_models(best, str(tmp_path))
+    loaded = cl.load_models(list(best), str(tmp_path))
+    assert loaded["nearest_neighbours"].stages[0].getOrDefault("k") == best["nearest_neighbours"].getOrDefault("k")
+    scored = cl.predict_all({**loaded, "again": best["nearest_neighbours"]}, data, ["id"])
+    assert scored.count() == 360 and scored.where("y_true <> y_pred").isEmpty()
+    pipe = Pipeline(stages=[nb.NearestNeighbours(k=3, leaf=20, fan=4)]).fit(data)
+    pipe.save(str(tmp_path / "deep"))
+    again = PipelineModel.load(str(tmp_path / "deep"))
+    assert again.stages[0].tree.levels > 0 and again.transform(data).where("label <> prediction").isEmpty()
+
+
+def test_few_rows(spark):
+    train = spark.createDataFrame([(1, [0.0], 2), (2, [1.0], 1)], "id long, x array<double>, label int")
+    queries = spark.createDataFrame([(9, [0.2])], "id long, x array<double>")
+    assert [r.id for r in cl.nearest_neighbours(train, queries, 5).orderBy("place").collect()] == [1, 2]
+    assert cl.nearest_neighbours(train.limit(0), queries, 5).isEmpty() and cl.nearest_neighbours(train, queries.limit(0), 5).isEmpty()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
@@ -12,13 +10,12 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
-from tripmill.functions.scalar import hash32
-from tripmill.operators.scan import hash_rank
+from tripmill.operators import neighbours
+from tripmill.operators.noise import draw
 
 # Thresholds of the descriptor rates.
 TURN_RATE, STOP_SPEED, SPEED_CHANGE = 19.0, 3.4, 0.26
@@ -76,6 +73,7 @@ def model_grid(n_features: int, n_class: int, small: bool = False) -> dict[str,
     forest, tree = RandomForestClassifier(seed=42), DecisionTreeClassifier(seed=42)
     network = MultilayerPerceptronClassifier(seed=42, maxIter=30 if small else 200)
     svm = LinearSVC(maxIter=10 if small else 100)
+    knn = neighbours.NearestNeighbours()
     depths = [5, 10] if small else [10, 20, 30]
     layers = [[n_features, 100, n_class], [n_features, 50, 25, n_class]]
 
@@ -92,6 +90,7 @@ def model_grid(n_features: int, n_class: int, small: bool = False) -> dict[str,
         "multilayer_perceptron": (network, grid(l=(network.layers, layers[1:] if small else layers))),
         "decision_tree": (tree, grid(d=(tree.maxDepth, depths), s=(tree.minInstancesPerNode, [1] if small else [1, 2]))),
         "linear_svm": (OneVsRest(classifier=svm), grid(c=(svm.regParam, [0.1] if small else [1.0, 0.1]))),
+        "nearest_neighbours": (knn, grid(k=(knn.k, [3, 5, 7]), w=(knn.weights, ["uniform", "distance"]))),
     }
 
 
@@ -116,14 +115,37 @@ def grid_search(train: DataFrame, models: dict[str, tuple], folds: int = 5, para
 
 
 def predict_all(models: dict[str, object], rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Predictions of every model over the same rows, in one table."""
-    out = None
-    for name, model in models.items():
-        scored = model.transform(rows).select(
-            F.lit(name).alias("model"), *keys, F.col("label").cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred")
-        )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    """``model, keys, y_true, y_pred``: predictions of every model over the same rows, which are read once.
+
+    Each model adds a column of its own to the rows; one row per model is made
+    of them at the end. ``models`` may be fitted models or pipelines of one.
+    """
+    wide = rows
+    for i, model in enumerate(models.values()):
+        one = (model.stages[0] if isinstance(model, PipelineModel) else model).copy()
+        scored = one.setPredictionCol(f"_prediction_{i}").transform(wide)
+        wide = scored.select(*wide.columns, f"_prediction_{i}")
+    each = [F.struct(F.lit(n).alias("model"), F.col(f"_prediction_{i}").cast("int").alias("y_pred")) for i, n in enumerate(models)]
+    return wide.select(*keys, F.col("label").cast("int").alias("y_true"), F.inline(F.array(*each))).select("model", *keys, "y_true", "y_pred")
+
+
+def at_noise_levels(scored: DataFrame, keys: list[str], levels: list[float], seed: int = 42) -> DataFrame:
+    """``model, noise_level, keys, y_true, y_pred, is_noisy`` for each level, from predictions of both variants of each sample.
+
+    ``scored`` is that of ``predict_all`` with a ``variant`` clean or noisy among
+    the keys; at a level a sample is noisy with that chance, by one draw for all
+    levels, so the samples of a level are among those of the next. Samples
+    without one of the variants are left out.
+    """
+    def of(variant: str) -> Column:
+        return F.max(F.when(F.col("variant") == variant, F.col("y_pred")))
+
+    both = scored.groupBy("model", *keys).agg(F.first("y_true").alias("y_true"), of("clean").alias("_clean"), of("noisy").alias("_noisy"))
+    listed = F.inline(F.array(*[F.struct(F.lit(f"{round(100 * x)}%noise").alias("noise_level"), F.lit(float(x)).alias("_share")) for x in levels]))
+    rows = both.where("_clean is not null and _noisy is not null").select("*", listed)
+    noisy = draw(seed, *keys, purpose=50) < F.col("_share")
+    return rows.select(
+        "model", "noise_level", *keys, "y_true", F.when(noisy, F.col("_noisy")).otherwise(F.col("_clean")).alias("y_pred"), noisy.alias("is_noisy"))
 
 
 def save_models(models: dict[str, object], folder: str) -> None:
@@ -148,89 +170,12 @@ def score_batches(packed: DataFrame, make_predict, shape: list[int], x: str = "x
     return scored.withColumn("probs", softmax(F.col("scores"))).withColumn("y_pred", argmax(F.col("scores")))
 
 
-DOUBLES = T.ArrayType(T.DoubleType())
-
-
-def _distances(series: pd.Series, centres: np.ndarray) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=float) for v in series]) if len(series) else np.zeros((0, centres.shape[1]))
-    return np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in centres], axis=1)
-
-
 def nearest_neighbours(
-    train: DataFrame, queries: DataFrame, k: int, pivots: int = 32, seed: int = 42, block: int = 4096
+    train: DataFrame, queries: DataFrame, k: int, fan: int = 16, leaf: int = 1024, seed: int = 42, block: int = 4096
 ) -> DataFrame:
-    """The exact ``k`` nearest training rows of each query (``id``, ``x``; training rows also have ``label``).
-
-    Training rows belong to the cell of their nearest pivot. Cell sizes and radii
-    bound each query's k-th distance, and a query visits only cells that can
-    hold something closer. Cells are cut in blocks of bounded size, and so are
-    the queries that visit each cell, so no task holds a whole cell. A block
-    gives at most k rows per query. The driver sees the pivots and two numbers
-    per cell.
-    """
-    chosen = hash_rank(train.select("id", "x"), ["id"], seed).where(F.col("rnk") <= pivots)
-    centres = np.array([list(r["x"]) for r in chosen.orderBy("rnk").collect()])
-
-    @pandas_udf(DOUBLES)
-    def to_pivots(x: pd.Series) -> pd.Series:
-        return pd.Series(list(_distances(x, centres)))
-
-    near = train.withColumn("_d", to_pivots("x")).withColumn("_near", F.array_min("_d")).withColumn(
-        "cell", F.array_position("_d", F.col("_near")).cast("int") - 1).drop("_d")
-    cells = near.groupBy("cell").agg(F.max("_near").alias("radius"), F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
-    ids = np.array([c["cell"] for c in cells])
-    radius, size = np.array([c["radius"] for c in cells]), np.array([c["n"] for c in cells])
-    pieces = np.maximum(1, -(-size // block)).astype(int)
-    piece_of = F.create_map(*[F.lit(int(v)) for pair in zip(ids, pieces) for v in pair])
-
-    @pandas_udf(T.ArrayType(T.IntegerType()))
-    def visits(x: pd.Series) -> pd.Series:
-        d = _distances(x, centres)[:, ids]
-        far = d + radius
-        order = np.argsort(far, axis=1)
-        enough = np.argmax(np.cumsum(size[order], axis=1) >= min(k, size.sum()), axis=1)
-        bound = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)
-        reach = d - radius <= bound * (1 + 1e-9)
-        return pd.Series([ids[row].tolist() for row in reach])
-
-    asked = queries.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.explode(visits("x")).alias("cell"))
-    loads = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
-    share_of = F.create_map(*[F.lit(int(v)) for i in ids for v in (i, max(1, -(-loads.get(int(i), 0) // block)))])
-
-    def part(key: str, salt: int, parts: Column) -> Column:
-        return F.pmod(hash32(salt, F.col(key)), parts).cast("int")
-
-    cell = F.col("cell")
-    held = near.select("id", "x", "label", "cell", part("id", seed, piece_of[cell]).alias("piece")).withColumn(
-        "share", F.explode(F.sequence(F.lit(0), share_of[cell] - 1)))
-    asked = asked.withColumn("share", part("qid", seed + 1, share_of[cell])).withColumn(
-        "piece", F.explode(F.sequence(F.lit(0), piece_of[cell] - 1)))
-
-    schema = "qid long, id long, label int, distance double"
-
-    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "id": [], "label": [], "distance": []})
-        d = _distances(left["qx"], np.stack([np.asarray(v, dtype=float) for v in right["x"]]))
-        rank = np.lexsort((np.broadcast_to(right["id"].to_numpy(), d.shape), d), axis=1)[:, :k]
-        return pd.DataFrame({
-            "qid": np.repeat(left["qid"].to_numpy(), rank.shape[1]), "id": right["id"].to_numpy()[rank].ravel(),
-            "label": right["label"].to_numpy()[rank].ravel(), "distance": np.take_along_axis(d, rank, 1).ravel(),
-        })
-
-    on = ["cell", "piece", "share"]
-    found = asked.groupBy(*on).cogroup(held.groupBy(*on)).applyInPandas(closest, schema)
-    w = Window.partitionBy("qid").orderBy("distance", "id")
-    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-
-
-def knn_vote(neighbours: DataFrame, k: int, weights: str = "uniform") -> DataFrame:
-    """Majority class among the first ``k`` neighbours, plain or by inverse distance; the lower class of equals."""
-    near = neighbours.where(F.col("place") <= k)
-    if weights == "distance":
-        exact = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("qid"))
-        near = near.withColumn("_w", F.when(exact == 1, (F.col("distance") == 0).cast("double")).otherwise(1 / F.nullif(F.col("distance"), F.lit(0.0))))
-    else:
-        near = near.withColumn("_w", F.lit(1.0))
-    votes = near.groupBy("qid", "label").agg(F.sum("_w").alias("_v"))
-    return votes.groupBy("qid").agg(F.max_by("label", F.struct("_v", -F.col("label"))).alias("y_pred"))
+    """The exact ``k`` nearest training rows of each query (``id``, ``x``; training rows also have ``label``), by a tree of balls."""
+    tree = neighbours.ball_tree(train, fan, leaf, seed)
+    return neighbours.search(tree, queries.select(F.col("id").alias("qid"), F.col("x").alias("qx")), k, block, seed)
+
+
+knn_vote = neighbours.vote

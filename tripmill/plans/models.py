@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tripmill.functions.scalar import rounded
 from tripmill.operators import classify as cl
 from tripmill.operators import evaluate as ev
-from tripmill.operators import prepare
+from tripmill.operators import motion, noise, prepare
+from tripmill.operators import neighbours as nb
 from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
 from tripmill.plans.sql import chain, r
+from tripmill.plans.trip_noise import clean_segments, u
 from tripmill.plans.trips import good_steps
 from tripmill.session import shared_folder, stage
+from tripmill.sources.tables import write_model_results
 
 SEG = ["trj_id", "seg_id"]
 EXTRA = ["max_h1", "max_h2", "max_h3", "avg_turn", "exp_turn", "var_turn"]
@@ -86,8 +93,8 @@ def _neighbours(spark, sf):
 
 @query("nearest_neighbours_blocks", KNN + f" SELECT qid, place, id, {r('distance', 8)} AS distance FROM nn")
 def _neighbours_blocks(spark, sf):
-    """The same through blocks of 32 rows, the way taken for cells too large for one task."""
-    return _near_out(neighbours(spark, sf, pivots=8, block=64))
+    """The same through a tree of several levels and blocks of 64 rows, the way taken for more rows than a task holds."""
+    return _near_out(neighbours(spark, sf, fan=4, leaf=64, block=64))
 
 
 def vote_sql(k: int, weight: str) -> str:
@@ -105,32 +112,86 @@ def _vote_distance(spark, sf):
     return cl.knn_vote(neighbours(spark, sf), 7, "distance")
 
 
+@query("knn_model", vote_sql(5, "1.0"))
+def _knn_model(spark, sf):
+    """The classifier in a pipeline, saved and loaded again."""
+    v = vectors(spark, sf).withColumn("features", array_to_vector("x"))
+    folder = f"{shared_folder(spark)}/knn-{uuid.uuid4().hex}"
+    Pipeline(stages=[nb.NearestNeighbours(k=5, leaf=256)]).fit(v.where("id % 4 <> 0")).save(folder)
+    scored = PipelineModel.load(folder).transform(v.where("id % 4 = 0").select("id", "features"))
+    return scored.select(F.col("id").alias("qid"), F.col("prediction").cast("int").alias("y_pred"))
+
+
+TEST = F.pmod(F.floor(F.col("trj_id") / 5), F.lit(4)) == 0
+
+
 def prepared(spark, sf):
-    """Descriptors scaled by the training rows, stored once for the folds of the grid search."""
-    rows = stage(cl.trip_descriptors(clean_steps(spark, sf), SEG).na.fill(0.0), "descriptors")
-    rows = rows.withColumn("is_test", F.pmod(F.floor(F.col("trj_id") / 5), F.lit(4)) == 0)
+    """Descriptors scaled by the training rows, stored once for the folds of the grid search, and the scaling."""
+    rows = stage(cl.trip_descriptors(clean_steps(spark, sf), SEG).na.fill(0.0), "descriptors").withColumn("is_test", TEST)
     pipe = cl.assembled(rows, cl.DESCRIPTORS).fit(rows.where("NOT is_test"))
+    return scaled(pipe, rows), pipe
+
+
+def scaled(pipe, rows):
     return pipe.transform(rows).withColumn("label", F.col("label").cast("double"))
 
 
+GRID_ROWS = "model string, parameters string, accuracy double, is_best boolean"
+
+
+def searched(rows, spark):
+    """The best model of each kind after cross-validation over the small grids (``classify.model_grid``), and all choices."""
+    train = rows.where("NOT is_test")
+    best, table = cl.grid_search(train, cl.model_grid(len(cl.DESCRIPTORS), 5, small=True), folds=2)
+    return best, spark.createDataFrame(table, GRID_ROWS)
+
+
 @query("model_grid")
 def _grid(spark, sf):
     """Cross-validated accuracy per parameter choice."""
-    rows = prepared(spark, sf)
-    _, table = cl.grid_search(rows.where("NOT is_test"), cl.model_grid(len(cl.DESCRIPTORS), 5, small=True), folds=2)
-    return spark.createDataFrame(table, "model string, parameters string, accuracy double, is_best boolean")
+    return searched(prepared(spark, sf)[0], spark)[1]
 
 
 @query("model_report")
 def _report(spark, sf):
-    """Held-out report of saved and reloaded models, all in one pass."""
-    rows = prepared(spark, sf)
-    models = {n: m for n, m in cl.model_grid(len(cl.DESCRIPTORS), 5, small=True).items() if n in ("decision_tree", "random_forest")}
-    fitted = {n: est.copy(grid[0]).fit(rows.where("NOT is_test")) for n, (est, grid) in models.items()}
-    folder = f"{shared_folder(spark)}/models-{np.random.default_rng().integers(1 << 62)}"
-    cl.save_models(fitted, folder)
-    loaded = cl.load_models(list(fitted), folder)
-    return ev.class_report(cl.predict_all(loaded, rows.where("is_test"), SEG), by=["model"])
+    """Held-out report of the best model of each kind, saved and loaded again, through the result sink."""
+    rows, _ = prepared(spark, sf)
+    best, table = searched(rows, spark)
+    folder = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    cl.save_models(best, folder)
+    scored = stage(cl.predict_all(cl.load_models(list(best), folder), rows.where("is_test"), SEG), "predicted")
+    write_model_results(
+        f"{folder}/results", table.where("is_best").select("model", "parameters"), table,
+        ev.class_report(scored, by=["model"]), ev.confusion(scored, by=["model"]))
+    return spark.read.parquet(f"{folder}/results/test_report")
+
+
+@query("model_noise_sets")
+def _noise_sets(spark, sf):
+    """All best models on the held-out trips of the 16 noise sets: one table of descriptors, read once for all models."""
+    rows, pipe = prepared(spark, sf)
+    best, _ = searched(rows, spark)
+    swept = stage(noise.noise_sweep(stage(clean_segments(spark, sf).where(TEST), "held-out")), "sweep")
+    keys = ["noise_config", *SEG]
+    steps = motion.with_enough_steps(motion.step_features(swept, 5, keys))
+    scored = cl.predict_all(best, scaled(pipe, cl.trip_descriptors(steps, keys).na.fill(0.0)), keys)
+    return ev.accuracy(scored, by=["model", "noise_config"])
+
+
+@query("model_noise_levels", chain("good", f""", s AS (SELECT trj_id, seg_id FROM good WHERE accepted AND (trj_id // 5) % 4 = 0 GROUP BY ALL),
+m AS (SELECT unnest(['decision_tree', 'linear_svm', 'multilayer_perceptron', 'nearest_neighbours', 'random_forest']) AS model)
+SELECT model, CAST(i * 10 AS VARCHAR) || '%noise' AS noise_level, count(*) AS segments, count(*) FILTER (i > 0 AND {u(42, 50, 'trj_id', 'seg_id')} < i / 10.0::DOUBLE) AS noisy
+FROM s, m, range(11) l(i) GROUP BY model, i"""))
+def _noise_levels(spark, sf):
+    """The best models over 11 shares of noisy samples; each sample is scored clean and noisy, once, and a level takes one of the two."""
+    rows, pipe = prepared(spark, sf)
+    best, _ = searched(rows, spark)
+    steps = good_steps(spark, sf).where(TEST).withColumn(
+        "variant", F.explode(F.when(F.col("accepted"), F.array(F.lit("noisy"), F.lit("clean"))).otherwise(F.array(F.lit("noisy")))))
+    keys = ["variant", *SEG]
+    scored = cl.predict_all(best, scaled(pipe, cl.trip_descriptors(steps, keys).na.fill(0.0)), keys)
+    scored = cl.at_noise_levels(scored, SEG, [i / 10 for i in range(11)])
+    return scored.groupBy("model", "noise_level").agg(F.count(F.lit(1)).alias("segments"), F.count_if("is_noisy").alias("noisy"))
 
 
 def fixed_network():
