@@ -122,7 +122,10 @@ def density_mask(lat: np.ndarray, lon: np.ndarray, length: int, bandwidth: float
 
 
 def rbf_costs(values: np.ndarray) -> np.ndarray:
-    """Cost of every stretch [i, j): within-stretch scatter under a Gaussian kernel at the median distance."""
+    """Cost of every stretch [i, j): within-stretch scatter under a Gaussian kernel at the median distance.
+
+    Costs are rounded to nine places, so that ties do not hang on the order of a sum.
+    """
     v = np.asarray(values, dtype=float).reshape(len(values), -1)
     square = ((v[:, None, :] - v[None, :, :]) ** 2).sum(axis=2)
     middle = np.median(square[np.triu_indices(len(v), 1)]) if len(v) > 1 else 0.0
@@ -134,7 +137,7 @@ def rbf_costs(values: np.ndarray) -> np.ndarray:
     i, j = np.arange(n + 1)[:, None], np.arange(n + 1)[None, :]
     inside = area[j, j] - area[i, j] - area[j, i] + area[i, i]
     size = np.where(j > i, j - i, 1)
-    return np.where(j > i, (j - i) - inside / size, 0.0)
+    return np.round(np.where(j > i, (j - i) - inside / size, 0.0), 9)
 
 
 def change_points_penalised(values: np.ndarray, penalty: float = 1.0, least: int = 3) -> list[int]:

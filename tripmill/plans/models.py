@@ -122,12 +122,12 @@ def _knn_model(spark, sf):
     return scored.select(F.col("id").alias("qid"), F.col("prediction").cast("int").alias("y_pred"))
 
 
-TEST = F.pmod(F.floor(F.col("trj_id") / 5), F.lit(4)) == 0
+TEST = "pmod(floor(trj_id / 5), 4) = 0"
 
 
 def prepared(spark, sf):
     """Descriptors scaled by the training rows, stored once for the folds of the grid search, and the scaling."""
-    rows = stage(cl.trip_descriptors(clean_steps(spark, sf), SEG).na.fill(0.0), "descriptors").withColumn("is_test", TEST)
+    rows = stage(cl.trip_descriptors(clean_steps(spark, sf), SEG).na.fill(0.0), "descriptors").withColumn("is_test", F.expr(TEST))
     pipe = cl.assembled(rows, cl.DESCRIPTORS).fit(rows.where("NOT is_test"))
     return scaled(pipe, rows), pipe
 

@@ -25,14 +25,63 @@ def _density(spark, sf):
     return sm.density_mask(segs(spark, sf), SEG, 4)
 
 
-@query("change_point_mask")
+# Costs of all stretches (a, b] of a segment from sums down the columns of its kernel matrix, then along its rows.
+COSTS = """, v AS (SELECT trj_id, seg_id, pos, round(velocity, 3) AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY trj_id, seg_id) AS n
+  FROM good WINDOW w AS (PARTITION BY trj_id, seg_id ORDER BY pos)),
+pq AS (SELECT p.trj_id, p.seg_id, p.i, q.i AS j, pow(p.x - q.x, 2) AS sq FROM v p JOIN v q ON p.trj_id = q.trj_id AND p.seg_id = q.seg_id AND p.i <= q.i),
+md AS (SELECT trj_id, seg_id, coalesce(median(sq) FILTER (i < j), 0.0) AS m FROM pq GROUP BY trj_id, seg_id),
+kn AS (SELECT trj_id, seg_id, i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE exp(-least(greatest(sq * CASE WHEN m > 0 THEN 1 / m ELSE 1.0 END, 0.01), 100.0)) END AS k FROM pq JOIN md USING (trj_id, seg_id)),
+dn AS (SELECT trj_id, seg_id, i, j, sum(k) OVER (PARTITION BY trj_id, seg_id, j ORDER BY i DESC) AS col FROM kn),
+al AS (SELECT trj_id, seg_id, i - 1 AS a, j AS b, sum(2 * col - 1) OVER (PARTITION BY trj_id, seg_id, i ORDER BY j) AS inside FROM dn),
+co AS (SELECT trj_id, seg_id, a, b, round((b - a) - inside / (b - a), 9) AS cost FROM al),
+sz AS (SELECT DISTINCT trj_id, seg_id, n FROM v)"""
+
+
+def around_sql(length: int, enough: str) -> str:
+    """Masks around the stretch ends ``en`` (trj_id, seg_id, n, stop) of the segments in ``enough``; all masked elsewhere."""
+    half = length // 2
+    return f""", zr AS (SELECT trj_id, seg_id, CASE WHEN stop - {half} <= 0 THEN 0 WHEN stop + {half} >= n THEN greatest(0, n - {length}) ELSE stop - {half} END AS z FROM en),
+hit AS (SELECT DISTINCT trj_id, seg_id, z + o AS i FROM zr, range({length}) t(o))
+SELECT v.trj_id, v.seg_id, v.pos, CAST(CASE WHEN e.trj_id IS NOT NULL AND h.i IS NULL THEN 1 ELSE 0 END AS INT) AS mask FROM v
+LEFT JOIN ({enough}) e ON e.trj_id = v.trj_id AND e.seg_id = v.seg_id LEFT JOIN hit h ON h.trj_id = v.trj_id AND h.seg_id = v.seg_id AND h.i = v.i - 1"""
+
+
+PENALISED = chain("good", COSTS + """, ls AS (SELECT trj_id, seg_id, b AS stop, list(cost ORDER BY a) AS costs FROM co WHERE b - a >= 3 GROUP BY trj_id, seg_id, b),
+gr AS (SELECT trj_id, seg_id, list(costs ORDER BY stop) AS by_stop FROM ls GROUP BY trj_id, seg_id),
+dp AS (SELECT trj_id, seg_id, n, 2::BIGINT AS stop, [0.0::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE] AS best, [[], [], []]::BIGINT[][] AS paths FROM sz
+  UNION ALL SELECT trj_id, seg_id, n, stop, list_append(best, list_min(total)), list_append(paths, list_append(paths[list_position(total, list_min(total))], stop))
+  FROM (SELECT d.trj_id, d.seg_id, d.n, d.stop + 1 AS stop, d.best, d.paths, list_transform(list_zip(d.best[1:d.stop - 1], g.by_stop[d.stop - 1]), lambda p: p[1] + p[2] + 1.0) AS total
+    FROM dp d JOIN gr g ON g.trj_id = d.trj_id AND g.seg_id = d.seg_id WHERE d.stop < d.n)),
+en AS (SELECT trj_id, seg_id, n, unnest(paths[n + 1]) AS stop FROM dp WHERE stop = n AND best[n + 1] < 'inf'::DOUBLE)"""
+    + around_sql(4, "SELECT trj_id, seg_id FROM en GROUP BY trj_id, seg_id HAVING count(*) > 5"))
+
+FIXED = chain("good", COSTS + """, pl AS (SELECT trj_id, seg_id, n, unnest(list_append(range(0, n, 2), n)) AS p FROM sz),
+st AS (SELECT x.trj_id, x.seg_id, y.p AS b, list(CASE WHEN y.p - x.p >= 3 THEN c.cost ELSE 'inf'::DOUBLE END ORDER BY x.p) AS col
+  FROM pl x JOIN pl y ON x.trj_id = y.trj_id AND x.seg_id = y.seg_id LEFT JOIN co c ON c.trj_id = x.trj_id AND c.seg_id = x.seg_id AND c.a = x.p AND c.b = y.p GROUP BY x.trj_id, x.seg_id, y.p),
+gr AS (SELECT trj_id, seg_id, n, list(col ORDER BY b) AS steps, list_append(range(0, n, 2), n) AS places,
+  greatest(0, least(CAST(round_even(round_even(n * 0.15::DOUBLE, 0) / 3.0, 0) AS BIGINT), n // 3 - 1)) AS wanted FROM st JOIN sz USING (trj_id, seg_id) GROUP BY trj_id, seg_id, n),
+dp AS (SELECT trj_id, seg_id, n, places, wanted, steps, 0::BIGINT AS c, list_transform(steps, lambda col: col[1]) AS best, []::BIGINT[][] AS backs FROM gr
+  UNION ALL SELECT trj_id, seg_id, n, places, wanted, steps, c + 1, list_transform(totals, lambda t: list_min(t)),
+    list_append(backs, list_transform(totals, lambda t: list_position(t, list_min(t))))
+  FROM (SELECT *, list_transform(steps, lambda col: list_transform(list_zip(best, col), lambda p: p[1] + p[2])) AS totals FROM dp WHERE c < wanted)),
+top AS (SELECT trj_id, seg_id, n, places, c, backs FROM dp WHERE c = 0 OR best[len(best)] < 'inf'::DOUBLE QUALIFY c = max(c) OVER (PARTITION BY trj_id, seg_id)),
+en AS (SELECT trj_id, seg_id, n, n AS stop, c, backs, places, len(places) AS place FROM top
+  UNION ALL SELECT trj_id, seg_id, n, places[backs[c][place]], c - 1, backs, places, backs[c][place] FROM en WHERE c > 0)"""
+    + around_sql(3, "SELECT trj_id, seg_id FROM sz"))
+
+
+def paced(spark, sf):
+    return good_steps(spark, sf).withColumn("velocity", F.round("velocity", 3))
+
+
+@query("change_point_mask", PENALISED)
 def _change(spark, sf):
-    return sm.change_mask(good_steps(spark, sf), SEG, "velocity", 4)
+    return sm.change_mask(paced(spark, sf), SEG, "velocity", 4)
 
 
-@query("change_point_mask_fixed")
+@query("change_point_mask_fixed", FIXED)
 def _change_fixed(spark, sf):
-    return sm.change_mask_fixed(good_steps(spark, sf), SEG, "velocity", 0.15, 3)
+    return sm.change_mask_fixed(paced(spark, sf), SEG, "velocity", 0.15, 3)
 
 
 OWN = chain("segs", """, c AS (SELECT trj_id, seg_id, count(*) AS n, (coalesce(var_samp(lat), 0) + 1e-10) * pow(count(*), -1.0 / 3) AS a, (coalesce(var_samp(lon), 0) + 1e-10) * pow(count(*), -1.0 / 3) AS b,
