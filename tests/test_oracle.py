@@ -7,7 +7,7 @@ from compare import compare, connect
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Model training takes most of a minute whatever the scale; test_models covers it.
-SLOW = {"model_grid", "model_report"}
+SLOW = {"model_grid", "model_report", "model_noise_sets", "model_noise_levels"}
 EMPTY = {"augmented_copies"}  # four trips, one of each class: nothing to balance
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmill.functions.scalar import hash32
-from tripmill.operators import masks, motion, resample, shape_masks
+from tripmill.operators import masks, motion, noise, resample, shape_masks
 from tripmill.schema import FEATURES, FEATURES_WITH_TIME
-from tripmill.session import stage
+from tripmill.session import stage, unstage
 from tripmill.sources.tables import write_stage
 
 SEGMENT = ["trj_id", "seg_id"]
@@ -76,3 +76,48 @@ def feature_tables(
 def write_feature_tables(tables: dict[str, DataFrame], folder: str, split: str) -> None:
     for name, df in tables.items():
         write_stage(df.withColumn("split", F.lit(split)), f"{folder}/{name}")
+
+
+MANIFEST = "split string, noise_config string, name string, n bigint"
+
+
+def stored_sets(spark: SparkSession, folder: str, split: str) -> set[str]:
+    """The noise sets of ``split`` whose tables have all been written to ``folder``, by its manifest."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return set()
+    rows = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").where(F.col("split") == split)
+    return {r["noise_config"] for r in rows.select("noise_config").distinct().collect()}  # a name per set
+
+
+def store_sweep(segments: DataFrame, folder: str, split: str, seed: int = 42, at_once: int = 16, **settings) -> list[str]:
+    """Prepare and write the tables of all noise sets, ``at_once`` sets in one job; returns the sets written now.
+
+    Tables lie in folders by split and set. A set is listed in the manifest,
+    with its row counts, after all its tables are written, and listed sets are
+    not made again: a broken run goes on where it stopped, and folders that it
+    left half done are replaced. ``segments`` should be a stored table.
+    """
+    spark = segments.sparkSession
+    done = stored_sets(spark, folder, split)
+    left = [x for x in noise.sweep_names() if x not in done]
+    for i in range(0, len(left), at_once):
+        now = left[i: i + at_once]
+        swept = stage(noise.noise_sweep(segments, seed).where(F.col("noise_config").isin(now)), "sweep")
+        keys = ["noise_config", *SEGMENT]
+        counts = None
+        for name, df in feature_tables(swept, keys=keys, **settings).items():
+            if "noise_config" not in df.columns:
+                continue
+            write_stage(df.withColumn("split", F.lit(split)), f"{folder}/{name}", own=True)
+            rows = read_stored(spark, folder, name, split).where(F.col("noise_config").isin(now))
+            count = rows.groupBy("split", "noise_config").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+            counts = count if counts is None else counts.unionByName(count)
+        counts.select("split", "noise_config", "name", "n").write.mode("append").parquet(f"{folder}/manifest")
+        unstage(swept)
+    return left
+
+
+def read_stored(spark: SparkSession, folder: str, name: str, split: str) -> DataFrame:
+    """One table of ``store_sweep``; filters on the set reach the folders."""
+    return spark.read.parquet(f"{folder}/{name}").where(F.col("split") == split)

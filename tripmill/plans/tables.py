@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tripmill.functions.scalar import rounded
-from tripmill.operators import motion, noise, scan
+from tripmill.operators import motion, scan
 from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
-from tripmill.plans.feature_tables import feature_tables, trajectory_masks
+from tripmill.plans.feature_tables import feature_tables, read_stored, store_sweep, trajectory_masks
 from tripmill.plans.motion_profile import segments_of
 from tripmill.plans.sql import case, chain, r
 from tripmill.plans.trip_noise import clean_segments
 from tripmill.plans.trips import good_steps
-from tripmill.schema import ACC_LIMIT_5, ACC_LIMIT_8, SPEED_LIMIT_5, SPEED_LIMIT_8
-from tripmill.session import stage
+from tripmill.schema import ACC_LIMIT_5, ACC_LIMIT_8, FEATURES, SPEED_LIMIT_5, SPEED_LIMIT_8
+from tripmill.session import shared_folder, stage
 
 SEG = ["trj_id", "seg_id"]
 NAMES = ["clean_features", "noisy_features", "feature_masks", "clean_points", "noisy_points", "trj_masks"]
@@ -36,13 +38,22 @@ def _tables(spark, sf):
     return _sizes(feature_tables(stage(segments_of(fx.points(spark, sf)), "segments")), SEG)
 
 
+VALUES = {"clean_features": FEATURES, "noisy_features": FEATURES, "feature_masks": FEATURES, "clean_points": ["lat", "lon"], "noisy_points": ["lat", "lon"], "trj_masks": ["mask"]}
+
+
 @query("noisy_feature_tables")
 def _noisy_tables(spark, sf):
-    """The same tables for all 16 noise sets at once; rows per set and table."""
-    swept = stage(noise.noise_sweep(clean_segments(spark, sf)), "sweep")
-    keys = ["noise_config", *SEG]
-    tables = feature_tables(swept, keys=keys)
-    return _sizes(tables, keys).groupBy("name", "noise_config").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("segments"))
+    """The tables of all 16 noise sets, written, and read back by set: rows, segments and the sum of all values."""
+    folder = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
+    store_sweep(clean_segments(spark, sf), folder, "test")
+    out = None
+    for name, columns in VALUES.items():
+        rows = read_stored(spark, folder, name, "test")
+        total = F.sum(sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns), F.lit(0.0)))
+        part = rows.groupBy("noise_config").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct(*SEG).alias("segments"), rounded(total, 4).alias("total")).withColumn("name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("name", "noise_config", "n", "segments", "total")
 
 
 @query("random_feature_mask_sizes", chain("good", USABLE + """, z AS (SELECT trj_id, seg_id, CAST(count(*) AS INT) AS n FROM u GROUP BY ALL)

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 FILES = 32  # in a folder of a stage table, at most
 
 
-def write_stage(df: DataFrame, path: str, partitions: list[str] = ["split", "noise_config"]) -> None:
-    """Write a stage table, in folders per split and noise configuration where it has those columns."""
+def write_stage(df: DataFrame, path: str, partitions: list[str] = ["split", "noise_config"], own: bool = False) -> None:
+    """Write a stage table, in folders per split and noise configuration where it has those columns.
+
+    With ``own`` only the folders that ``df`` has rows for are replaced, and the others stay.
+    """
     present = [c for c in partitions if c in df.columns]
     # Rows of one folder come from at most FILES tasks; the folder key alone would put a split in one task.
     salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in present]), F.lit(FILES))
-    df.repartition(*present, salt).write.mode("overwrite").partitionBy(*present).parquet(path)
+    writer = df.repartition(*present, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if own else "static")
+    writer.partitionBy(*present).parquet(path)
 
 
 def cached_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
