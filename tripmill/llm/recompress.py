@@ -28,7 +28,7 @@ from tripmill.session import stage, unstage
 ROUNDS = 3
 LAST = (1 << 63) - 1  # a null id comes after all others
 
-_CONTEXT = "d bigint, th int, anchor bigint, digest bigint, start int, windows int"
+_CONTEXT = "d bigint, th int, anchor bigint, digest bigint, starts array<int>, windows int"
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,11 +171,17 @@ def _contexts(width: int):
         if not found:
             return None
         r, key, digest, s, n = (np.concatenate(x) for x in zip(*found))
-        take = pa.array(r)
+        # A text that repeats a context has one row for it, with all its places.
+        order = np.lexsort((s, n, digest, key, r))
+        r, key, digest, s, n = (x[order] for x in (r, key, digest, s, n))
+        first = np.flatnonzero(np.concatenate((
+            [True], (r[1:] != r[:-1]) | (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]) | (n[1:] != n[:-1]))))
+        starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(r)), pa.int32()), pa.array(s, pa.int32()))
+        take = pa.array(r[first])
         return pa.RecordBatch.from_arrays(
-            [batch.column("d").take(take), batch.column("th").take(take), pa.array(C.signed(key)),
-             pa.array(C.signed(digest)), pa.array(s, pa.int32()), pa.array(n, pa.int32())],
-            names=["d", "th", "anchor", "digest", "start", "windows"])
+            [batch.column("d").take(take), batch.column("th").take(take), pa.array(C.signed(key[first])),
+             pa.array(C.signed(digest[first])), starts, pa.array(n[first], pa.int32())],
+            names=["d", "th", "anchor", "digest", "starts", "windows"])
     return run
 
 
@@ -189,7 +195,7 @@ def _open_windows(width: int):
             one = C.window_hashes(hashes, width)
             two = C.window_hashes(C.mix(hashes, np.full(1, 1, np.uint64), 600), width)
             for i in range(at, stop):
-                runs = np.array([(c["start"], c["windows"]) for c in listed[i]], np.int64)
+                runs = np.array([(a, c["windows"]) for c in listed[i] for a in c["starts"]], np.int64)
                 place = C.spans(runs[:, 0], runs[:, 1])
                 here = place + bounds[i - at]
                 out.append((np.full(len(place), i), C.signed(one[here]), C.signed(two[here]), place))
@@ -204,7 +210,7 @@ def _open_windows(width: int):
 
 
 def earlier_runs(texts: DataFrame, width: int = 50) -> DataFrame:
-    """``d, th, start, windows``: windows, by first word and number, that also start in a text with a smaller ``d``.
+    """``d, th, starts, windows``: windows, by first words and number, that also start in a text with a smaller ``d``.
 
     ``texts`` has ``d`` (order of the text), ``text`` (not null), ``th`` (hash of the text).
     """
@@ -218,24 +224,24 @@ def earlier_runs(texts: DataFrame, width: int = 50) -> DataFrame:
     met = stage(contexts.join(shared, "anchor"), "word-shared")
     unstage(contexts)
     # What equals the context of the anchor's first document is settled there, however many copies it has.
-    equal = met.where("digest = lead and d > first").select("d", "th", "start", "windows")
+    equal = met.where("digest = lead and d > first").select("d", "th", "starts", "windows")
     mixed = met.where("mixed and (digest <> lead or d = first)").drop("first", "lead", "mixed")
-    one = F.struct("d", "th", "start", "windows")
+    one = F.struct("d", "th", "starts", "windows")
     kinds = stage(mixed.groupBy("anchor", "digest").agg(
         F.min("d").alias("first"), F.min(one).alias("one"), F.count(F.lit(1)).alias("times")), "word-kinds")
     # A kind that occurs once is there already; only the rows of the others meet theirs.
     often = stage(mixed.join(kinds.where("times > 1").select("anchor", "digest", "first"), ["anchor", "digest"]), "word-often")
-    equal_mixed = often.where("d > first").select("d", "th", "start", "windows")
-    alone = kinds.where("times = 1").select("one.*").unionByName(often.where("d = first").select("d", "th", "start", "windows"))
+    equal_mixed = often.where("d > first").select("d", "th", "starts", "windows")
+    alone = kinds.where("times = 1").select("one.*").unionByName(often.where("d = first").select("d", "th", "starts", "windows"))
     listed = (
-        alone.groupBy("d", "th").agg(F.collect_set(F.struct("start", "windows")).alias("contexts"))
+        alone.groupBy("d", "th").agg(F.collect_set(F.struct("starts", "windows")).alias("contexts"))
         .withColumnsRenamed({"d": "_d", "th": "_t"})
     )
     # All columns stay, so that this join and the one that cuts the texts read one and the same exchange.
     opened = texts.join(listed, F.expr("d = _d and th = _t")).select(*texts.columns, "contexts")
     windows = C.map_batches(opened, _open_windows(width), "one bigint, two bigint, d bigint, th int, start int")
     first = windows.groupBy("one", "two").agg(F.min("d").alias("first"), F.max("d").alias("latest")).where("latest > first")
-    single = windows.join(first, ["one", "two"]).where("d > first").select("d", "th", "start", F.lit(1).alias("windows"))
+    single = windows.join(first, ["one", "two"]).where("d > first").select("d", "th", F.array("start").alias("starts"), F.lit(1).alias("windows"))
     return equal.unionByName(equal_mixed).unionByName(single)
 
 
@@ -248,7 +254,7 @@ def _cut(width: int):
         for i, found in enumerate(batch.column("runs").to_pylist()):
             body = data[offsets[i]: offsets[i + 1]]
             starts, ends, _ = words(body, np.array([0, len(body)]))
-            runs = [(x["start"], x["start"] + x["windows"] - 1 + width) for x in found or ()]
+            runs = [(a, a + x["windows"] - 1 + width) for x in found or () for a in x["starts"]]
             kept, removed, _ = C.kept_ranges(len(starts), runs)
             raw = body.tobytes()
             bare = b" ".join(raw[a:b] for x, y in kept for a, b in zip(starts[x:y].tolist(), ends[x:y].tolist()))
@@ -281,7 +287,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
         F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.coalesce("text", F.lit("")).alias("text"),
         F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"]).alias("row"),
     ).withColumn("th", F.hash("text"))
-    runs = earlier_runs(texts, width).groupBy("d", "th").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
+    runs = earlier_runs(texts, width).groupBy("d", "th").agg(F.collect_set(F.struct("starts", "windows")).alias("runs"))
     runs = runs.withColumnsRenamed({"d": "_d", "th": "_t"})
     joined = texts.join(runs, F.expr("d = _d and th = _t"), "left").select(*texts.columns, "runs")
     row = joined.schema["row"].dataType.simpleString()
