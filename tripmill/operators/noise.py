@@ -8,6 +8,8 @@ many configurations side by side.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from tripmill.functions.geo import geodesic_m
-from tripmill.functions.scalar import hash32, uniform01
+from tripmill.functions.scalar import uniform01
 from tripmill.operators.scan import hash_rank
 from tripmill.schema import DRIFT_FACTOR, MAX_SEGMENT, MIN_POINTS, MISSING_RATE, lookup
 
@@ -101,30 +103,40 @@ def add_drift(
     ).select(*segments.columns)
 
 
+# Lengths of lost runs as (share of draws up to, shortest, longest).
+LOST_RUNS = ((0.70, 1, 3), (0.95, 4, 8), (1.0, 9, 15))
+
+
 @pandas_udf(T.ArrayType(T.IntegerType()))
-def missing_places(n_points: pd.Series, wanted: pd.Series, draw_seed: pd.Series) -> pd.Series:
-    """Places to remove from a segment: separate runs, mostly short, until ``wanted`` places are gone."""
-    kinds = ((0.70, 1, 3), (0.95, 4, 8), (1.0, 9, 15))  # share up to, shortest, longest
+def missing_places(n_points: pd.Series, wanted: pd.Series, key: pd.Series) -> pd.Series:
+    """Places to remove from a segment: separate runs, mostly short, until ``wanted`` places are gone.
 
-    def one(n: int, want: int, seed: int) -> list[int]:
-        rng = np.random.default_rng(seed)
+    Attempt ``i`` draws kind, length and start of a run from the MD5 of ``key`` and
+    ``i``; a run that meets an earlier one is given up. A segment has at most
+    ``MAX_SEGMENT`` points, so the walk over its attempts is short.
+    """
+
+    def one(n: int, want: int, name: str) -> list[int]:
         gone = np.zeros(n, dtype=bool)
         left = want
-        while left > 0:
-            u = rng.random()
-            longest = next(hi for share, _, hi in kinds if u < share)
+        for i in itertools.count():
+            if left <= 0:
+                break
+            drawn = hashlib.md5(f"{name}|{i}".encode()).hexdigest()
+            kind, length, place = (int(drawn[at : at + 8], 16) / 2**32 for at in (0, 8, 16))
+            longest = next(hi for share, _, hi in LOST_RUNS if kind < share)
             most = min(longest, left)
-            least = max(lo for _, lo, hi in kinds if hi <= longest and lo <= most)
-            size = int(rng.integers(least, most + 1))
+            least = max(lo for _, lo, hi in LOST_RUNS if hi <= longest and lo <= most)
+            size = least + int(length * (most - least + 1))
             if n - size <= 0:
                 break
-            start = int(rng.integers(0, n - size))
+            start = int(place * (n - size))
             if not gone[start : start + size].any():
                 gone[start : start + size] = True
                 left -= size
         return np.flatnonzero(gone).tolist()
 
-    return pd.Series([one(int(n), int(w), int(s)) for n, w, s in zip(n_points, wanted, draw_seed)])
+    return pd.Series([one(int(n), int(w), k) for n, w, k in zip(n_points, wanted, key)])
 
 
 def drop_runs(
@@ -136,9 +148,9 @@ def drop_runs(
     heads = heads_of(segments) if heads is None else heads
     rate = F.least(F.lit(0.4), lookup(MISSING_RATE, F.col("label"), 0.10) * (1 + _lit(intensity) * 2))
     want = F.least(F.floor(F.col("n_points") * rate), F.col("n_points") - minimum).cast("int")
-    state = hash32(_lit(seed), *[F.col(k) for k in ids])
+    name = F.concat_ws("|", *[c.cast("string") for c in (_lit(seed), *[F.col(k) for k in ids])])
     chosen = heads.join(choose_segments(heads, intensity, seed, keys, config), keys, "left_semi")
-    lost = chosen.withColumn("_want", want).where("_want > 0").select(*keys, F.explode(missing_places(F.col("n_points"), F.col("_want"), state)).alias("pos"))
+    lost = chosen.withColumn("_want", want).where("_want > 0").select(*keys, F.explode(missing_places(F.col("n_points"), F.col("_want"), name)).alias("pos"))
     w = Window.partitionBy(*keys)
     kept = segments.join(lost, [*keys, "pos"], "left_anti")
     return (

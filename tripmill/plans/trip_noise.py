@@ -12,7 +12,7 @@ from tripmill.plans.motion_profile import segments_of
 from tripmill.session import stage
 from tripmill.plans.sql import case, chain, distance_ctes, h32, r, steps
 from tripmill.plans.trips import steps_of
-from tripmill.schema import DRIFT_FACTOR
+from tripmill.schema import DRIFT_FACTOR, MISSING_RATE
 
 SEG = ["trj_id", "seg_id"]
 
@@ -28,19 +28,79 @@ cl AS (SELECT s.*, count(*) OVER (PARTITION BY trj_id, seg_id) AS m FROM segs s
 base AS (SELECT trj_id, seg_id, label, t, lat, lon, CAST(row_number() OVER (PARTITION BY trj_id, seg_id ORDER BY pos) - 1 AS INT) AS pos, CAST(m AS INT) AS n FROM cl WHERE m >= 10)"""
 
 
-def u(seed: int, purpose: int, *keys: str) -> str:
+def u(seed: int | str, purpose: int, *keys: str) -> str:
     return f"(CAST({h32(seed, purpose, *keys)} AS DOUBLE) / 4294967296.0)"
 
 
-def gauss(seed: int, purpose: int, *keys: str) -> str:
+def gauss(seed: int | str, purpose: int, *keys: str) -> str:
     return f"(sqrt(-2.0 * ln(1.0 - {u(seed, purpose, *keys)})) * cos(2 * pi() * {u(seed, purpose + 1, *keys)}))"
 
 
-def picked(intensity: float, seed: int) -> str:
-    h = h32(0, seed, "trj_id", "seg_id")
+def noisy(*settings: tuple) -> str:
+    """CTEs up to ``noisy``: ``base`` under each (name, then level and seed of drift, lost runs and outliers)."""
+    real = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+    rows = ", ".join(f"('{name}', " + ", ".join(real(float(v)) if i % 2 == 0 else str(v) for i, v in enumerate(rest)) + ")" for name, *rest in settings)
+    rank = ", ".join(f"row_number() OVER (PARTITION BY cfg ORDER BY {h32(0, f's{i}', 'trj_id', 'seg_id')}, trj_id, seg_id) AS r{i}" for i in (1, 2, 3))
+    key = "cfg, trj_id, seg_id"
+    on = " AND ".join(f"s.{k} = a.{k}" for k in key.split(", "))
+    word = lambda at: f"CAST(CAST('0x' || substr(m, {at}, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
     return f""",
-heads AS (SELECT trj_id, seg_id, row_number() OVER (ORDER BY {h}, trj_id, seg_id) AS rk, count(*) OVER () AS c FROM base WHERE pos = 0),
-pick AS (SELECT trj_id, seg_id FROM heads WHERE rk <= floor(c * CAST({intensity} AS DOUBLE)))"""
+cfg AS MATERIALIZED (SELECT * FROM (VALUES {rows}) v(cfg, l1, s1, l2, s2, l3, s3)),
+heads AS MATERIALIZED (SELECT *, r1 <= floor(c * l1) AS p1, r2 <= floor(c * l2) AS p2, r3 <= floor(c * l3) AS p3 FROM
+  (SELECT cfg.*, trj_id, seg_id, label, n, count(*) OVER (PARTITION BY cfg) AS c, {rank} FROM base, cfg WHERE pos = 0)),
+b0 AS MATERIALIZED (SELECT h.cfg, b.* FROM heads h JOIN base b USING (trj_id, seg_id)),
+pr AS (SELECT b0.*, l1, s1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2
+  FROM b0 JOIN (SELECT {key}, l1, s1 FROM heads WHERE p1) USING ({key}) WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+{distance_ctes("pr", "ds")},
+sc AS MATERIALIZED (SELECT *, avg(CASE WHEN lat2 IS NOT NULL THEN d END) OVER v * (0.05 + l1 * 0.10) * {case("label", DRIFT_FACTOR, "1.0")} / 111000.0 AS sg,
+  cos(radians(avg(lat) OVER v)) AS shrink, {gauss("s1", 10, "trj_id", "seg_id", "pos")} * CASE WHEN pos = 0 THEN 1 ELSE sqrt(1 - 0.49) END AS ea,
+  {gauss("s1", 20, "trj_id", "seg_id", "pos")} * CASE WHEN pos = 0 THEN 1 ELSE sqrt(1 - 0.49) END AS eo
+  FROM ds WINDOW v AS (PARTITION BY {key})),
+ar AS (SELECT {key}, pos, ea AS xa, eo AS xo FROM sc WHERE pos = 0
+  UNION ALL SELECT s.cfg, s.trj_id, s.seg_id, s.pos, 0.7 * a.xa + s.ea, 0.7 * a.xo + s.eo FROM ar a JOIN sc s ON {on} AND s.pos = a.pos + 1),
+d1 AS MATERIALIZED (SELECT {key}, label, t, least(90.0, greatest(-90.0, lat + xa * sg)) AS lat, least(180.0, greatest(-180.0, lon + xo * sg / shrink)) AS lon, pos
+  FROM sc JOIN ar USING ({key}, pos)
+  UNION ALL SELECT {key}, label, t, lat, lon, pos FROM b0 ANTI JOIN (SELECT {key} FROM heads WHERE p1) USING ({key})),
+wanted AS (SELECT {key}, n, s2, least(CAST(floor(n * least(CAST(0.4 AS DOUBLE), {case("label", MISSING_RATE, "CAST(0.1 AS DOUBLE)")} * (1 + l2 * 2))) AS BIGINT), n - 10) AS want FROM heads WHERE p2),
+lose AS (SELECT {key}, n, s2, CAST(0 AS BIGINT) AS i, CAST(want AS BIGINT) AS todo, CAST([] AS BIGINT[]) AS gone FROM wanted WHERE want > 0
+  UNION ALL SELECT {key}, n, s2, i + 1, CASE WHEN met THEN todo ELSE todo - size END, CASE WHEN met THEN gone ELSE list_concat(gone, range(st, st + size)) END
+  FROM (SELECT *, list_has_any(gone, range(st, st + size)) AS met
+  FROM (SELECT *, CAST(floor(u3 * (n - size)) AS BIGINT) AS st
+  FROM (SELECT *, low + CAST(floor(u2 * (most - low + 1)) AS BIGINT) AS size
+  FROM (SELECT *, CASE WHEN kind = 15 AND most >= 9 THEN 9 WHEN kind >= 8 AND most >= 4 THEN 4 ELSE 1 END AS low
+  FROM (SELECT *, least(kind, todo) AS most
+  FROM (SELECT *, CASE WHEN u1 < 0.7 THEN 3 WHEN u1 < 0.95 THEN 8 ELSE 15 END AS kind
+  FROM (SELECT *, {word(1)} AS u1, {word(9)} AS u2, {word(17)} AS u3
+  FROM (SELECT *, md5(concat_ws('|', s2, trj_id, seg_id, i)) AS m FROM lose WHERE todo > 0))))))))),
+d2 AS MATERIALIZED (SELECT {key}, label, t, lat, lon, CAST(row_number() OVER (PARTITION BY {key} ORDER BY pos) - 1 AS INT) AS pos,
+  CAST(count(*) OVER (PARTITION BY {key}) AS INT) AS n
+  FROM d1 ANTI JOIN (SELECT {key}, unnest(gone) AS pos FROM lose WHERE todo = 0) USING ({key}, pos)),
+o1 AS (SELECT d2.*, p3, {u("s3", 30, "trj_id", "seg_id")} AS u0, {u("s3", 31, "trj_id", "seg_id", "pos")} AS u1, {u("s3", 32, "trj_id", "seg_id", "pos")} AS u2,
+  {u("s3", 33, "trj_id", "seg_id", "pos")} AS u3, least(4, n // 5 + 1) AS most, pos >= 1 AND pos <= n - 2 AS inside_,
+  (lag(lat) OVER w + lead(lat) OVER w) / 2 AS ml, (lag(lon) OVER w + lead(lon) OVER w) / 2 AS mo
+  FROM d2 JOIN (SELECT {key}, p3, s3 FROM heads) USING ({key}) WINDOW w AS (PARTITION BY {key} ORDER BY pos)),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY NOT inside_, u1, pos) AS rk,
+  CASE WHEN most <= 1 THEN 1 ELSE 1 + floor(u0 * (most - 1)) END AS q FROM o1),
+o3 AS (SELECT *, p3 AND inside_ AND rk <= q AS hit FROM o2),
+noisy AS MATERIALIZED (SELECT {key}, label, t, pos, n,
+  CASE WHEN hit THEN least(90.0, greatest(-90.0, ml + (50 + 150 * u2) * cos(2 * pi() * u3) / 111000)) ELSE lat END AS lat,
+  CASE WHEN hit THEN least(180.0, greatest(-180.0, mo + (50 + 150 * u2) * sin(2 * pi() * u3) / (111000 * cos(radians(ml))))) ELSE lon END AS lon FROM o3)"""
+
+
+def setting(name: str, kind: str, level: float) -> tuple:
+    """Levels and seeds of one noise set."""
+    if kind == "mixed":
+        return name, level * 0.8, 42, level * 0.6, 43, level * 0.3, 44
+    return name, *(x for k in ("drift", "missing", "outlier") for x in (level if k == kind else 0.0, 42))
+
+
+SETS = [setting(f"{kind}_{round(level * 100)}_percent", kind, level) for kind in noise.SWEEP_KINDS for level in noise.SWEEP_LEVELS]
+PLACES = f" SELECT trj_id, seg_id, pos, {r('lat', 8)} AS lat, {r('lon', 8)} AS lon FROM noisy"
+THINNED = f" SELECT trj_id, seg_id, pos, n AS n_points, t, {r('lat', 8)} AS lat, {r('lon', 8)} AS lon FROM noisy"
+
+
+def places(rows, *columns: str):
+    return rows.select(*SEG, "pos", *columns, rounded(F.col("lat"), 8).alias("lat"), rounded(F.col("lon"), 8).alias("lon"))
 
 
 @query("noise_statistics", chain("steps", " SELECT " + ", ".join(
@@ -53,87 +113,67 @@ def _stats(spark, sf):
     return out.select(*[rounded(F.col(c), 6 if c == "noise_ratio" else 4).alias(c) for c in out.columns])
 
 
-@query("chosen_segments", chain("steps", CLEAN + picked(0.3, 42) + " SELECT trj_id, seg_id FROM pick"))
+@query("chosen_segments", chain("steps", CLEAN + noisy(setting("x", "drift", 0.3)) + " SELECT trj_id, seg_id FROM heads WHERE p1"))
 def _chosen(spark, sf):
     return noise.choose_segments(noise.heads_of(clean_segments(spark, sf)), 0.3, 42)
 
 
-DRIFTED = picked(0.3, 42) + f""",
-pr AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM base WINDOW w AS (PARTITION BY trj_id, seg_id ORDER BY pos)),
-{distance_ctes("pr", "ds")},
-sc AS (SELECT *, avg(CASE WHEN lat2 IS NOT NULL THEN d END) OVER v * (0.05 + 0.3 * 0.10) * {case("label", DRIFT_FACTOR)} / 111000.0 AS sg,
-  cos(radians(avg(lat) OVER v)) AS shrink, {gauss(42, 10, "trj_id", "seg_id", "pos")} * CASE WHEN pos = 0 THEN 1 ELSE sqrt(1 - 0.49) END AS ea,
-  {gauss(42, 20, "trj_id", "seg_id", "pos")} * CASE WHEN pos = 0 THEN 1 ELSE sqrt(1 - 0.49) END AS eo
-  FROM ds WINDOW v AS (PARTITION BY trj_id, seg_id)),
-ar AS (SELECT trj_id, seg_id, pos, ea AS xa, eo AS xo FROM sc WHERE pos = 0
-  UNION ALL SELECT s.trj_id, s.seg_id, s.pos, 0.7 * a.xa + s.ea, 0.7 * a.xo + s.eo FROM ar a JOIN sc s ON s.trj_id = a.trj_id AND s.seg_id = a.seg_id AND s.pos = a.pos + 1)
-SELECT s.trj_id, s.seg_id, s.pos, {r("CASE WHEN p.trj_id IS NULL THEN lat ELSE lat + xa * sg END", 8)} AS lat,
-  {r("CASE WHEN p.trj_id IS NULL THEN lon ELSE lon + xo * sg / shrink END", 8)} AS lon
-FROM sc s JOIN ar USING (trj_id, seg_id, pos) LEFT JOIN pick p ON p.trj_id = s.trj_id AND p.seg_id = s.seg_id"""
-
-
-@query("inject_drift", chain("steps", CLEAN + DRIFTED))
+@query("inject_drift", chain("steps", CLEAN + noisy(setting("x", "drift", 0.3)) + PLACES))
 def _drift(spark, sf):
-    out = noise.add_drift(clean_segments(spark, sf), 0.3, 42)
-    return out.select(*SEG, "pos", rounded(F.col("lat"), 8).alias("lat"), rounded(F.col("lon"), 8).alias("lon"))
+    return places(noise.add_drift(clean_segments(spark, sf), 0.3, 42))
 
 
-@query("inject_missing")
+@query("inject_missing", chain("steps", CLEAN + noisy(setting("x", "missing", 0.3)) + THINNED))
 def _missing(spark, sf):
-    return noise.drop_runs(clean_segments(spark, sf), 0.3, 42).select(*SEG, "pos", "n_points", "t", "lat", "lon")
-
+    return places(noise.drop_runs(clean_segments(spark, sf), 0.3, 42), "n_points", "t")
 
-OUTLIERS = picked(0.3, 42) + f""",
-a AS (SELECT *, {u(42, 30, "trj_id", "seg_id")} AS u0, {u(42, 31, "trj_id", "seg_id", "pos")} AS u1, {u(42, 32, "trj_id", "seg_id", "pos")} AS u2,
-  {u(42, 33, "trj_id", "seg_id", "pos")} AS u3, least(4, n // 5 + 1) AS most, pos >= 1 AND pos <= n - 2 AS inner_,
-  (lag(lat) OVER w + lead(lat) OVER w) / 2 AS ml, (lag(lon) OVER w + lead(lon) OVER w) / 2 AS mo FROM base WINDOW w AS (PARTITION BY trj_id, seg_id ORDER BY pos)),
-b AS (SELECT *, row_number() OVER (PARTITION BY trj_id, seg_id ORDER BY NOT inner_, u1, pos) AS rk,
-  CASE WHEN most <= 1 THEN 1 ELSE 1 + floor(u0 * (most - 1)) END AS q FROM a),
-c AS (SELECT b.*, p.trj_id IS NOT NULL AND inner_ AND rk <= q AS hit FROM b LEFT JOIN pick p ON p.trj_id = b.trj_id AND p.seg_id = b.seg_id)
-SELECT trj_id, seg_id, pos, {r("CASE WHEN hit THEN ml + (50 + 150 * u2) * cos(2 * pi() * u3) / 111000 ELSE lat END", 8)} AS lat,
- {r("CASE WHEN hit THEN mo + (50 + 150 * u2) * sin(2 * pi() * u3) / (111000 * cos(radians(ml))) ELSE lon END", 8)} AS lon FROM c"""
 
-
-@query("inject_outliers", chain("steps", CLEAN + OUTLIERS))
+@query("inject_outliers", chain("steps", CLEAN + noisy(setting("x", "outlier", 0.3)) + PLACES))
 def _outliers(spark, sf):
-    out = noise.add_outliers(clean_segments(spark, sf), 0.3, 42)
-    return out.select(*SEG, "pos", rounded(F.col("lat"), 8).alias("lat"), rounded(F.col("lon"), 8).alias("lon"))
+    return places(noise.add_outliers(clean_segments(spark, sf), 0.3, 42))
 
 
-@query("inject_mixed")
+@query("inject_mixed", chain("steps", CLEAN + noisy(setting("x", "mixed", 0.3)) + THINNED))
 def _mixed(spark, sf):
-    return noise.add_mixed(clean_segments(spark, sf), 0.3, 42).select(*SEG, "pos", "n_points", "t", "lat", "lon")
+    return places(noise.add_mixed(clean_segments(spark, sf), 0.3, 42), "n_points", "t")
 
 
-@query("noise_sweep")
+@query("noise_sweep", chain("steps", CLEAN + noisy(*SETS) + f""" SELECT cfg AS noise_config, count(*) FILTER (pos = 0) AS segments, count(*) AS n_points,
+  {r("avg(lat)", 6)} AS avg_lat, {r("avg(lon)", 6)} AS avg_lon FROM noisy GROUP BY cfg"""))
 def _sweep(spark, sf):
-    """Segments and points left per configuration."""
+    """Segments, points left and mean place per configuration."""
     rows = noise.noise_sweep(clean_segments(spark, sf))
     return rows.groupBy("noise_config").agg(
         F.count(F.when(F.col("pos") == 0, 1)).alias("segments"), F.count(F.lit(1)).alias("n_points"),
-        F.round(F.avg("lat"), 6).alias("avg_lat"), F.round(F.avg("lon"), 6).alias("avg_lon"))
+        rounded(F.avg("lat"), 6).alias("avg_lat"), rounded(F.avg("lon"), 6).alias("avg_lon"))
+
 
+RATIOS = f""",
+x AS (SELECT count(*) FILTER (NOT accepted) / greatest(count(*), 1) AS q FROM sa WHERE delta_t > 0),
+y AS (SELECT cfg, count(*) FILTER (NOT accepted) / greatest(count(*), 1) AS q FROM sb WHERE delta_t > 0 GROUP BY cfg)
+SELECT cfg AS noise_config, {r("y.q", 6)} AS generated_noise_ratio, {r("x.q", 6)} AS original_noise_ratio, {r("abs(y.q - x.q)", 6)} AS ratio_difference FROM x, y"""
+
+
+def ratios(rows):
+    return rows.select("noise_config", *[rounded(F.col(c), 6).alias(c) for c in rows.columns if c != "noise_config"])
 
-@query("noise_ratio_check")
+
+@query("noise_ratio_check", chain("steps", CLEAN + noisy(*SETS) + ", " + steps("base", "sa") + ", " + steps("noisy", "sb", "cfg, trj_id, seg_id") + RATIOS))
 def _ratio_sweep(spark, sf):
     """Implausible steps before and after each of the 16 configurations."""
     base = clean_segments(spark, sf)
     changed = motion.step_features(noise.noise_sweep(base, changed_only=True), keys=["noise_config", *SEG])
-    return noise.changed_ratio_check(motion.step_features(base), changed, noise.sweep_names())
+    return ratios(noise.changed_ratio_check(motion.step_features(base), changed, noise.sweep_names()))
 
 
-@query("outlier_ratio_check", chain("steps", CLEAN + OUTLIERS.replace("SELECT trj_id, seg_id, pos, (round", ", dirty AS (SELECT trj_id, seg_id, label, t, pos, (round", 1) + "), "
-       + steps("base", "sa") + ", " + steps("dirty", "sb") + f""",
-x AS (SELECT count(*) FILTER (NOT accepted) / greatest(count(*), 1) AS q FROM sa WHERE delta_t > 0),
-y AS (SELECT count(*) FILTER (NOT accepted) / greatest(count(*), 1) AS q FROM sb WHERE delta_t > 0)
-SELECT 'outlier' AS noise_config, {r("y.q", 6)} AS generated_noise_ratio, {r("x.q", 6)} AS original_noise_ratio, {r("abs(y.q - x.q)", 6)} AS ratio_difference FROM x, y"""))
+@query("outlier_ratio_check", chain("steps", CLEAN + noisy(setting("outlier", "outlier", 0.3)) + f""",
+dirty AS (SELECT * REPLACE ({r("lat", 8)} AS lat, {r("lon", 8)} AS lon) FROM noisy), """ + steps("base", "sa") + ", " + steps("dirty", "sb", "cfg, trj_id, seg_id") + RATIOS))
 def _ratio(spark, sf):
     base = clean_segments(spark, sf)
-    noisy = noise.add_outliers(base, 0.3, 42)
-    noisy = noisy.withColumn("lat", rounded(F.col("lat"), 8)).withColumn("lon", rounded(F.col("lon"), 8))
-    dirty = motion.step_features(noisy).withColumn("noise_config", F.lit("outlier"))
-    out = noise.noise_ratio_check(motion.step_features(base), dirty, ["noise_config"])
-    return out.select("noise_config", *[rounded(F.col(c), 6).alias(c) for c in out.columns if c != "noise_config"])
+    noisy_rows = noise.add_outliers(base, 0.3, 42)
+    noisy_rows = noisy_rows.withColumn("lat", rounded(F.col("lat"), 8)).withColumn("lon", rounded(F.col("lon"), 8))
+    dirty = motion.step_features(noisy_rows).withColumn("noise_config", F.lit("outlier"))
+    return ratios(noise.noise_ratio_check(motion.step_features(base), dirty, ["noise_config"]))
 
 
 TRIP = " FROM points"
