@@ -32,39 +32,60 @@ def resample_linear(rows: DataFrame, keys: list[str], order: str, columns: list[
     return packed.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), point)))
 
 
+def knot_slopes(h: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """First derivatives at the knots: one elimination down and one substitution up, for all series at once.
+
+    ``h`` are the distances of the knots, ``slope`` the slopes between them, a row
+    per series. Every row of the system has two or three entries, so the work is
+    linear in the number of knots.
+    """
+    n, first, last = len(h) + 1, h[0] + h[1], h[-1] + h[-2]
+    below = np.append(h[1:], last)
+    middle = np.concatenate(([h[1]], 2 * (h[:-1] + h[1:]), [h[-2]]))
+    above = np.concatenate(([first], h[:-1]))
+    d = np.empty((*slope.shape[:-1], n))
+    d[..., 1:-1] = 3 * (h[1:] * slope[..., :-1] + h[:-1] * slope[..., 1:])
+    d[..., 0] = ((h[0] + 2 * first) * h[1] * slope[..., 0] + h[0] ** 2 * slope[..., 1]) / first
+    d[..., -1] = (h[-1] ** 2 * slope[..., -2] + (2 * last + h[-1]) * h[-2] * slope[..., -1]) / last
+    for i in range(1, n):
+        share = below[i - 1] / middle[i - 1]
+        middle[i] -= share * above[i - 1]
+        d[..., i] -= share * d[..., i - 1]
+    d[..., -1] /= middle[-1]
+    for i in range(n - 2, -1, -1):
+        d[..., i] = (d[..., i] - above[i] * d[..., i + 1]) / middle[i]
+    return d
+
+
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline through (x, y) with continuous third derivatives at the second and last but one knots."""
+    """Cubic spline through (x, y) with continuous third derivatives at the second and last but one knots.
+
+    ``y`` is one series or a row per series.
+    """
     n = len(x)
     if n < 4:
-        return np.polyval(np.polyfit(x, y, n - 1), at)
-    h, slope = np.diff(x), np.diff(y) / np.diff(x)
-    system, right = np.zeros((n, n)), np.zeros(n)
-    inner = np.arange(1, n - 1)
-    system[inner, inner - 1], system[inner, inner], system[inner, inner + 1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
-    right[inner] = 3 * (h[1:] * slope[:-1] + h[:-1] * slope[1:])
-    first, last = x[2] - x[0], x[-1] - x[-3]
-    system[0, :2] = h[1], first
-    right[0] = ((h[0] + 2 * first) * h[1] * slope[0] + h[0] ** 2 * slope[1]) / first
-    system[-1, -2:] = last, h[-2]
-    right[-1] = (h[-1] ** 2 * slope[-2] + (2 * last + h[-1]) * h[-2] * slope[-1]) / last
-    d = np.linalg.solve(system, right)
+        return np.polynomial.polynomial.polyval(at, np.polynomial.polynomial.polyfit(x, y.T, n - 1))
+    h = np.diff(x)
+    slope = np.diff(y, axis=-1) / h
+    d = knot_slopes(h, slope)
     i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
     u = at - x[i]
-    bend = (d[i] + d[i + 1] - 2 * slope[i]) / h[i]
-    return y[i] + u * (d[i] + u * ((slope[i] - d[i]) / h[i] - bend + u * bend / h[i]))
+    bend = (d[..., i] + d[..., i + 1] - 2 * slope[..., i]) / h[i]
+    return y[..., i] + u * (d[..., i] + u * ((slope[..., i] - d[..., i]) / h[i] - bend + u * bend / h[i]))
 
 
 @pandas_udf(T.ArrayType(T.DoubleType()))
 def stretch_cubic(series: pd.Series, size: pd.Series) -> pd.Series:
-    """Each array stretched to ``size`` points by a not-a-knot cubic on the index."""
-
-    def one(values, n):
-        values = np.asarray(values, dtype=float)
-        if len(values) == n or len(values) < 2:
-            return values
-        return not_a_knot(np.arange(len(values), dtype=float), values, np.linspace(0, len(values) - 1, n))
-
-    return pd.Series([one(v, n) for v, n in zip(series, size)])
+    """Each array stretched to ``size`` points by a not-a-knot cubic on the index; arrays of one length and size go together."""
+    out = list(series)
+    alike = pd.DataFrame({"n": [len(v) for v in series], "size": size.to_numpy()}).groupby(["n", "size"]).indices
+    for (n, want), rows in alike.items():
+        if n != want and n > 1:
+            values = np.array([out[i] for i in rows], dtype=float)
+            stretched = not_a_knot(np.arange(n, dtype=float), values, np.linspace(0, n - 1, int(want)))
+            for i, v in zip(rows, stretched):
+                out[i] = v
+    return pd.Series(out)
 
 
 def resample_cubic(rows: DataFrame, keys: list[str], order: str, columns: list[str], size: str) -> DataFrame:

@@ -96,8 +96,12 @@ def point_density(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gaussian_mask(segments: DataFrame, keys: list[str], length: int = 2) -> DataFrame:
-    """Mask around the maxima of the points' own density; everything where it has none."""
-    marked = masks.mark_extremes(point_density(segments, keys), keys, "pos", "density").withColumn(
+    """Mask around the maxima of the points' own density; everything where it has none.
+
+    Logarithms rounded to six places are compared, so that ties do not hang on the order of a sum.
+    """
+    heights = point_density(segments, keys).withColumn("density", F.round(F.log("density"), 6))
+    marked = masks.mark_extremes(heights, keys, "pos", "density").withColumn(
         "_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     around = masks.window_mask(marked, keys, "pos", "extreme", length)
     return marked.withColumn("mask", F.when(F.col("changes") > 0, around).otherwise(0)).select(*keys, "pos", "mask")

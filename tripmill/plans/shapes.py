@@ -11,6 +11,7 @@ from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
 from tripmill.plans.motion_profile import segments_of
 from tripmill.plans.sql import chain, r
+from tripmill.plans.trip_masks import extremes_sql
 from tripmill.plans.trips import good_steps
 
 SEG = ["trj_id", "seg_id"]
@@ -96,7 +97,14 @@ def _point_density(spark, sf):
     return sm.point_density(segs(spark, sf), SEG).select(*SEG, "pos", rounded(F.log("density"), 4).alias("log_density"))
 
 
-@query("gaussian_density_mask")
+HEIGHTS = ", s AS (SELECT trj_id, seg_id, pos, 'density' AS feature, count(*) OVER (PARTITION BY trj_id, seg_id) AS n, round(ln(density), 6) AS x FROM d)"
+
+
+@query("gaussian_density_mask", OWN + extremes_sql("max", HEIGHTS) + """,
+z AS (SELECT trj_id, seg_id, CASE WHEN pos - 2 <= 0 THEN 0 WHEN pos + 2 >= n THEN greatest(0, n - 4) ELSE pos - 2 END AS z FROM ext WHERE extreme),
+hit AS (SELECT DISTINCT trj_id, seg_id, z + o AS pos FROM z, range(4) t(o))
+SELECT e.trj_id, e.seg_id, e.pos, CAST(CASE WHEN changes > 0 AND h.pos IS NULL THEN 1 ELSE 0 END AS INT) AS mask
+FROM ext e LEFT JOIN hit h ON h.trj_id = e.trj_id AND h.seg_id = e.seg_id AND h.pos = e.pos""")
 def _gaussian(spark, sf):
     return sm.gaussian_mask(segs(spark, sf), SEG, 4)
 

@@ -101,6 +101,34 @@ def steps(source: str, out: str = "steps", keys: str = "trj_id, seg_id") -> str:
 {out} AS (SELECT *, CAST(count(*) FILTER (accepted) OVER (PARTITION BY {keys}) AS INT) AS n_accepted FROM {out}_all)"""
 
 
+def spline(knots: str, at: str) -> str:
+    """CTEs up to ``curve`` (trj_id, seg_id, pos, ya, yb): a not-a-knot cubic through ``knots`` (i, x, ya, yb, m) at ``at`` (pos, q)."""
+    key, w = "trj_id, seg_id", "WINDOW w AS (PARTITION BY trj_id, seg_id ORDER BY i)"
+    near = ", ".join(f"{fn}({c}, {k}) OVER w AS {c}_{fn[:2]}{k}" for c in ("h", "sa", "sb") for fn, k in (("lag", 1), ("lag", 2), ("lead", 1)))
+
+    def right(s: str) -> str:
+        return f"""CASE WHEN i = 0 THEN ((h + 2 * (h + h_le1)) * h_le1 * {s} + h * h * {s}_le1) / (h + h_le1)
+    WHEN i = m - 1 THEN (h_la1 * h_la1 * {s}_la2 + (2 * (h_la1 + h_la2) + h_la1) * h_la2 * {s}_la1) / (h_la1 + h_la2)
+    ELSE 3 * (h * {s}_la1 + h_la1 * {s}) END"""
+
+    return f"""
+sp_h AS (SELECT *, lead(x) OVER w - x AS h, (lead(ya) OVER w - ya) / (lead(x) OVER w - x) AS sa, (lead(yb) OVER w - yb) / (lead(x) OVER w - x) AS sb FROM {knots} {w}),
+sp_n AS (SELECT *, {near} FROM sp_h {w}),
+sp_r AS MATERIALIZED (SELECT {key}, i, m, CASE WHEN i = m - 1 THEN h_la1 + h_la2 ELSE h END AS lo, CASE WHEN i = 0 THEN h + h_le1 ELSE h_la1 END AS up,
+  CASE WHEN i = 0 THEN h_le1 WHEN i = m - 1 THEN h_la2 ELSE 2 * (h_la1 + h) END AS di, {right("sa")} AS pa, {right("sb")} AS pb FROM sp_n),
+sp_d AS (SELECT {key}, i, m, up, di, pa, pb FROM sp_r WHERE i = 0
+  UNION ALL SELECT r.trj_id, r.seg_id, r.i, r.m, r.up, r.di - r.lo / d.di * d.up, r.pa - r.lo / d.di * d.pa, r.pb - r.lo / d.di * d.pb
+  FROM sp_d d JOIN sp_r r ON r.trj_id = d.trj_id AND r.seg_id = d.seg_id AND r.i = d.i + 1),
+sp_m AS MATERIALIZED (SELECT * FROM sp_d),
+sp_u AS (SELECT {key}, i, pa / di AS da, pb / di AS db FROM sp_m WHERE i = m - 1
+  UNION ALL SELECT d.trj_id, d.seg_id, d.i, (d.pa - d.up * u.da) / d.di, (d.pb - d.up * u.db) / d.di
+  FROM sp_u u JOIN sp_m d ON d.trj_id = u.trj_id AND d.seg_id = u.seg_id AND d.i = u.i - 1),
+sp_p AS (SELECT {key}, i, x, h, ya, yb, sa, sb, da, db, (da + lead(da) OVER w - 2 * sa) / h AS ba, (db + lead(db) OVER w - 2 * sb) / h AS bb FROM sp_h JOIN sp_u USING ({key}, i) {w}),
+curve AS (SELECT a.trj_id, a.seg_id, a.pos, ya + u * (da + u * ((sa - da) / h - ba + u * ba / h)) AS ya, yb + u * (db + u * ((sb - db) / h - bb + u * bb / h)) AS yb
+  FROM (SELECT a.*, p.* EXCLUDE ({key}), a.q - p.x AS u FROM {at} a ASOF JOIN (FROM sp_p WHERE h IS NOT NULL) p
+    ON a.trj_id = p.trj_id AND a.seg_id = p.seg_id AND a.q >= p.x) a)"""
+
+
 CHAIN = {
     "points": POINTS, "valid": VALID, "trimmed": TRIMMED, "segs": segs("valid"), "steps": steps("segs"),
     "good": "good AS (SELECT * FROM steps WHERE n_accepted >= 10)",

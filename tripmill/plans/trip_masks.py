@@ -9,7 +9,7 @@ from tripmill.operators import extract, masks, motion, resample
 from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
 from tripmill.plans.motion_profile import segments_of
-from tripmill.plans.sql import chain, h32, r
+from tripmill.plans.sql import chain, h32, r, spline
 from tripmill.plans.trips import good_steps, steps_of
 from tripmill.schema import FEATURES, MODE_CODES, SENSOR_TO_5, lookup
 
@@ -130,12 +130,18 @@ def _resample(spark, sf):
     return even_features(spark, sf).select(*SEG, "pos", *[(F.floor(F.col(c) * 1000000 + 0.37) / 1000000).alias(c) for c in FEATURES])
 
 
-@query("resample_cubic")
+@query("resample_cubic", chain("good", """, ps AS (SELECT s.trj_id, s.seg_id, s.n_points AS n, lat AS ya, lon AS yb, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY trj_id, seg_id) AS m
+  FROM segs s ANTI JOIN (SELECT trj_id, seg_id, pos FROM good WHERE NOT accepted) USING (trj_id, seg_id, pos) WINDOW w AS (PARTITION BY trj_id, seg_id ORDER BY pos)),
+kn AS MATERIALIZED (SELECT *, CAST(i AS DOUBLE) AS x FROM ps WHERE m <> n),
+ask AS (SELECT trj_id, seg_id, j AS pos, CASE WHEN j = n - 1 THEN CAST(m - 1 AS DOUBLE) ELSE j * (CAST(m - 1 AS DOUBLE) / (n - 1)) END AS q
+  FROM (SELECT DISTINCT trj_id, seg_id, n, m FROM kn), range(1000) r(j) WHERE j < n),""" + spline("kn", "ask") + f"""
+SELECT trj_id, seg_id, CAST(pos AS INT) AS pos, {r("ya", 6)} AS lat, {r("yb", 6)} AS lon FROM (FROM curve UNION ALL SELECT trj_id, seg_id, i, ya, yb FROM ps WHERE m = n)"""))
 def _cubic(spark, sf):
     """Clean latitudes and longitudes stretched back to the segment's number of points."""
     seg = segments_of(fx.points(spark, sf))
     kept = motion.drop_rejected_points(seg, motion.with_enough_steps(motion.step_features(seg)))
-    return resample.resample_cubic(kept, SEG, "pos", ["lat", "lon"], "n_points")
+    out = resample.resample_cubic(kept, SEG, "pos", ["lat", "lon"], "n_points")
+    return out.select(*SEG, "pos", rounded(F.col("lat"), 6).alias("lat"), rounded(F.col("lon"), 6).alias("lon"))
 
 
 def feature_series(spark, sf):
@@ -146,9 +152,9 @@ def feature_series(spark, sf):
 SERIES = ", s AS (SELECT trj_id, seg_id, pos, n, feature, x FROM even UNPIVOT (x FOR feature IN (" + ", ".join(FEATURES) + ")))"
 
 
-def extremes_sql(kind: str) -> str:
+def extremes_sql(kind: str, series: str = SERIES) -> str:
     compare = {"max": "x1 < x2", "min": "x1 > x2"}[kind]
-    return SERIES + f""",
+    return series + f""",
 e1 AS (SELECT *, sign(lead(x) OVER w - x) AS sg FROM s WINDOW w AS (PARTITION BY trj_id, seg_id, feature ORDER BY pos)),
 e2 AS (SELECT *, CASE WHEN pos = 0 THEN max(CASE WHEN pos = n - 2 THEN sg END) OVER (PARTITION BY trj_id, seg_id, feature)
   ELSE lag(sg) OVER (PARTITION BY trj_id, seg_id, feature ORDER BY pos) END AS pg FROM e1),

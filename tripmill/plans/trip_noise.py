@@ -10,7 +10,7 @@ from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
 from tripmill.plans.motion_profile import segments_of
 from tripmill.session import stage
-from tripmill.plans.sql import case, chain, distance_ctes, h32, r, steps
+from tripmill.plans.sql import case, chain, distance_ctes, h32, r, spline, steps
 from tripmill.plans.trips import steps_of
 from tripmill.schema import DRIFT_FACTOR, MISSING_RATE
 
@@ -249,9 +249,17 @@ def _augmented(spark, sf):
     return augment.augmented_copies(p, draws)
 
 
-@query("time_warp")
+@query("time_warp", chain("segs", f""", dr AS (SELECT trj_id, seg_id, pos, t, lat, lon, n_points AS n, CAST(pos AS DOUBLE) / (n_points - 1) AS q, CAST({augment.WARP_DEVIATION} AS DOUBLE) * {gauss(42, 121, "trj_id", "seg_id", "pos")} AS z,
+  row_number() OVER (PARTITION BY trj_id, seg_id ORDER BY pos = 0 OR pos = n_points - 1, {u(42, 120, "trj_id", "seg_id", "pos")}, pos) <= {augment.WARP_KNOTS} AS knot FROM segs),
+ed AS (SELECT trj_id, seg_id, pos, q, z, knot, lag(q) OVER w AS lo, lead(q) OVER w AS hi FROM dr WHERE knot OR pos = 0 OR pos = n - 1 WINDOW w AS (PARTITION BY trj_id, seg_id ORDER BY pos)),
+bt AS (SELECT d.trj_id, d.seg_id, d.pos, d.lat, d.lon, CASE WHEN d.knot THEN least(greatest(d.q + d.z * (hi - lo), lo), hi) ELSE d.q END AS x FROM dr d LEFT JOIN ed e USING (trj_id, seg_id, pos) WHERE d.n >= 6),
+kn AS MATERIALIZED (SELECT trj_id, seg_id, x, ya, yb, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY trj_id, seg_id) AS m
+  FROM (SELECT trj_id, seg_id, x, arg_min(lat, pos) AS ya, arg_min(lon, pos) AS yb FROM bt GROUP BY ALL) WINDOW w AS (PARTITION BY trj_id, seg_id ORDER BY x)),
+ask AS (SELECT trj_id, seg_id, pos, least(greatest(q, a), b) AS q FROM dr JOIN (SELECT trj_id, seg_id, min(x) AS a, max(x) AS b FROM kn GROUP BY ALL) USING (trj_id, seg_id)),""" + spline("kn", "ask") + f"""
+SELECT trj_id, seg_id, pos, t, {r("coalesce(ya, lat)", 5)} AS lat, {r("coalesce(yb, lon)", 5)} AS lon FROM dr LEFT JOIN curve USING (trj_id, seg_id, pos)"""))
 def _warp(spark, sf):
-    return augment.time_warp(segments_of(fx.points(spark, sf)), SEG)
+    out = augment.time_warp(segments_of(fx.points(spark, sf)), SEG)
+    return out.select(*SEG, "pos", "t", rounded(F.col("lat"), 5).alias("lat"), rounded(F.col("lon"), 5).alias("lon"))
 
 
 @query("contrast_view", chain("segs", f""", c AS (SELECT *, n_points - n_points * 9 // 10 AS unused, CAST(floor(n_points * 0.1::DOUBLE) AS INT) AS cut, {u(42, 110, "trj_id", "seg_id")} > 0.5 AS suffix FROM segs)
