@@ -256,10 +256,11 @@ bt AS (SELECT d.trj_id, d.seg_id, d.pos, d.lat, d.lon, CASE WHEN d.knot THEN lea
 kn AS MATERIALIZED (SELECT trj_id, seg_id, x, ya, yb, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY trj_id, seg_id) AS m
   FROM (SELECT trj_id, seg_id, x, arg_min(lat, pos) AS ya, arg_min(lon, pos) AS yb FROM bt GROUP BY ALL) WINDOW w AS (PARTITION BY trj_id, seg_id ORDER BY x)),
 ask AS (SELECT trj_id, seg_id, pos, least(greatest(q, a), b) AS q FROM dr JOIN (SELECT trj_id, seg_id, min(x) AS a, max(x) AS b FROM kn GROUP BY ALL) USING (trj_id, seg_id)),""" + spline("kn", "ask") + f"""
-SELECT trj_id, seg_id, pos, t, {r("coalesce(ya, lat)", 5)} AS lat, {r("coalesce(yb, lon)", 5)} AS lon FROM dr LEFT JOIN curve USING (trj_id, seg_id, pos)"""))
+SELECT trj_id, seg_id, pos, t, floor(coalesce(ya, lat) * 1000000 + 0.37) / 1000000 AS lat, floor(coalesce(yb, lon) * 1000000 + 0.37) / 1000000 AS lon FROM dr LEFT JOIN curve USING (trj_id, seg_id, pos)"""))
 def _warp(spark, sf):
+    """Compared on a grid off the ties of the points, which are short decimals."""
     out = augment.time_warp(segments_of(fx.points(spark, sf)), SEG)
-    return out.select(*SEG, "pos", "t", rounded(F.col("lat"), 5).alias("lat"), rounded(F.col("lon"), 5).alias("lon"))
+    return out.select(*SEG, "pos", "t", *[(F.floor(F.col(c) * 1000000 + 0.37) / 1000000).alias(c) for c in ("lat", "lon")])
 
 
 @query("contrast_view", chain("segs", f""", c AS (SELECT *, n_points - n_points * 9 // 10 AS unused, CAST(floor(n_points * 0.1::DOUBLE) AS INT) AS cut, {u(42, 110, "trj_id", "seg_id")} > 0.5 AS suffix FROM segs)
