@@ -1,6 +1,8 @@
 """Token counts against a tokenizer library, sums over segmentations against enumeration, and language prediction."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -87,6 +89,39 @@ def test_sums_over_all_segmentations():
     assert np.allclose(counts[:-1], want) and counts[-1] == 0
 
 
+def test_long_words_are_scored_whole(monkeypatch):
+    """Words of up to 900 characters against exact fractions, over many blocks; short ones as by plain sums."""
+    monkeypatch.setattr(language, "BLOCK", 7)
+    draw = random.Random(3)
+    vocab = ["a", "b", "ab", "ba", "aba", "bbabab", "abababababa", pieces.MARK, pieces.MARK + "a"]
+    share = np.random.default_rng(1).dirichlet(np.ones(len(vocab)), 3).T
+    probabilities = np.vstack([share, np.full((1, 3), 1e-6)])
+    matcher, number = pieces.Matcher(vocab), {p: i for i, p in enumerate(vocab)}
+    words = [pieces.MARK + "".join(draw.choices("abx", [9, 9, 1], k=n)) for n in (0, 1, 6, 11, 12, 13, 40, 200, 200, 900)] + [pieces.MARK + "x" * 300]
+    got = language.long_logs(matcher, words, probabilities)
+    for row, w in zip(got, words):
+        for c in range(3):
+            sums = [Fraction(1)] + [Fraction(0)] * len(w)
+            for e in range(1, len(w) + 1):
+                for p, i in number.items():
+                    if e >= len(p) and w[e - len(p) : e] == p:
+                        sums[e] += sums[e - len(p)] * Fraction(share[i, c])
+                if w[e - 1] not in number:
+                    sums[e] += sums[e - 1] * Fraction(1e-6)
+            want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert math.isclose(row[c], want, rel_tol=1e-10)
+    alpha, (lengths, _) = language.forward(matcher, words[:6], probabilities)
+    assert np.allclose(np.log(alpha[np.arange(6), lengths]), got[:6])
+
+
+def test_kept_numbers_do_not_grow_with_languages():
+    for many in (4, 100):
+        model = {"languages": [str(i) for i in range(many)], "pieces": ["a"], "probabilities": np.full((2, many), 0.5), "prior": np.zeros(many)}
+        scorer = language.Scorer(model, f"test-{many}")
+        assert scorer.known.size * many <= language.KEPT and scorer.most * many <= language.CELLS
+        assert scorer.posterior(["a" * 5000 + " a", "", None])[0][0] == "0"
+
+
 def test_language(spark):
     draw = random.Random(4)
     sounds = {"xx": ["ka", "ro", "tin", "mu"], "yy": ["sch", "ei", "ung", "ber"], "zz": ["ção", "nha", "que", "ra"]}

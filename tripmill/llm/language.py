@@ -13,7 +13,11 @@ from tripmill.llm import common as C
 from tripmill.llm import pieces as P
 from tripmill.session import stage
 
-UNIT = 40  # characters; longer words are scored in pieces of this many
+LEARN_UNIT = 40  # characters; longer words are learned from, not scored, in parts of this many
+PLAIN = 24  # characters; sums over longer words are kept as logarithms, as plain ones could vanish
+BLOCK = 1024  # characters of long words in hand at a time
+CELLS = 1 << 21  # numbers (units x characters x languages) in one table of sums
+KEPT = 2_400_000  # numbers (units x languages) kept from earlier batches
 ROUNDS = 3
 SMOOTHING = 0.05  # added to the expected count of each piece
 LEARN_ROWS = 1000  # labelled texts learned from per language, at most, whole
@@ -22,15 +26,13 @@ _MATCHERS: dict[str, P.Matcher] = {}
 
 
 def units(text: str) -> list[str]:
-    """Words in lower case with the mark that begins a word; words without letters say nothing and are left out."""
-    out = []
-    for w in text.lower().split():
-        if len(w) < UNIT:
-            out.append(P.MARK + w)
-        else:
-            w = P.MARK + w
-            out += [w[i: i + UNIT] for i in range(0, len(w), UNIT)]
-    return out
+    """Words, whole and in lower case, with the mark that begins a word; a word is what stands between blanks."""
+    return [P.MARK + w for w in text.lower().split()]
+
+
+def learned_parts(text: str) -> list[str]:
+    """``units`` with words of ``LEARN_UNIT`` characters and more in parts."""
+    return [w[i: i + LEARN_UNIT] for w in units(text) for i in range(0, len(w), LEARN_UNIT)]
 
 
 def _matcher(pieces: list[str], path: str) -> P.Matcher:
@@ -60,6 +62,41 @@ def forward(matcher: P.Matcher, group: list[str], probabilities: np.ndarray) ->
     return alpha, (lengths, found)
 
 
+def long_logs(matcher: P.Matcher, group: list[str], probabilities: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of whole units of any length, unit x language.
+
+    The same recursion as ``forward`` on logarithms. The characters come a block at a
+    time; between blocks only the sums of the last ``reach`` prefixes are carried,
+    ``reach`` being the length of the longest piece.
+    """
+    logs, reach = np.log(probabilities), max(1, int(matcher.lengths.max(initial=1)))
+    block = max(BLOCK, reach)
+    lengths = np.array([len(u) for u in group], np.int64)
+    out = np.zeros((len(group), logs.shape[1]))
+    carried = np.zeros((len(group), 1, logs.shape[1]))
+    for at in range(0, int(lengths.max()), block):
+        live = np.flatnonzero(lengths > at)
+        before = carried.shape[1] - 1
+        parts, found = _edges(matcher, [group[i][at - before : at + block] for i in live], len(logs) - 1)
+        unit, start, end, piece = found
+        sums = np.full((len(live), int(parts.max()) + 1, logs.shape[1]), -np.inf)
+        sums[:, : before + 1] = carried
+        edges = np.searchsorted(end, np.arange(sums.shape[1] + 1))
+        for e in range(before + 1, sums.shape[1]):
+            lo, hi = edges[e], edges[e + 1]
+            if lo < hi:
+                u = unit[lo:hi]
+                new = np.concatenate(([True], u[1:] != u[:-1]))
+                first = np.flatnonzero(new)
+                ways = sums[u, start[lo:hi]] + logs[piece[lo:hi]]
+                top = np.maximum.reduceat(ways, first, axis=0)
+                sums[u[first], e] = top + np.log(np.add.reduceat(np.exp(ways - top[np.cumsum(new) - 1]), first, axis=0))
+        ends = lengths[live] <= at + block
+        out[live[ends]] = sums[ends, parts[ends]]
+        carried = sums[~ends, -(min(reach, at + block) + 1) :]
+    return out
+
+
 def expected_counts(matcher: P.Matcher, group: list[str], weights: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece over all segmentations of ``group`` in one language, each unit ``weights`` times."""
     alpha, (lengths, (unit, start, end, piece)) = forward(matcher, group, probabilities[:, None])
@@ -80,7 +117,7 @@ def expected_counts(matcher: P.Matcher, group: list[str], weights: np.ndarray, p
 
 def vocabulary(path: str = P.DEFAULT_MODEL) -> list[str]:
     pieces, _, kinds = P.read_vocabulary(path)
-    return sorted({p.lower() for p, k in zip(pieces, kinds) if k == 0 and 0 < len(p.lower()) <= UNIT})
+    return sorted({p.lower() for p, k in zip(pieces, kinds) if k == 0 and p})
 
 
 def fit(texts: DataFrame, path: str = P.DEFAULT_MODEL) -> dict:
@@ -102,7 +139,7 @@ def fit(texts: DataFrame, path: str = P.DEFAULT_MODEL) -> dict:
     def words(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            counts.update((lang, u) for u in units(text))
+            counts.update((lang, u) for u in learned_parts(text))
         langs, found = zip(*counts) if counts else ((), ())
         return pa.RecordBatch.from_arrays(
             [pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(list(counts.values()), pa.int64())],
@@ -143,31 +180,40 @@ def fit(texts: DataFrame, path: str = P.DEFAULT_MODEL) -> dict:
 
 
 class Scorer:
-    """Log probabilities of units per language, kept for those met before."""
-
-    def __init__(self, model: dict, path: str, keep: int = 600_000):
-        self.model, self.matcher, self.known = model, _matcher(model["pieces"], path), P.Kept(keep)
-
-    def learn_units(self, found: list[str]) -> None:
-        new = self.known.missing(found)
-        for rows in P.length_classes(new):
+    """Log probabilities of units per language; those of short units met before are kept, a number bounded by the languages."""
+
+    def __init__(self, model: dict, path: str):
+        many = max(4, len(model["languages"]))
+        self.model, self.matcher, self.most, self.known = model, _matcher(model["pieces"], path), CELLS // many, P.Kept(KEPT // many)
+
+    def logs(self, found: list[str]) -> dict[str, list[float]]:
+        """Per unit one number per language."""
+        probabilities, out = self.model["probabilities"], {}
+        short = [u for u in found if len(u) <= PLAIN]
+        new = self.known.missing(short)
+        for rows in P.length_classes(new, self.most):
             group = [new[i] for i in rows]
-            alpha, (lengths, _) = forward(self.matcher, group, self.model["probabilities"])
-            logs = np.log(alpha[np.arange(len(group)), lengths])
-            self.known.young.update(zip(group, logs.tolist()))
+            alpha, (lengths, _) = forward(self.matcher, group, probabilities)
+            self.known.young.update(zip(group, np.log(alpha[np.arange(len(group)), lengths]).tolist()))
+        out.update((u, self.known.young[u]) for u in short)
+        wide = [u for u in found if len(u) > PLAIN]
+        for rows in P.length_classes(wide, self.most):
+            group = [wide[i] for i in rows]
+            out.update(zip(group, long_logs(self.matcher, group, probabilities).tolist()))
+        return out
 
     def posterior(self, texts: list[str | None]) -> list[tuple[str, float]]:
         languages = self.model["languages"]
         if not languages:
             return [("und", 0.0)] * len(texts)
         counts = [Counter(units(t)) if t and any(map(str.isalpha, t)) else None for t in texts]
-        self.learn_units(list(dict.fromkeys(u for c in counts if c for u in c)))
+        known = self.logs(list(dict.fromkeys(u for c in counts if c for u in c)))
         out = []
         for c in counts:
             if not c:
                 out.append(("und", 0.0))
                 continue
-            logs = np.array([self.known.young[u] for u in c]).T @ np.fromiter(c.values(), float, len(c)) + self.model["prior"]
+            logs = np.array([known[u] for u in c]).T @ np.fromiter(c.values(), float, len(c)) + self.model["prior"]
             best = int(np.argmax(logs))
             out.append((languages[best], float(1.0 / np.exp(logs - logs[best]).sum())))
         return out
@@ -180,7 +226,7 @@ def predict(docs: DataFrame, learn: Column, path: str = P.DEFAULT_MODEL) -> Data
     """``doc_id, lang_pred, score`` for each row of ``docs``: the likeliest language of the whole text and its posterior.
 
     Learned from rows for which ``learn`` holds and whose text and lang are not
-    null. ``und`` with score 0 for a null text, one without letters, and where
+    null. Words are scored whole, however long. ``und`` with score 0 for a null text, one without letters, and where
     nothing could be learned. Of equally likely languages the first by name is
     taken. Repeated rows and null ids are rows like any other; an empty table
     gives an empty table; other columns are left out.
