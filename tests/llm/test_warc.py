@@ -1,10 +1,14 @@
 """Archives read back as written, the tree of losers against a sort."""
 
 import base64
+import gzip
 import hashlib
+import os
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tripmill.llm import warc
 
@@ -60,8 +64,48 @@ def test_repeated_pages_and_empty_table(spark):
     assert warc.read_index(spark, warc.write_archives(table.limit(0))).isEmpty()
 
 
+def test_each_capture_opens_at_its_offset(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    pages = [(i, f"http://h{i % 3}.example/{i % 5}", f"<p>page {i}\0 é</p>" * (i % 40)) for i in range(200)]
+    path = warc.write_archives(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    captures = warc.read_index(spark, path).collect()
+    assert [r.page_id for r in captures] != sorted(r.page_id for r in captures) and len(captures) == 200
+    assert [tuple(r[:4]) for r in captures] == sorted(tuple(r[:4]) for r in captures)
+    assert len({r.run for r in captures}) > 5
+    for r in captures:
+        with open(os.path.join(path, r.run), "rb") as f:
+            f.seek(r.offset)
+            headers, block = warc.read_record(gzip.decompress(f.read(r.length)))
+        assert headers["X-Page-ID"] == str(r.page_id)
+        if r.record_type == "response":
+            assert block.partition(b"\r\n\r\n")[2] == pages[r.page_id][2].encode()
+
+
+def test_a_hot_url_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 9_000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    monkeypatch.setattr(warc, "HEAD_ROWS", 2)
+    pages = spark.range(300).selectExpr("id as page_id", "if(id % 10 = 0, concat('http://x/', id), 'http://hot/') as url", "'h' as html")
+    index = warc.read_index(spark, warc.write_archives(pages))
+    parts = index.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 5 and max(r["count"] for r in parts) < 100
+    assert [r.page_id for r in index.where("urlkey = 'hot)/'").collect()] == [i for i in range(300) if i % 10]
+
+
+def test_records_over_sixteen_megabytes():
+    long, short = b"x" * (17 << 20), b"WARC"
+    parts = []
+    for batch in warc._members([pa.RecordBatch.from_pydict({"r": [long.decode(), short.decode()]})]):
+        parts += [x + b"\0" for x in batch.column(0).to_pylist()]
+    found = list(warc.read_members(b"".join(parts)))
+    assert [(at, content) for at, _, content in found] == [(0, long), (len(parts[0]), short)]
+
+
 def test_damaged_records_are_told():
     with pytest.raises(ValueError):
-        list(warc.read_records(b"no record\r\n\r\n"))
+        warc.read_record(b"no record\r\n\r\n")
+    with pytest.raises(ValueError):
+        warc.read_record(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nabcdef")
     with pytest.raises(ValueError):
-        list(warc.read_records(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nabcdef"))
+        list(warc.read_members(warc.member(b"cut short")[:-3]))
