@@ -242,11 +242,40 @@ def _balance(spark, sf):
     return rows.groupBy("label").agg(F.count(F.when(F.col("copy") == 0, 1)).alias("before"), F.count(F.lit(1)).alias("after"))
 
 
-@query("augmented_copies")
+def copy_draw(purpose):
+    return u(42, purpose, "label", "copy")
+
+
+# A copy is a row of lists, changed by one method after the other.
+COPIES = chain("points", f""", tr AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h32(42, "trj_id")}, trj_id) AS rnk, count(*) OVER (PARTITION BY label) AS c
+  FROM (SELECT trj_id, CAST(CASE WHEN trj_id % 7 >= 5 THEN 0 ELSE trj_id % 7 END AS INT) AS label, list(t ORDER BY k) AS t, list(lat ORDER BY k) AS a, list(lon ORDER BY k) AS o FROM points GROUP BY trj_id)),
+pk AS (SELECT label, copy, CAST(floor({copy_draw(70)} * c) AS BIGINT) + 1 AS rnk
+  FROM (SELECT DISTINCT label, c, unnest(range(1, (SELECT max(c) FROM tr) - c + 1)) AS copy FROM tr)),
+dr AS (SELECT trj_id, label, copy, t, a, o, len(t) AS n, -0.001 + 0.002 * {copy_draw(93)} AS dx, -0.001 + 0.002 * {copy_draw(94)} AS dy,
+  list_sort([{", ".join(f"{{'u': {copy_draw(80 + i)}, 'm': '{m}'}}" for i, m in enumerate(("reverse", "rotate", "translate", "crop")))}])[1:1 + CAST(floor({copy_draw(90)} * 4) AS BIGINT)] AS todo,
+  [{", ".join(f"2 * pi() * {copy_draw(100 + i)}" for i in range(augment.ROTATION_TRIES))}] AS angles,
+  10 + CAST(floor({copy_draw(91)} * (len(t) - 9)) AS BIGINT) AS size, {copy_draw(92)} AS rest FROM pk JOIN tr USING (label, rnk)),
+st AS (SELECT 0 AS step, trj_id, label, copy, t, a, o, dx, dy, todo, angles, size, rest FROM dr
+  UNION ALL SELECT step + 1, trj_id, label, copy,
+    CASE WHEN m = 'crop' AND n > 10 THEN list_transform(t[lo + 1:lo + size], lambda x: x - t[lo + 1]) ELSE t END,
+    CASE WHEN m = 'crop' AND n > 10 THEN a[lo + 1:lo + size] WHEN m = 'reverse' THEN list_reverse(a) WHEN m = 'translate' THEN list_transform(a, lambda x: x + dx)
+      WHEN m = 'rotate' AND g IS NOT NULL THEN list_transform(list_zip(a, o), lambda p: cos(g) * p[1] - sin(g) * p[2]) ELSE a END,
+    CASE WHEN m = 'crop' AND n > 10 THEN o[lo + 1:lo + size] WHEN m = 'reverse' THEN list_reverse(o) WHEN m = 'translate' THEN list_transform(o, lambda x: x + dy)
+      WHEN m = 'rotate' AND g IS NOT NULL THEN list_transform(list_zip(a, o), lambda p: sin(g) * p[1] + cos(g) * p[2]) ELSE o END,
+    dx, dy, todo, angles, size, rest
+  FROM (SELECT *, todo[step + 1].m AS m, len(t) AS n, CAST(floor(rest * (len(t) - size + 1)) AS BIGINT) AS lo,
+      list_filter(angles, lambda g: len(list_filter(list_zip(a, o), lambda p: abs(cos(g) * p[1] - sin(g) * p[2]) > 90 OR abs(sin(g) * p[1] + cos(g) * p[2]) > 180)) = 0)[1] AS g FROM st WHERE step < len(todo)))
+SELECT trj_id, copy, j - 1 AS k, label, t[j] AS t, floor(a[j] * 1000000 + 0.37) / 1000000 AS lat, floor(o[j] * 1000000 + 0.37) / 1000000 AS lon
+FROM (SELECT *, unnest(range(1, len(t) + 1)) AS j FROM st WHERE step = len(todo))""")
+
+
+@query("augmented_copies", COPIES)
 def _augmented(spark, sf):
+    """Compared on a grid off the ties of the points, which are short decimals."""
     p = uneven_points(spark, sf)
     draws = augment.balance_draws(p.where("k = 0").select("trj_id", "label"))
-    return augment.augmented_copies(p, draws)
+    out = augment.augmented_copies(p, draws)
+    return out.withColumns({c: F.floor(F.col(c) * 1000000 + 0.37) / 1000000 for c in ("lat", "lon")})
 
 
 @query("time_warp", chain("segs", f""", dr AS (SELECT trj_id, seg_id, pos, t, lat, lon, n_points AS n, CAST(pos AS DOUBLE) / (n_points - 1) AS q, CAST({augment.WARP_DEVIATION} AS DOUBLE) * {gauss(42, 121, "trj_id", "seg_id", "pos")} AS z,
