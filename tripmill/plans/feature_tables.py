@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripmill.functions.scalar import hash32
-from tripmill.operators import masks, motion, noise, resample, shape_masks
+from tripmill.operators import masks, motion, noise, packed_masks, resample, shape_masks
 from tripmill.schema import FEATURES, FEATURES_WITH_TIME
 from tripmill.session import stage, unstage
 from tripmill.sources.tables import write_stage
@@ -22,9 +22,10 @@ def _random(rows: DataFrame, keys: list[str], ratio: float, length: int, seed: i
 
 def feature_masks(features: DataFrame, keys: list[str], mode: str = "ep", length: int = 4, ratio: float = 0.15, seed: int = 42) -> DataFrame:
     """One mask per feature (0 masked): around extremes (``ep``) or ``random``; other modes count as ``ep``."""
-    long = features.select(*keys, "pos", *[F.col(c).cast("double").alias(c) for c in FEATURES]).unpivot([*keys, "pos"], FEATURES, "feature", "x")
-    series = [*keys, "feature"]
-    marked = _random(long, series, ratio, length, seed) if mode == "random" else masks.extreme_mask(long, series, "pos", "x", length)
+    if mode != "random":
+        return packed_masks.extreme_masks(features, keys, "pos", FEATURES, length)
+    long = features.select(*keys, "pos").withColumn("feature", F.explode(F.array(*[F.lit(c) for c in FEATURES])))
+    marked = _random(long, [*keys, "feature"], ratio, length, seed)
     return marked.groupBy(*keys, "pos").pivot("feature", FEATURES).agg(F.first("mask"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripmill.functions.scalar import hash32, rounded
-from tripmill.operators import extract, masks, motion, resample
+from tripmill.operators import extract, masks, motion, packed_masks, resample
 from tripmill.plans import fixtures as fx
 from tripmill.plans.catalog import query
 from tripmill.plans.motion_profile import segments_of
@@ -117,11 +118,10 @@ even AS (SELECT l.trj_id, l.seg_id, CAST(l.j AS INT) AS pos, l.n, {", ".join(f"a
 
 def even_features(spark, sf):
     """Clean features of each segment stretched back to its number of points."""
-    seg = segments_of(fx.points(spark, sf))
-    good = motion.with_enough_steps(motion.step_features(seg)).where("accepted")
-    sizes = seg.where("pos = 0").select(*SEG, "n_points")
-    rows = good.select(*SEG, "pos", *[rounded(F.col(c), 3).alias(c) if c != "hour" else F.col(c).cast("double").alias(c) for c in FEATURES])
-    return resample.resample_linear(rows.join(sizes, SEG), SEG, "pos", FEATURES, "n_points")
+    steps = motion.with_enough_steps(motion.step_features(segments_of(fx.points(spark, sf))))
+    sized = steps.withColumn("n_points", F.max("pos").over(Window.partitionBy(*SEG)) + 2).where("accepted")
+    rows = sized.select(*SEG, "pos", "n_points", *[rounded(F.col(c), 3).alias(c) if c != "hour" else F.col(c).cast("double").alias(c) for c in FEATURES])
+    return resample.resample_linear(rows, SEG, "pos", FEATURES, "n_points")
 
 
 @query("resample_linear", chain("good", f", {CLEAN_ROWS} SELECT trj_id, seg_id, pos, " + ", ".join(f"floor({c} * 1000000 + 0.37) / 1000000 AS {c}" for c in FEATURES) + " FROM even"))
@@ -144,9 +144,9 @@ def _cubic(spark, sf):
     return out.select(*SEG, "pos", rounded(F.col("lat"), 6).alias("lat"), rounded(F.col("lon"), 6).alias("lon"))
 
 
-def feature_series(spark, sf):
-    long = even_features(spark, sf).unpivot([*SEG, "pos"], FEATURES, "feature", "x")
-    return long, [*SEG, "feature"]
+def listed(wide):
+    """A row per place and feature, from a column per feature."""
+    return wide.select(*SEG, "pos", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mask")) for c in FEATURES])))
 
 
 SERIES = ", s AS (SELECT trj_id, seg_id, pos, n, feature, x FROM even UNPIVOT (x FOR feature IN (" + ", ".join(FEATURES) + ")))"
@@ -168,14 +168,14 @@ ext AS (SELECT *, ch = 1 AND pos > 0 AND (changes = 1 OR nth % 2 = CASE WHEN {co
 
 @query("extreme_points", chain("good", f", {CLEAN_ROWS} {extremes_sql('max')} SELECT trj_id, seg_id, feature, pos FROM ext WHERE extreme"))
 def _extremes(spark, sf):
-    rows, keys = feature_series(spark, sf)
-    return masks.mark_extremes(rows, keys, "pos", "x").where("extreme = 1").select(*keys, "pos")
+    found = packed_masks.extreme_places(even_features(spark, sf), SEG, "pos", FEATURES)
+    return listed(found).where("mask = 1").drop("mask")
 
 
 @query("extreme_points_min", chain("good", f", {CLEAN_ROWS} {extremes_sql('min')} SELECT trj_id, seg_id, feature, pos FROM ext WHERE extreme"))
 def _extremes_min(spark, sf):
-    rows, keys = feature_series(spark, sf)
-    return masks.mark_extremes(rows, keys, "pos", "x", "min").where("extreme = 1").select(*keys, "pos")
+    found = packed_masks.extreme_places(even_features(spark, sf), SEG, "pos", FEATURES, "min")
+    return listed(found).where("mask = 1").drop("mask")
 
 
 @query("lowest_extremes", chain("good", f""", {CLEAN_ROWS} {extremes_sql('max')},
@@ -184,8 +184,8 @@ d AS (SELECT *, row_number() OVER (PARTITION BY trj_id, seg_id, feature ORDER BY
 SELECT trj_id, seg_id, feature, pos FROM d WHERE changes > 0 AND CASE WHEN have >= 3 THEN extreme AND rk <= 3
   ELSE n // 4 > 0 AND pos > 0 AND pos % (n // 4) = 0 AND pos <= 3 * (n // 4) END"""))
 def _lowest(spark, sf):
-    rows, keys = feature_series(spark, sf)
-    return masks.lowest_extremes(rows, keys, "pos", "x", 3)
+    found = packed_masks.lowest_places(even_features(spark, sf), SEG, "pos", FEATURES, 3)
+    return listed(found).where("mask = 1").drop("mask")
 
 
 @query("extreme_mask", chain("good", f""", {CLEAN_ROWS} {extremes_sql('max')},
@@ -200,8 +200,7 @@ spans AS (SELECT trj_id, seg_id, feature, greatest(0, p - {LENGTH // 2}) AS a, l
 hit AS (SELECT DISTINCT trj_id, seg_id, feature, unnest(range(a, b)) AS pos FROM spans)
 SELECT s.trj_id, s.seg_id, s.feature, s.pos, CASE WHEN h.pos IS NULL THEN 1 ELSE 0 END AS mask FROM s LEFT JOIN hit h USING (trj_id, seg_id, feature, pos)"""))
 def _extreme_mask(spark, sf):
-    rows, keys = feature_series(spark, sf)
-    return masks.extreme_mask(rows, keys, "pos", "x", LENGTH).select(*keys, "pos", "mask")
+    return listed(packed_masks.extreme_masks(even_features(spark, sf), SEG, "pos", FEATURES, LENGTH))
 
 
 H1 = h32(42, "trj_id", "seg_id", "pos")
