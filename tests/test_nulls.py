@@ -93,3 +93,11 @@ def test_shortest_interval_of_equal_values(spark):
         F.when(F.col("id") % 2 == 0, 1).alias("g"), F.when(F.col("id") % 20 < 18, 5.0).otherwise(F.col("id").cast("double")).alias("v"))
     got = {r.g: (r.hdi_min, r.hdi_max) for r in density.shortest_interval(rows, "v", ["g"], alpha=0.2).collect()}
     assert got == {1: (5.0, 5.0), None: (5.0, 5.0)}
+
+
+def test_listed_test_ids_may_repeat_and_be_null(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (None, "b"), (4, "b")], "id int, label string")
+    listed = spark.createDataFrame([(1,), (1,), (None,), (None,), (9,)], "id int")
+    got = split.split_dataset(rows, ["id"], 0.5, 2, test=listed).collect()
+    assert sorted((r["fold"], str(r["id"])) for r in got if r["split"] == "test") == [(0, "1"), (0, "None"), (1, "1"), (1, "None")]
+    assert len(got) == 8

@@ -33,7 +33,7 @@ def test_repeated_peaks_end():
     assert numeric.repeated_peaks(grid, 5, 9).tolist() == [[4, 4]]
 
 
-def test_smoothing_by_fft_equals_direct():
+def test_smoothing_over_cells_equals_direct():
     rng = np.random.default_rng(0)
     x, y, axis = rng.random(30) * 90, rng.random(30) * 90, np.linspace(-5, 95, 60)
     wide = numeric.kernel_2d("epa", 9.0, axis[1] - axis[0])

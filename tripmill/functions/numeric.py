@@ -75,7 +75,11 @@ def kernel_2d(kind: str, bandwidth: float, step: float) -> np.ndarray:
 
 
 def binned_density(x: np.ndarray, y: np.ndarray, axis: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Points shared out linearly over the four cells around each, then smoothed; indexed [x, y]."""
+    """Points shared out linearly over the four cells around each, then smoothed; indexed [x, y].
+
+    The kernel is laid over each cell that holds something. Densities are rounded
+    to twelve places, so that ties do not hang on the order of a sum.
+    """
     size, step = len(axis), axis[1] - axis[0]
     cells = np.zeros((size, size))
     fx, fy = (x - axis[0]) / step, (y - axis[0]) / step
@@ -85,17 +89,10 @@ def binned_density(x: np.ndarray, y: np.ndarray, axis: np.ndarray, kernel: np.nd
         for oy, wy in ((0, 1 - dy), (1, dy)):
             np.add.at(cells, (ix + ox, iy + oy), wx * wy)
     r = len(kernel) // 2
-    if r > 8:  # a trajectory that hardly moves has a kernel wider than its grid
-        full = size + 2 * r
-        spectrum = np.fft.rfft2(cells, (full, full)) * np.fft.rfft2(kernel, (full, full))
-        return np.fft.irfft2(spectrum, (full, full))[r : r + size, r : r + size] / len(x)
-    wide = np.pad(cells, r)
-    out = np.zeros_like(cells)
-    for i in range(2 * r + 1):
-        for j in range(2 * r + 1):
-            if kernel[i, j]:
-                out += kernel[i, j] * wide[i : i + size, j : j + size]
-    return out / len(x)
+    out = np.zeros((size + 2 * r, size + 2 * r))
+    for i, j in np.argwhere(cells):
+        out[i: i + 2 * r + 1, j: j + 2 * r + 1] += cells[i, j] * kernel
+    return np.round(out[r: r + size, r: r + size] / len(x), 12)
 
 
 def density_mask(lat: np.ndarray, lon: np.ndarray, length: int, bandwidth: float = 1.0, kind: str = "epa") -> np.ndarray:

@@ -144,7 +144,7 @@ def radius_density_peak(segments: DataFrame, keys: list[str], bins: int = 50, lo
                 return gx[0], gy[0], float("nan")
             far = np.sqrt((gx[:, None, None] - x) ** 2 + (gy[None, :, None] - y) ** 2)
             z = (np.exp(-3.0 * far / radius) ** 2 / (2 * np.pi) / 0.4).sum(axis=2)
-            i, j = np.unravel_index(np.argmax(z), z.shape)
+            i, j = np.unravel_index(np.argmax(np.round(z, 9)), z.shape)  # the first of equals, whatever the order of the sums
             return gx[i], gy[j], z[i, j]
 
         return pd.DataFrame([one(x, y) for x, y in zip(xs, ys)], columns=["x", "y", "density"])

@@ -29,17 +29,17 @@ def _ragged(values: pa.ListArray, width: int) -> np.ndarray:
 
 
 @arrow_udf(T.ArrayType(T.IntegerType()))
-def accepted_before(v: pa.Array, dt: pa.Array, max_speed: pa.Array, max_acc: pa.Array) -> pa.Array:
+def accepted_before(v: pa.Array, dt: pa.Array, max_speed: pa.Array, max_acc: pa.Array, backwards: pa.Array) -> pa.Array:
     """For each step, the index of the latest accepted step before it, or -1; one more entry follows the last step.
 
     Acceptance depends on the speed of the last accepted step, so a segment is
     walked in order; all segments of the batch take each step together. A step
-    with a time difference of zero or less is never accepted.
+    with a time difference of zero is never accepted, one back in time only if ``backwards``.
     """
     sizes = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     width = int(sizes.max()) if len(sizes) else 0
     speed, step = _ragged(v, width), _ragged(dt, width)
-    cap, acc = (x.to_numpy(zero_copy_only=False) for x in (max_speed, max_acc))
+    cap, acc, back = (x.to_numpy(zero_copy_only=False) for x in (max_speed, max_acc, backwards))
     last = np.full(len(sizes), -1, dtype=np.int32)
     previous = np.zeros(len(sizes))
     out = np.empty((len(sizes), width + 1), dtype=np.int32)
@@ -47,7 +47,7 @@ def accepted_before(v: pa.Array, dt: pa.Array, max_speed: pa.Array, max_acc: pa.
         for j in range(width):
             out[:, j] = last
             now, d = speed[:, j], step[:, j]
-            ok = (d > 0) & (np.abs(now) <= cap) & (np.abs((now - previous) / d) <= acc)
+            ok = ((d > 0) | (back & (d < 0))) & (np.abs(now) <= cap) & (np.abs((now - previous) / d) <= acc)
             last[ok] = j
             previous[ok] = now[ok]
     out[:, width] = last
@@ -82,13 +82,14 @@ def raw_steps(segments: DataFrame, keys: list[str] = SEGMENT) -> DataFrame:
 
 def step_features(
     segments: DataFrame, n_class: int = 5, keys: list[str] = SEGMENT,
-    true_jerk: bool = False, wrap_heading: bool = False,
+    true_jerk: bool = False, wrap_heading: bool = False, backwards: bool = False,
 ) -> DataFrame:
     """All steps with their features and whether each one is plausible (``accepted``).
 
     Speed and heading changes are taken against the last accepted step, both 0
     at the start. The previous acceleration stays 0 unless ``true_jerk``, and
     the heading change does not wrap at 360 degrees unless ``wrap_heading``. A
+    step back in time is accepted only if ``backwards`` and within the limits. A
     segment's steps (at most 199) are packed in one row to find the accepted
     ones; the rest is Column arithmetic.
     """
@@ -99,7 +100,7 @@ def step_features(
     )
     walked = packed.select(
         *keys, "steps",
-        accepted_before(F.col("steps.velocity"), F.col("steps.delta_t"), max_speed, max_acc).alias("before"),
+        accepted_before(F.col("steps.velocity"), F.col("steps.delta_t"), max_speed, max_acc, F.lit(backwards)).alias("before"),
     )
     def at(i: Column, field: str) -> Column:
         """A field of step ``i``, 0 before the first step."""

@@ -10,8 +10,8 @@ def to_long(wide: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return wide.unpivot(ids, metrics, "metric", "value")
 
 
-def to_wide(long: DataFrame, ids: list[str], datasets: list, value: str = "value") -> DataFrame:
-    """One column per dataset."""
+def to_wide(long: DataFrame, ids: list[str], datasets: list | None = None, value: str = "value") -> DataFrame:
+    """One column per dataset, those of the table unless given; Spark stops at ``spark.sql.pivotMaxValues`` of them."""
     return long.groupBy(*ids).pivot("dataset", datasets).agg(F.first(value))
 
 

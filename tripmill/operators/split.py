@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmill.functions.scalar import uniform01
-from tripmill.operators.scan import hash_rank
+from tripmill.operators.scan import hash_rank, with_key
 
 
 def shuffled(rows: DataFrame, ids: list[str], seed: int = 10086) -> DataFrame:
@@ -38,9 +38,8 @@ def split_dataset(
 ) -> DataFrame:
     """Folds with ``split`` train, validation or test: a listed or drawn test set first, then the folds over the rest."""
     if isinstance(test, DataFrame):
-        marked = rows.join(test.select(*ids).withColumn("_test", F.lit(True)), ids, "left").withColumn(
-            "_test", F.coalesce("_test", F.lit(False))
-        )
+        listed = with_key(test, ids).select("_key").distinct().withColumn("_test", F.lit(True))
+        marked = with_key(rows, ids).join(listed, "_key", "left").withColumn("_test", F.coalesce("_test", F.lit(False))).drop("_key")
     elif test:
         drawn = hash_rank(rows, ids, seed + 1, [label] if label else [], rank="_r", total="_n")
         size = F.round(F.col("_n") * test) if label else F.ceil(F.col("_n") * test)

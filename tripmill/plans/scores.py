@@ -299,12 +299,9 @@ def _long(spark, sf):
     return model_scores(spark, sf)
 
 
-YEARS = list(range(1992, 2003))  # all that the tables have
-
-
-@query("scores_wide", MODELS + " SELECT metric, model, " + ", ".join(f'max(value) FILTER (dataset = {y}) AS "{y}"' for y in YEARS) + " FROM lg GROUP BY metric, model")
+@query("scores_wide", MODELS + " FROM (PIVOT lg ON dataset USING max(value) GROUP BY metric, model)")
 def _wide(spark, sf):
-    return ranks.to_wide(model_scores(spark, sf), ["metric", "model"], YEARS)
+    return ranks.to_wide(model_scores(spark, sf), ["metric", "model"])
 
 
 @query("competition_ranks", RANKED + " SELECT model, dataset, metric, value, rank FROM rk")

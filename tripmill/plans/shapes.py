@@ -160,10 +160,12 @@ def _grid(spark, sf):
 
 @query("radius_density_peak", chain("segs", f""", b AS (SELECT trj_id, seg_id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM segs GROUP BY ALL),
 g AS (SELECT *, least(x1 - x0, y1 - y0) / 2 AS rad, x0 + i * (x1 - x0) / 49 AS x, y0 + j * (y1 - y0) / 49 AS y, i, j FROM b, range(50) a(i), range(50) c(j)),
-z AS (SELECT g.trj_id, g.seg_id, sum(pow(exp(-3 * sqrt(pow(x - lon, 2) + pow(y - lat, 2)) / rad), 2) / (2 * pi()) / 0.4) AS d FROM g JOIN segs s USING (trj_id, seg_id) GROUP BY g.trj_id, g.seg_id, i, j)
-SELECT trj_id, seg_id, {r('CASE WHEN isnan(max(d)) THEN NULL ELSE max(d) END', 5)} AS density FROM z GROUP BY trj_id, seg_id"""))
+z AS (SELECT g.trj_id, g.seg_id, i, j, any_value(rad) AS rad, any_value(x) AS x, any_value(y) AS y, sum(pow(exp(-3 * sqrt(pow(x - lon, 2) + pow(y - lat, 2)) / rad), 2) / (2 * pi()) / 0.4) AS d FROM g JOIN segs s USING (trj_id, seg_id) GROUP BY g.trj_id, g.seg_id, i, j)
+SELECT trj_id, seg_id, {r('x', 9)} AS x, {r('y', 9)} AS y, {r('CASE WHEN rad > 0 THEN d END', 5)} AS density FROM z
+QUALIFY row_number() OVER (PARTITION BY trj_id, seg_id ORDER BY CASE WHEN rad > 0 THEN -round(d, 9) ELSE 0 END, i, j) = 1"""))
 def _radius(spark, sf):
-    return de.radius_density_peak(segs(spark, sf), SEG, 50).select(*SEG, rounded(F.col("density"), 5).alias("density"))
+    peak = de.radius_density_peak(segs(spark, sf), SEG, 50)
+    return peak.select(*SEG, *[rounded(F.col(c), places).alias(c) for c, places in (("x", 9), ("y", 9), ("density", 5))])
 
 
 CUBE = "WITH c AS (SELECT CAST(event_id % 10 AS INT) AS x, CAST(event_id // 10 % 10 AS INT) AS y, CAST(event_id // 100 AS INT) AS z, value FROM events)"

@@ -151,6 +151,13 @@ def _steps(spark, sf):
     return steps_of(spark, sf).select("trj_id", "seg_id", "pos", "label", "accepted", *_rounded_features())
 
 
+@query("step_features_backwards", chain("steps", f" SELECT trj_id, seg_id, pos, label, accepted, {FEATURE_ROWS} FROM steps").replace("dt > 0 AND", "dt <> 0 AND"))
+def _steps_backwards(spark, sf):
+    """Steps back in time accepted like the others, if speed and acceleration hold."""
+    out = motion.step_features(segments_of(fx.points(spark, sf)), backwards=True)
+    return out.select("trj_id", "seg_id", "pos", "label", "accepted", *_rounded_features())
+
+
 @query("feature_variants", chain("good", f""" SELECT trj_id, seg_id, pos, label, variant, {FEATURE_ROWS}
 FROM good, (VALUES ('clean'), ('noisy')) x(variant) WHERE accepted OR variant = 'noisy'"""))
 def _variants(spark, sf):
