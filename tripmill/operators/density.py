@@ -107,28 +107,29 @@ def bandwidth_scores(rows: DataFrame, value: str, fold: str, bandwidths: list[fl
     return means.withColumn("best", F.row_number().over(order) == 1)
 
 
-GRID = T.ArrayType(T.StructType([
-    T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("density", T.DoubleType())
-]))
-
-
 def kde_grid(segments: DataFrame, keys: list[str], bandwidth: float, bins: int = 100, columns: tuple[str, str] = ("lon", "lat")) -> DataFrame:
-    """Gaussian density of each segment on its own ``bins`` x ``bins`` grid."""
+    """Gaussian density of each segment on its own ``bins`` x ``bins`` grid; only densities leave Python, as one array a segment."""
 
-    @pandas_udf(GRID)
+    @pandas_udf(T.ArrayType(T.DoubleType()))
     def evaluate(xs: pd.Series, ys: pd.Series) -> pd.Series:
         def one(x, y):
             x, y = np.asarray(x), np.asarray(y)
             gx, gy = np.linspace(x.min(), x.max(), bins), np.linspace(y.min(), y.max(), bins)
             wx = np.exp(-0.5 * ((gx[:, None] - x) / bandwidth) ** 2)
             wy = np.exp(-0.5 * ((gy[:, None] - y) / bandwidth) ** 2)
-            z = wx @ wy.T / (len(x) * 2 * np.pi * bandwidth**2)
-            return [(gx[i], gy[j], z[i, j]) for i in range(bins) for j in range(bins)]
+            return (wx @ wy.T / (len(x) * 2 * np.pi * bandwidth**2)).ravel()
 
         return pd.Series([one(x, y) for x, y in zip(xs, ys)])
 
-    packed = packed_points(segments, keys, list(columns))
-    return packed.select(*keys, F.inline(evaluate(*columns)))
+    ends = [f(c).alias(f"_{name}{c}") for c in columns for name, f in (("lo", F.array_min), ("hi", F.array_max))]
+    cells = packed_points(segments, keys, list(columns)).select(*keys, *ends, F.posexplode(evaluate(*columns)).alias("_i", "density"))
+    place = (F.floor(F.col("_i") / bins), F.col("_i") % bins)
+
+    def at(column: str, i: Column) -> Column:
+        low, high = F.col(f"_lo{column}"), F.col(f"_hi{column}")
+        return F.when(i == bins - 1, high).otherwise(low + i * ((high - low) / (bins - 1)))
+
+    return cells.select(*keys, *[at(c, i).alias(name) for c, i, name in zip(columns, place, ("x", "y"))], "density")
 
 
 def radius_density_peak(segments: DataFrame, keys: list[str], bins: int = 50, locality: float = 2.0, columns: tuple[str, str] = ("lon", "lat")) -> DataFrame:
