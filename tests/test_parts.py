@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripmill.functions import numeric
-from tripmill.operators import augment, evaluate, extract, masks, noise, resample
+from tripmill.operators import augment, density, evaluate, extract, masks, noise, resample
 from tripmill.schema import POINTS
 from tripmill.sources import logs, tables
 
@@ -226,3 +226,23 @@ def test_records_append(spark, tmp_path):
     tables.append_record(spark, path, "r2", "b", {"accuracy": 0.7})
     wide = tables.records_wide(spark.read.parquet(path), ["Best accuracy", "Final accuracy"])
     assert {(r[0], r[2], r[3]) for r in wide.collect()} == {("r1", 0.5, 0.4), ("r2", 0.7, None)}
+
+
+def test_grid_densities_leave_python_few_at_a_time(spark, monkeypatch):
+    """A batch of many segments must not become one batch of all their grids."""
+    sizes = spark.sparkContext.accumulator(0)
+    kind = type(spark.range(1))
+    plain = kind.mapInArrow
+
+    def watched(self, fn, schema):
+        def counted(batches):
+            for out in fn(batches):
+                sizes.add(1)
+                yield out
+
+        return plain(self, counted, schema)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    rows = spark.range(0, 400, 1, 1).selectExpr("if(id < 8, null, id div 4) AS trj_id", "id % 4 AS pos", "id % 7 * 1.0 AS lon", "id % 5 * 1.0 AS lat")
+    assert density.kde_grid(rows, ["trj_id"], 0.5, bins=6).groupBy("trj_id").count().where("count = 36").count() == 99
+    assert sizes.value >= 99 / 32

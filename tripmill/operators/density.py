@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ IQR_SCALE = 1.349
 SILVERMAN, SCOTT = 0.9, 1.059
 BLOCK_VALUES = 4096
 RANKS = 256  # in a block of ranks
+GRIDS = 32  # that leave Python together
 
 
 def kernel(u: Column, kind: str) -> Column:
@@ -108,21 +111,32 @@ def bandwidth_scores(rows: DataFrame, value: str, fold: str, bandwidths: list[fl
 
 
 def kde_grid(segments: DataFrame, keys: list[str], bandwidth: float, bins: int = 100, columns: tuple[str, str] = ("lon", "lat")) -> DataFrame:
-    """Gaussian density of each segment on its own ``bins`` x ``bins`` grid; only densities leave Python, as one array a segment."""
-
-    @pandas_udf(T.ArrayType(T.DoubleType()))
-    def evaluate(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        def one(x, y):
-            x, y = np.asarray(x), np.asarray(y)
-            gx, gy = np.linspace(x.min(), x.max(), bins), np.linspace(y.min(), y.max(), bins)
-            wx = np.exp(-0.5 * ((gx[:, None] - x) / bandwidth) ** 2)
-            wy = np.exp(-0.5 * ((gy[:, None] - y) / bandwidth) ** 2)
-            return (wx @ wy.T / (len(x) * 2 * np.pi * bandwidth**2)).ravel()
-
-        return pd.Series([one(x, y) for x, y in zip(xs, ys)])
+    """Gaussian density of each segment on its own ``bins`` x ``bins`` grid.
 
+    Only densities leave Python, as one array a segment, ``GRIDS`` segments at a
+    time, so a task holds few grids however many segments it has.
+    """
     ends = [f(c).alias(f"_{name}{c}") for c in columns for name, f in (("lo", F.array_min), ("hi", F.array_max))]
-    cells = packed_points(segments, keys, list(columns)).select(*keys, *ends, F.posexplode(evaluate(*columns)).alias("_i", "density"))
+    packed = packed_points(segments, keys, list(columns)).select(*keys, *ends, *columns)
+    kept = [c for c in packed.columns if c not in columns]
+    schema = T.StructType([*[packed.schema[c] for c in kept], T.StructField("_cells", T.ArrayType(T.DoubleType()))])
+
+    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        gx, gy = np.linspace(x.min(), x.max(), bins), np.linspace(y.min(), y.max(), bins)
+        wx = np.exp(-0.5 * ((gx[:, None] - x) / bandwidth) ** 2)
+        wy = np.exp(-0.5 * ((gy[:, None] - y) / bandwidth) ** 2)
+        return (wx @ wy.T / (len(x) * 2 * np.pi * bandwidth**2)).ravel()
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, GRIDS):
+                part = batch.slice(start, GRIDS)
+                xs, ys = (part.column(part.schema.get_field_index(c)) for c in columns)
+                cells = [one(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(xs, ys)]
+                grids = pa.ListArray.from_arrays(np.arange(len(cells) + 1, dtype=np.int32) * bins**2, np.concatenate(cells))
+                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in kept], grids], [*kept, "_cells"])
+
+    cells = packed.mapInArrow(evaluate, schema).select(*kept, F.posexplode("_cells").alias("_i", "density"))
     place = (F.floor(F.col("_i") / bins), F.col("_i") % bins)
 
     def at(column: str, i: Column) -> Column:
