@@ -8,6 +8,7 @@ import pytest
 
 from tests.llm.test_simhash import joined
 from tripmill.llm import tensored
+from tripmill.llm.components import components
 
 
 def shingles(text):
@@ -81,3 +82,52 @@ def test_null_ids_and_empty_tables(docs_of):
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, [
         (None, 2, 7, False), (7, 2, 7, True), (None, 1, None, True), (None, 0, None, True)]))
     assert tensored.near_groups(docs_of([])).isEmpty()
+
+
+def test_components_take_few_tasks(spark):
+    """Chains, stars, loops and repeats as by a search from each node; a round of few links is few tasks whatever the partitions."""
+    draw = random.Random(12)
+    chain = [(i, i + 1) for i in range(300)]
+    hub = [(1000, 1000 + k) for k in range(1, 200)]
+    pairs = [(draw.randrange(2000, 2300), draw.randrange(2000, 2300)) for _ in range(140)]
+    rows = [draw.sample(x, 2) for x in chain + hub + pairs + pairs]
+    near = {}
+    for u, v in rows:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    want, seen = set(), set()
+    for node in near:
+        if node not in seen:
+            group, left = {node}, [node]
+            while left:
+                left += (more := near[left.pop()] - group)
+                group |= more
+            seen |= group
+            want.add(frozenset(group))
+    settings = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "0"}
+    before, context = {k: spark.conf.get(k) for k in settings}, spark.sparkContext
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("few-tasks", "")
+    try:
+        got = {}
+        for r in components(spark.createDataFrame(rows, "u bigint, v bigint").repartition(40)).collect():
+            got.setdefault(r.root, set()).add(r.node)
+        tracker = context.statusTracker()
+        found = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds]
+        assert sum(x.numCompletedTasks for x in found if x) < 4000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {frozenset(x) for x in got.values()} == want
+
+
+def test_sets_of_a_key_meet_its_hub_whatever_their_tasks(spark):
+    """Two tasks, one key: no set is tied to another than the smallest of all."""
+    half = np.arange(2 * tensored.M, dtype=np.uint64).tobytes()
+    rows = [[(1, half), (5, half)], [(3, half), (4, half)]]
+    parts = spark.sparkContext.parallelize([x for p in rows for x in p], 2)
+    kinds = spark.createDataFrame(parts, "node bigint, halves binary")
+    assert {(r.u, r.v, r.n) for r in tensored.ties(kinds).collect()} == {(1, v, tensored.M ** 2) for v in (3, 4, 5)}

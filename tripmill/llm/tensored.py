@@ -6,10 +6,9 @@ table: ``M * M`` tables of ``2 * K`` minhashes for ``2 * M * K`` minhashes in al
 Sets with resemblance s share a key with chance ``(1 - (1 - s**K)**M)**2``:
 0.9985 at 0.8, 0.99997 at 0.85.
 
-Sets that share a key are tied to the smallest node of that key, its hub; a task
-ties the copies it sees itself, so a common key costs a row per task. Trees of
-such ties are compared as wholes if they are small: all their sets, in one task,
-by bitmaps of their common shingles. In a large tree each set is first compared
+Sets that share a key are all tied to the smallest node of that key, its hub;
+equal sets are one node. Trees of such ties are compared as wholes if they are
+small: all their sets, in one task, by bitmaps of their common shingles. In a large tree each set is first compared
 with the hub it shares most keys with; where that leaves a hub with sets in
 several components, sets outside its main component are compared with all of
 that hub. Sets of one component are never compared again.
@@ -25,14 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmill.llm import common as C
-from tripmill.llm.components import components
+from tripmill.llm.components import components, stars
 from tripmill.llm.recompress import word_hashes, words
 from tripmill.session import stage, unstage
 
 K, M = 3, 10  # minhashes of a half key, half keys of a collection
 GROUP = 512  # sets compared at once, and shingles of them
 GROUP_SHINGLES = 1 << 21
-SEEN = 1 << 20  # keys a task remembers before it starts afresh
 CHUNK = 1 << 20  # 64-bit words of bitmaps met at once
 
 _A, _Z = 65, 90
@@ -109,75 +107,39 @@ def _sets(size: int):
     return run
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, u, v, n``: a node ``u`` under its key, or without key a tie of ``u`` and ``v`` by ``n`` keys this task has seen before."""
-    keys, hubs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    tables = np.arange(M * M, dtype=np.uint64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw = b"".join(batch.column("halves").to_pylist())
-        halves = np.frombuffer(raw, np.uint64).reshape(-1, 2 * M)
-        pair = C.mix(np.repeat(halves[:, :M], M, axis=1), np.tile(halves[:, M:], (1, M)), 47)
-        key = C.mix(pair, np.broadcast_to(tables, pair.shape).copy(), 53).reshape(-1)
-        node = np.repeat(batch.column("node").to_numpy(), M * M)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            known = keys[at] == key
-            tied = [(hubs[at[known]], node[known])]
-            key, node = key[~known], node[~known]
-        else:
-            tied = []
-        order = np.argsort(key, kind="stable")
-        key, node = key[order], node[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        start = np.flatnonzero(new)
-        hub = node[start][np.cumsum(new) - 1]
-        tied.append((hub[~new], node[~new]))
-        fresh, first = key[start], node[start]
-        u, v = (np.concatenate(x) for x in zip(*tied))
-        if len(u):
-            rank = np.lexsort((v, u))
-            u, v = u[rank], v[rank]
-            edge = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
-            n = np.diff(np.append(edge, len(u)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(edge), pa.int64()), pa.array(u[edge]), pa.array(v[edge]), pa.array(n, pa.int64())], names=["key", "u", "v", "n"])
-        if len(fresh):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(C.signed(fresh)), pa.array(first), pa.nulls(len(fresh), pa.int64()), pa.array(np.ones(len(fresh), np.int64))],
-                names=["key", "u", "v", "n"])
-        if len(keys) + len(fresh) > SEEN:
-            keys, hubs = fresh, first
-        else:
-            at = np.searchsorted(keys, fresh)
-            keys, hubs = np.insert(keys, at, fresh), np.insert(hubs, at, first)
+def _keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``key, u``: each node under all its keys."""
+    halves = np.frombuffer(b"".join(batch.column("halves").to_pylist()), np.uint64).reshape(-1, 2 * M)
+    pair = C.mix(np.repeat(halves[:, :M], M, axis=1), np.tile(halves[:, M:], (1, M)), 47)
+    key = C.mix(pair, np.broadcast_to(np.arange(M * M, dtype=np.uint64), pair.shape).copy(), 53).reshape(-1)
+    node = np.repeat(batch.column("node").to_numpy(), M * M)
+    return pa.RecordBatch.from_arrays([pa.array(C.signed(key)), pa.array(node)], names=["key", "u"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties of each key's first node with its others, from rows sorted by key and node; ties without key pass."""
+    """Ties of each key's first node with its others, from rows sorted by key and node."""
     last, hub = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        done = batch.column("key").is_null().to_numpy(zero_copy_only=False)
-        out = [tuple(batch.column(c).filter(pa.array(done)).to_numpy() for c in ("u", "v", "n"))] if done.any() else []
-        if not done.all():
-            rest = batch.filter(pa.array(~done))
-            key, node = rest.column("key").to_numpy(), rest.column("u").to_numpy()
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            new[0] = last is None or key[0] != last
-            place = np.cumsum(new) - 1
-            heads = node[new]
-            own = np.where(place < 0, hub, heads[np.maximum(place, 0)]) if len(heads) else np.full(len(node), hub)
-            last, hub = key[-1], own[-1]
-            far = ~new & (own != node)
-            out.append((own[far], node[far], np.ones(int(far.sum()), np.int64)))
-        u, v, n = (np.concatenate(x) for x in zip(*out))
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], names=["u", "v", "n"])
+        key, node = batch.column("key").to_numpy(), batch.column("u").to_numpy()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = last is None or key[0] != last
+        place = np.cumsum(new) - 1
+        heads = node[new]
+        own = np.where(place < 0, hub, heads[np.maximum(place, 0)]) if len(heads) else np.full(len(node), hub)
+        last, hub = key[-1], own[-1]
+        far = np.flatnonzero(~new & (own != node))
+        if len(far):
+            yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(node[far])], names=["u", "v"])
+
+
+def ties(kinds: DataFrame) -> DataFrame:
+    """``u, v, n``: the hubs ``u`` of the keys of each of ``kinds`` (``node, halves``), and the number of keys."""
+    keyed = C.map_batches(kinds.select("node", "halves"), _keys, "key bigint, u bigint")
+    tied = keyed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(_stars, "u bigint, v bigint")
+    return tied.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
 def forest(nodes: np.ndarray, places: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -219,7 +181,7 @@ def forest(nodes: np.ndarray, places: np.ndarray, sets: list[np.ndarray]) -> lis
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each group of rows ``key, one, two, node, place, shingles``, sorted by group."""
+    """Links inside each group of rows ``key, one, two, node, place, shingles``, sorted by group, as stars: a node is one ``v`` at most."""
 
     def emit(held: list[tuple]) -> pa.RecordBatch | None:
         if len(held) < 2:
@@ -228,8 +190,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = forest(np.array(nodes), np.array(places), list(sets))
         if not links:
             return None
-        u, v = zip(*links)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        u, v = stars(*(np.array(x, np.int64) for x in zip(*links)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     held, last = [], None
     for batch in batches:
@@ -315,12 +277,8 @@ def near_groups(docs: DataFrame, shingle: int = 2) -> DataFrame:
     kinds = stage(prints.where("n_shingles > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("one"), F.min("n_shingles").alias("size"),
         F.min("halves").alias("halves")), "kinds")
-    C.small_batches(docs.sparkSession)
-    tied = kinds.select("node", "halves").mapInArrow(_ties, "key bigint, u bigint, v bigint, n bigint")
-    tied = tied.repartition(F.coalesce("key", F.xxhash64("u", "v"))).sortWithinPartitions("key", "u")
-    stars = tied.mapInArrow(_stars, "u bigint, v bigint, n bigint")
-    ties = stage(stars.groupBy("u", "v").agg(F.sum("n").alias("n")), "ties")
-    trees = components(ties.select("u", "v")).withColumnRenamed("root", "key")
+    tied = stage(ties(kinds), "ties")
+    trees = components(tied.select("u", "v")).withColumnRenamed("root", "key")
     members = kinds.join(trees, "node").select("node", "key", "size", "one")
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"))
     members = stage(members.join(counts.select("key", (F.expr(f"rows > {GROUP} or shingles > {GROUP_SHINGLES}")).alias("large")), "key"), "members")
@@ -329,12 +287,14 @@ def near_groups(docs: DataFrame, shingle: int = 2) -> DataFrame:
     needed = texts.join(wanted.hint("merge"), same).select("_node", "text")  # one plan at every size; wanted grows with the copies
     sets = stage(C.map_batches(needed, _sets(shingle), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
     zero = F.lit(0)
-    links = linked(members.where("not large").select("key", zero.alias("one"), zero.alias("two"), "node", F.col("node").alias("place")), sets)
+    small = members.where("not large").select("key", zero.alias("one"), zero.alias("two"), "node", F.col("node").alias("place"))
+    links = linked(small, sets)  # the stars of whole trees, so their components
+    roots = links.select(F.explode(F.array_distinct(F.array("u", "v"))).alias("node"), F.col("u").alias("root")).distinct()
     large = members.where("large").select("node", "key")
     if not large.isEmpty():
-        links = links.unionByName(_large(ties, large, sets))
-    roots = components(links)
-    for table in (ties, members, sets):
+        roots = roots.unionByName(components(_large(tied, large, sets)))
+    roots = stage(roots, "component-roots")
+    for table in (tied, members, sets):
         unstage(table)
     placed = stage(kinds.select("node", "first_id").join(roots, "node"), "placed")
     first = placed.groupBy("root").agg(F.min("first_id").alias("least"))
