@@ -75,3 +75,26 @@ def test_few_rows(spark):
     queries = spark.createDataFrame([(9, [0.2])], "id long, x array<double>")
     assert [r.id for r in cl.nearest_neighbours(train, queries, 5).orderBy("place").collect()] == [1, 2]
     assert cl.nearest_neighbours(train.limit(0), queries, 5).isEmpty() and cl.nearest_neighbours(train, queries.limit(0), 5).isEmpty()
+
+
+def test_neighbours_store_no_visits(spark, monkeypatch):
+    """A search stores nothing per query and leaf; pieces, shares and parts of equal rows give the exact neighbours."""
+    import numpy as np
+
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(900, 8))
+    x[600:] = x[0]
+    train = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id bigint, x array<double>, label int")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:60:2])], "qid bigint, qx array<double>")
+    want = [np.lexsort((np.arange(900), np.sqrt(((x - v) ** 2).sum(axis=1))))[:7].tolist() for v in x[:60:2]]
+    tree = nb.ball_tree(train, fan=16, leaf=64)
+
+    def stored(*_):
+        raise AssertionError("a stage table in a search")
+
+    monkeypatch.setattr(nb, "stage", stored)
+    for sizes in ({}, {"PIECE": 300, "SHARE": 10, "PART": 20, "PAIRS": 640}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(nb, name, value)
+        got = nb.search(tree, queries, 7, block=16).toPandas().sort_values(["qid", "place"])
+        assert [g["id"].tolist() for _, g in got.groupby("qid")] == want
