@@ -1,5 +1,7 @@
 """The stored noise sets: values against the plain preparation, and a broken run that goes on."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tripmill.operators import noise
@@ -44,3 +46,26 @@ def test_sets_are_stored_once_and_equal_the_preparation(spark, tmp_path, monkeyp
         assert rows_of(stored.where("noise_config = 'missing_20_percent'"), columns) == rows_of(noisy[name], columns)
     listed = spark.read.parquet(f"{folder}/manifest").groupBy("name").count().collect()
     assert {r["name"]: r["count"] for r in listed} == dict.fromkeys(VALUES, 2)
+
+
+def test_stage_tables_of_the_sets_are_deleted(spark, tmp_path, monkeypatch):
+    """Those of the clean rows when the last table that reads them is written, the others at the end of the job."""
+    made, held, write = [], {}, ft.write_stage
+    stage = ft.stage
+
+    def staged(df, name):
+        out = stage(df, name)
+        made.append((name, out.stage_path.removeprefix("file:")))
+        return out
+
+    def written(df, path, **kw):
+        held[path.rsplit("/", 1)[-1]] = {n for n, p in made if os.path.exists(p)}
+        write(df, path, **kw)
+
+    monkeypatch.setattr(noise, "sweep_names", lambda: ["drift_0_percent"])
+    monkeypatch.setattr(ft, "stage", staged)
+    monkeypatch.setattr(ft, "write_stage", written)
+    ft.store_sweep(clean_segments(spark, SF), str(tmp_path), "test")
+    assert held["clean_features"] == {"sweep", "steps", "clean-features", "clean-points"}
+    assert held["trj_masks"] == {"sweep", "steps", "clean-points"}
+    assert not any(os.path.exists(p) for _, p in made)

@@ -41,13 +41,14 @@ def trajectory_masks(
 
 def feature_tables(
     segments: DataFrame, n_class: int = 5, keys: list[str] = SEGMENT, mask_mode: str = "ep", trj_mask_mode: str = "kde",
-    length: int = 4, ratio: float = 0.15, bandwidth: float = 1.0, kernel: str = "epa",
+    length: int = 4, ratio: float = 0.15, bandwidth: float = 1.0, kernel: str = "epa", staged: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Clean and noisy features and coordinates, their masks, and removed steps per class.
 
     Features of both variants are stretched to the segment's number of points.
     ``segments`` is read several times and should be a stored table; steps and
-    clean rows are staged here, as each feeds two or more of the tables.
+    clean rows are staged here, as each feeds two or more of the tables;
+    ``staged`` takes them under the last table that reads them.
     """
     steps = stage(motion.step_features(segments, n_class, keys), "steps")
     good = motion.with_enough_steps(steps)
@@ -63,6 +64,8 @@ def feature_tables(
     usable = segments.join(labels.select(*keys), keys, "left_semi")
     kept = motion.drop_rejected_points(usable, good, keys)
     clean_points = stage(resample.resample_cubic(kept, keys, "pos", ["lat", "lon"], "n_points"), "clean-points")
+    if staged is not None:
+        staged |= {"feature_masks": clean, "trj_masks": clean_points, "removed": steps}
     return {
         "clean_features": clean,
         "noisy_features": even(good),
@@ -106,16 +109,19 @@ def store_sweep(segments: DataFrame, folder: str, split: str, seed: int = 42, at
         now = left[i: i + at_once]
         swept = stage(noise.noise_sweep(segments, seed).where(F.col("noise_config").isin(now)), "sweep")
         keys = ["noise_config", *SEGMENT]
-        counts = None
-        for name, df in feature_tables(swept, keys=keys, **settings).items():
+        counts, staged = None, {}
+        for name, df in feature_tables(swept, keys=keys, staged=staged, **settings).items():
             if "noise_config" not in df.columns:
                 continue
             write_stage(df.withColumn("split", F.lit(split)), f"{folder}/{name}", own=True)
             rows = read_stored(spark, folder, name, split).where(F.col("noise_config").isin(now))
             count = rows.groupBy("split", "noise_config").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
             counts = count if counts is None else counts.unionByName(count)
+            if name in staged:
+                unstage(staged.pop(name))
         counts.select("split", "noise_config", "name", "n").write.mode("append").parquet(f"{folder}/manifest")
-        unstage(swept)
+        for table in (*staged.values(), swept):
+            unstage(table)
     return left
 
 
