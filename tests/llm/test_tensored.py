@@ -131,3 +131,24 @@ def test_sets_of_a_key_meet_its_hub_whatever_their_tasks(spark):
     parts = spark.sparkContext.parallelize([x for p in rows for x in p], 2)
     kinds = spark.createDataFrame(parts, "node bigint, halves binary")
     assert {(r.u, r.v, r.n) for r in tensored.ties(kinds).collect()} == {(1, v, tensored.M ** 2) for v in (3, 4, 5)}
+
+
+def test_sets_are_shuffled_once_and_repeated_rows_count_once(docs_of, spark, monkeypatch):
+    """Whole sets of small trees go to their tree by one exchange, without a join before it."""
+    plans, stage = {}, tensored.stage
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return stage(df, name)
+
+    monkeypatch.setattr(tensored, "stage", seen)
+    rows = corpus() * 2
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sorted(tuple(r) for r in tensored.near_groups(docs_of(rows)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == want_of(rows)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plans["sets"] + plans["component-roots"])
+    assert moved and sum("shingles#" in m or "first" in m for m in moved) == 1

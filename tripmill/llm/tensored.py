@@ -99,11 +99,16 @@ def _signatures(size: int):
 
 
 def _sets(size: int):
+    """``node, key, large, shingles``; of rows of one node that follow each other in a batch the first."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node = batch.column("node").to_numpy()
+        batch = batch.filter(pa.array(np.concatenate(([True], node[1:] != node[:-1]))))
         found = [(value, number) for _, value, number in shingle_sets(batch, size)]
         value, number = (np.concatenate(x) for x in zip(*found))
         held = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(number))), pa.int32()), pa.array(C.signed(value)))
-        return pa.RecordBatch.from_arrays([batch.column("_node"), held], names=["node", "shingles"])
+        carried = ["node", "key", "large"]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), held], names=[*carried, "shingles"])
     return run
 
 
@@ -181,7 +186,10 @@ def forest(nodes: np.ndarray, places: np.ndarray, sets: list[np.ndarray]) -> lis
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each group of rows ``key, one, two, node, place, shingles``, sorted by group, as stars: a node is one ``v`` at most."""
+    """Links inside each group of rows ``key, one, two, node, place, shingles``, sorted by group and node, as stars: a node is one ``v`` at most.
+
+    Of rows of one node in a group the first counts.
+    """
 
     def emit(held: list[tuple]) -> pa.RecordBatch | None:
         if len(held) < 2:
@@ -203,16 +211,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (out := emit(held)) is not None:
                     yield out
                 held, last = [], here
+            elif held[-1][0] == node[i]:
+                continue
             held.append((int(node[i]), int(place[i]), lists[i].values.to_numpy()))
     if (out := emit(held)) is not None:
         yield out
 
 
+def compared(held: DataFrame) -> DataFrame:
+    """``u, v`` for groups of ``held`` (``key, one, two, node, place, shingles``), each compared in one task; sets are shuffled once."""
+    group = ["key", "one", "two"]
+    rows = held.select(*group, "node", "place", "shingles")
+    return rows.repartition(*group).sortWithinPartitions(*group, "node").mapInArrow(_compare, "u bigint, v bigint")
+
+
 def linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``u, v`` for groups of ``rows`` (``key, one, two, node, place``), each compared in one task."""
-    group = ["key", "one", "two"]
-    held = rows.join(sets, "node").select(*group, "node", "place", "shingles")
-    return held.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare, "u bigint, v bigint")
+    return compared(rows.join(sets, "node"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -282,19 +297,21 @@ def near_groups(docs: DataFrame, shingle: int = 2) -> DataFrame:
     members = kinds.join(trees, "node").select("node", "key", "size", "one")
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"))
     members = stage(members.join(counts.select("key", (F.expr(f"rows > {GROUP} or shingles > {GROUP_SHINGLES}")).alias("large")), "key"), "members")
-    wanted = members.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), F.col("node").alias("_node"))
+    wanted = members.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), "node", "key", "large")
     same = F.expr("doc_id <=> _id and th = _th")
-    needed = texts.join(wanted.hint("merge"), same).select("_node", "text")  # one plan at every size; wanted grows with the copies
-    sets = stage(C.map_batches(needed, _sets(shingle), "node bigint, shingles array<bigint>").dropDuplicates(["node"]), "sets")
+    needed = texts.join(wanted.hint("merge"), same).select("node", "key", "large", "text")  # one plan at every size; wanted grows with the copies
+    # Sets carry their tree, so that those of small trees go to it without a join. Rows that share id and text may repeat a node.
+    sets = stage(C.map_batches(needed, _sets(shingle), "node bigint, key bigint, large boolean, shingles array<bigint>"), "sets")
     zero = F.lit(0)
-    small = members.where("not large").select("key", zero.alias("one"), zero.alias("two"), "node", F.col("node").alias("place"))
-    links = linked(small, sets)  # the stars of whole trees, so their components
+    links = compared(sets.where("not large").withColumns({"one": zero, "two": zero, "place": F.col("node")}))  # the stars of whole trees, so their components
     roots = links.select(F.explode(F.array_distinct(F.array("u", "v"))).alias("node"), F.col("u").alias("root")).distinct()
     large = members.where("large").select("node", "key")
+    used = [tied, members, sets]
     if not large.isEmpty():
-        roots = roots.unionByName(components(_large(tied, large, sets)))
+        used.append(stage(sets.where("large").select("node", "shingles").dropDuplicates(["node"]), "large-sets"))
+        roots = roots.unionByName(components(_large(tied, large, used[-1])))
     roots = stage(roots, "component-roots")
-    for table in (tied, members, sets):
+    for table in used:
         unstage(table)
     placed = stage(kinds.select("node", "first_id").join(roots, "node"), "placed")
     first = placed.groupBy("root").agg(F.min("first_id").alias("least"))
