@@ -69,3 +69,26 @@ def test_stage_tables_of_the_sets_are_deleted(spark, tmp_path, monkeypatch):
     assert held["clean_features"] == {"sweep", "steps", "clean-features", "clean-points"}
     assert held["trj_masks"] == {"sweep", "steps", "clean-points"}
     assert not any(os.path.exists(p) for _, p in made)
+
+
+def test_tasks_follow_the_number_of_points(spark, monkeypatch):
+    """Every table comes in tasks of a bounded number of points, whatever the number of shuffle partitions, with the same rows."""
+    from tripmill.plans import fixtures, motion_profile
+
+    points = fixtures.points(spark, SF)
+    plain = ft.feature_tables(motion_profile.segments_of(points))
+    want = {name: rows_of(plain[name], columns) for name, columns in VALUES.items()}
+    monkeypatch.setattr(motion_profile, "PART", 100, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        segments = motion_profile.segments_of(points)
+        assert segments.rdd.getNumPartitions() >= points.count() // 100
+        tables = ft.feature_tables(segments)
+        least = segments.count() // 100
+        assert least > 2
+        for name, columns in VALUES.items():
+            assert tables[name].rdd.getNumPartitions() >= (1 if name in ("clean_features", "clean_points") else least), name  # these are read back from files
+            assert rows_of(tables[name], columns) == want[name]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -24,10 +24,10 @@ def packed_points(segments: DataFrame, keys: list[str], columns: list[str], orde
     return segments.groupBy(*keys).agg(rows.alias("s")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in [order, *columns]])
 
 
-def spread(packed: DataFrame, keys: list[str]) -> DataFrame:
-    """Packed segments over all shuffle partitions: they are few bytes but much work, so small partitions must not be merged."""
+def spread(packed: DataFrame, keys: list[str], parts: int = 1) -> DataFrame:
+    """Packed segments over all shuffle partitions, ``parts`` at least: they are few bytes but much work, so small partitions must not be merged."""
     n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.repartition(n, *keys)
+    return packed.repartition(max(n, parts), *keys)
 
 
 def unpacked_mask(packed: DataFrame, keys: list[str], mask: Column, order: str = "pos") -> DataFrame:
@@ -35,14 +35,14 @@ def unpacked_mask(packed: DataFrame, keys: list[str], mask: Column, order: str =
     return packed.select(*keys, F.inline(zipped).alias(order, "mask"))
 
 
-def density_mask(segments: DataFrame, keys: list[str], length: int = 2, bandwidth: float = 1.0, kernel: str = "epa") -> DataFrame:
-    """Mask around the densest places of each segment, shared by latitude and longitude."""
+def density_mask(segments: DataFrame, keys: list[str], length: int = 2, bandwidth: float = 1.0, kernel: str = "epa", parts: int = 1) -> DataFrame:
+    """Mask around the densest places of each segment, shared by latitude and longitude; by ``parts`` tasks at least."""
 
     @pandas_udf(INTS)
     def peaks(lat: pd.Series, lon: pd.Series) -> pd.Series:
         return pd.Series([numeric.density_mask(np.asarray(a), np.asarray(b), length, bandwidth, kernel) for a, b in zip(lat, lon)])
 
-    packed = spread(packed_points(segments, keys, ["lat", "lon"]), keys)
+    packed = spread(packed_points(segments, keys, ["lat", "lon"]), keys, parts)
     return unpacked_mask(packed, keys, peaks("lat", "lon"))
 
 

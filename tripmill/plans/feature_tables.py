@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tripmill.functions.scalar import hash32
 from tripmill.operators import masks, motion, noise, packed_masks, resample, shape_masks
+from tripmill.plans.motion_profile import parts_of
 from tripmill.schema import FEATURES, FEATURES_WITH_TIME
 from tripmill.session import stage, unstage
 from tripmill.sources.tables import write_stage
@@ -31,12 +32,12 @@ def feature_masks(features: DataFrame, keys: list[str], mode: str = "ep", length
 
 def trajectory_masks(
     points: DataFrame, keys: list[str], mode: str = "kde", length: int = 4, ratio: float = 0.15,
-    bandwidth: float = 1.0, kernel: str = "epa", seed: int = 42,
+    bandwidth: float = 1.0, kernel: str = "epa", seed: int = 42, parts: int = 1,
 ) -> DataFrame:
     """One mask for both coordinates: around density peaks (``kde``) or ``random``; other modes count as ``kde``."""
     if mode == "random":
         return _random(points.select(*keys, "pos"), keys, ratio, length, seed)
-    return shape_masks.density_mask(points, keys, length, bandwidth, kernel)
+    return shape_masks.density_mask(points, keys, length, bandwidth, kernel, parts)
 
 
 def feature_tables(
@@ -48,10 +49,18 @@ def feature_tables(
     Features of both variants are stretched to the segment's number of points.
     ``segments`` is read several times and should be a stored table; steps and
     clean rows are staged here, as each feeds two or more of the tables;
-    ``staged`` takes them under the last table that reads them.
+    ``staged`` takes them under the last table that reads them. Rows go to as
+    many tasks as ``segments`` ask for, whole segments each, which the grouping
+    and joins by ``keys`` keep.
     """
+    parts = parts_of(segments)
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.repartition(parts, *keys, *more)
+
+    segments = dealt(segments)
     steps = stage(motion.step_features(segments, n_class, keys), "steps")
-    good = motion.with_enough_steps(steps)
+    good = dealt(motion.with_enough_steps(steps))
     sizes = segments.where("pos = 0").select(*keys, "n_points")
     labels = good.where("pos = 0").select(*keys, "label")
 
@@ -62,17 +71,17 @@ def feature_tables(
 
     clean = stage(even(good.where("accepted")), "clean-features")
     usable = segments.join(labels.select(*keys), keys, "left_semi")
-    kept = motion.drop_rejected_points(usable, good, keys)
+    kept = dealt(motion.drop_rejected_points(dealt(usable, "pos"), dealt(good, "pos"), keys))
     clean_points = stage(resample.resample_cubic(kept, keys, "pos", ["lat", "lon"], "n_points"), "clean-points")
     if staged is not None:
         staged |= {"feature_masks": clean, "trj_masks": clean_points, "removed": steps}
     return {
         "clean_features": clean,
         "noisy_features": even(good),
-        "feature_masks": feature_masks(clean, keys, mask_mode, length, ratio),
+        "feature_masks": feature_masks(dealt(clean), keys, mask_mode, length, ratio),
         "clean_points": clean_points,
         "noisy_points": usable.select(*keys, "pos", "lat", "lon"),
-        "trj_masks": trajectory_masks(clean_points, keys, trj_mask_mode, length, ratio, bandwidth, kernel),
+        "trj_masks": trajectory_masks(dealt(clean_points), keys, trj_mask_mode, length, ratio, bandwidth, kernel, parts=parts),
         "removed": motion.removed_by_class(steps),
     }
 

@@ -6,12 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripmill.operators import clean, motion, segment
+from tripmill.operators.scan import BLOCK
 from tripmill.session import stage
 
+PART = 1 << 15  # points that go to a task
+
+
+def parts_of(points: DataFrame) -> int:
+    """Tasks for ``points``: as many as their number asks for, so that the memory of a task does not grow with the table."""
+    return -(-points.count() // PART) or 1
+
 
 def segments_of(points: DataFrame) -> DataFrame:
-    """Valid points cut into segments; trips that fit a block need a single shuffle for both."""
+    """Valid points cut into segments; trips that fit a block need a single shuffle for both, to ``parts_of`` tasks."""
     longest = clean.longest_group(points)
+    if longest <= BLOCK:
+        points = points.repartition(parts_of(points), "trj_id")
     return segment.cut_segments(clean.valid_points(points, longest=longest), longest=longest)
 
 
