@@ -178,7 +178,7 @@ def clean_segments(segments: DataFrame, n_class: int = 5, minimum: int = MIN_POI
     bad = steps.where(~F.col("accepted")).select(
         *keys, F.when(F.col("delta_t") <= 0, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos")
     ).distinct()
-    kept = segments.join(bad, [*keys, "pos"], "left_anti")
+    kept = segments.join(bad.hint("merge"), [*keys, "pos"], "left_anti")  # grows with the points, so it stays off the driver
     w = Window.partitionBy(*keys)
     return (
         kept.withColumn("_m", F.count(F.lit(1)).over(w))

@@ -3,7 +3,8 @@
 A segment table has ``pos`` 0, 1, 2, ... within ``keys`` and ``n_points`` rows per
 segment. Every draw hashes the seed and the row's key, so results do not depend
 on partitioning. Intensity and seed may be columns, so that one job can carry
-many configurations side by side.
+many configurations side by side. Joins of a row per segment or point carry a
+merge hint: tables that grow with the input do not go through the driver.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def choose_segments(
 def _with_choice(segments, heads, intensity, seed, keys, config) -> DataFrame:
     heads = heads_of(segments) if heads is None else heads
     chosen = choose_segments(heads, intensity, seed, keys, config).withColumn("_chosen", F.lit(True))
-    return segments.join(chosen, keys, "left").withColumn("_chosen", F.coalesce("_chosen", F.lit(False)))
+    return segments.join(chosen.hint("merge"), keys, "left").withColumn("_chosen", F.coalesce("_chosen", F.lit(False)))
 
 
 def add_drift(
@@ -149,10 +150,10 @@ def drop_runs(
     rate = F.least(F.lit(0.4), lookup(MISSING_RATE, F.col("label"), 0.10) * (1 + _lit(intensity) * 2))
     want = F.least(F.floor(F.col("n_points") * rate), F.col("n_points") - minimum).cast("int")
     name = F.concat_ws("|", *[c.cast("string") for c in (_lit(seed), *[F.col(k) for k in ids])])
-    chosen = heads.join(choose_segments(heads, intensity, seed, keys, config), keys, "left_semi")
+    chosen = heads.join(choose_segments(heads, intensity, seed, keys, config).hint("merge"), keys, "left_semi")
     lost = chosen.withColumn("_want", want).where("_want > 0").select(*keys, F.explode(missing_places(F.col("n_points"), F.col("_want"), name)).alias("pos"))
     w = Window.partitionBy(*keys)
-    kept = segments.join(lost, [*keys, "pos"], "left_anti")
+    kept = segments.join(lost.hint("merge"), [*keys, "pos"], "left_anti")
     return (
         kept.withColumn("n_points", F.count(F.lit(1)).over(w).cast("int"))
         .withColumn("pos", (F.row_number().over(w.orderBy("pos")) - 1).cast("int"))
@@ -232,13 +233,13 @@ def noise_sweep(segments: DataFrame, seed: int = 42, changed_only: bool = False)
     chosen = [choose_segments(heads, share, own, keys, ["noise_config"]) for share, own in steps]
     touched = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).distinct()
     settings = heads.select(*keys, "_kind", "_level")
-    rows = segments.join(settings.join(touched, keys), SEGMENT).select("noise_config", *segments.columns, "_kind", "_level")
+    rows = segments.join(settings.join(touched.hint("merge"), keys).hint("merge"), SEGMENT).select("noise_config", *segments.columns, "_kind", "_level")
     for step, (share, own) in zip((add_drift, drop_runs, add_outliers), steps):
         rows = step(rows, share, own, keys, ["noise_config"], heads)
     rows = rows.drop("_kind", "_level")
     if changed_only:
         return rows
-    left = segments.join(settings.join(touched, keys, "left_anti").select(*keys), SEGMENT)
+    left = segments.join(settings.join(touched.hint("merge"), keys, "left_anti").select(*keys).hint("merge"), SEGMENT)
     return rows.unionByName(left.select("noise_config", *segments.columns))
 
 

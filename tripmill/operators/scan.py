@@ -71,13 +71,15 @@ def carry_over(
     maxima: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
+    merge: bool = False,
 ) -> DataFrame:
     """Join to each row aggregates over the earlier blocks of its group; null keys are a group of their own.
 
     Rows that have ``_key`` (``with_key``) already keep it and are not shuffled again for it.
     Values are aggregate expressions per block. ``sums`` adds them up (0 in the
     first block), ``maxima`` takes the largest, ``lasts`` the latest that is not
-    null, and ``totals`` the sum over all blocks of the group.
+    null, and ``totals`` the sum over all blocks of the group. ``merge`` keeps the
+    row per block off the driver, where blocks are as many as rows may be.
     """
     sums, maxima, lasts, totals = (x or {} for x in (sums, maxima, lasts, totals))
     keyed = df if "_key" in df.columns else with_key(df, keys)
@@ -94,7 +96,7 @@ def carry_over(
         *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in lasts],
         *[F.sum(n).over(everything).alias(n) for n in totals],
     )
-    joined = keyed.join(carried, ["_key", block])
+    joined = keyed.join(carried.hint("merge") if merge else carried, ["_key", block])
     return joined if keyed is df else joined.drop("_key")
 
 
@@ -113,7 +115,7 @@ def hash_rank(
     local = with_key(keyed, strata).withColumn("_in_block", F.row_number().over(inside))
     count = F.count(F.lit(1))
     ranked = carry_over(
-        local, strata, "_blk", sums={"_before": count}, totals={total: count} if total else None
+        local, strata, "_blk", sums={"_before": count}, totals={total: count} if total else None, merge=True
     )
     return ranked.withColumn(rank, F.col("_before") + F.col("_in_block")).drop("_h", "_blk", "_key", "_in_block", "_before")
 
