@@ -98,3 +98,13 @@ def test_neighbours_store_no_visits(spark, monkeypatch):
             monkeypatch.setattr(nb, name, value)
         got = nb.search(tree, queries, 7, block=16).toPandas().sort_values(["qid", "place"])
         assert [g["id"].tolist() for _, g in got.groupby("qid")] == want
+
+
+def test_predictions_are_not_broadcast(spark):
+    """A row per query does not go through the driver to meet its prediction, however small the table."""
+    rows = spark.range(120).selectExpr("id", "cast(id % 3 as double) AS label", "id % 3 * 4.0 AS a", "id % 3 * -2.0 + id % 7 * 0.1 AS b")
+    data = cl.assembled(rows, ["a", "b"]).fit(rows).transform(rows)
+    scored = nb.NearestNeighbours(k=3).fit(data).transform(data)
+    assert all(r["label"] == r["prediction"] for r in scored.collect())
+    joins = [x for x in scored._jdf.queryExecution().simpleString().splitlines() if "Join [_qid" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
