@@ -108,3 +108,23 @@ def test_predictions_are_not_broadcast(spark):
     assert all(r["label"] == r["prediction"] for r in scored.collect())
     joins = [x for x in scored._jdf.queryExecution().simpleString().splitlines() if "Join [_qid" in x]
     assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+def test_queries_search_the_whole_grids(spark, monkeypatch):
+    """Every choice of every model, over five folds, reaches the search of the registered queries."""
+    from tripmill.plans import models
+
+    asked = {}
+
+    def search(train, grids, folds=5, parallelism=4):
+        asked.update(folds=folds, train=train.count(), grids={name: [{p.name: v for p, v in m.items()} for m in grid] for name, (_, grid) in grids.items()})
+        asked.update(rounds={name: e.getMaxIter() for name, e in (("network", grids["multilayer_perceptron"][0]), ("svm", grids["linear_svm"][0].getClassifier()))})
+        return {}, [("none", "", 0.0, True)]
+
+    monkeypatch.setattr(cl, "grid_search", search)
+    rows = spark.range(20).selectExpr("id", "id % 4 = 0 AS is_test")
+    models.searched(rows, spark)
+    assert asked["folds"] == 5 and asked["train"] == 15 and asked["rounds"] == {"network": 200, "svm": 100}
+    assert {name: len(grid) for name, grid in asked["grids"].items()} == {
+        "random_forest": 12, "multilayer_perceptron": 2, "decision_tree": 6, "linear_svm": 2, "nearest_neighbours": 6}
+    assert {m["maxDepth"] for m in asked["grids"]["random_forest"]} == {10, 20, 30} and {m["numTrees"] for m in asked["grids"]["random_forest"]} == {100, 200}
