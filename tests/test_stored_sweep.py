@@ -92,3 +92,38 @@ def test_tasks_follow_the_number_of_points(spark, monkeypatch):
             assert rows_of(tables[name], columns) == want[name]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rows_that_sets_share_are_stored_once(spark, tmp_path, monkeypatch):
+    """Every set reads whole, as where each is stored by itself (as with random masks), from far fewer rows; a run may go on with sets that change nothing."""
+    names = ["drift_0_percent", "missing_0_percent", "drift_20_percent"]
+    monkeypatch.setattr(noise, "sweep_names", lambda: names)
+    segments = clean_segments(spark, SF)
+    ft.store_sweep(segments, f"{tmp_path}/shared", "test", at_once=1)
+    ft.store_sweep(segments, f"{tmp_path}/own", "test", trj_mask_mode="random")
+    listed = {f: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{f}/manifest").collect())) for f in ("shared", "own")}
+    assert listed["shared"] == listed["own"] and len(listed["own"]) == 3 * len(VALUES)
+    for name, columns in VALUES.items():
+        whole = ft.read_stored(spark, f"{tmp_path}/shared", name, "test")
+        alone = spark.read.parquet(f"{tmp_path}/own/{name}")
+        assert {r["noise_config"] for r in alone.select("noise_config").distinct().collect()} == set(names)
+        for set_ in names if name != "trj_masks" else ():
+            of_set = F.col("noise_config") == set_
+            assert rows_of(whole.where(of_set), columns) == rows_of(alone.where(of_set), columns), (name, set_)
+        assert whole.count() == alone.count() > 2 * spark.read.parquet(f"{tmp_path}/shared/{name}").count() > 0, name
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    from tripmill.session import shuffles_dropped
+
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {str(files.getAllFiles().apply(i).getName()) for i in range(files.getAllFiles().size()) if "shuffle_" in files.getAllFiles().apply(i).getName()}
+
+    before = shuffled()
+    with shuffles_dropped(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(f"{tmp_path}/out")
+    assert not shuffled() - before
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"

@@ -9,7 +9,7 @@ from tripmill.functions.scalar import hash32
 from tripmill.operators import masks, motion, noise, packed_masks, resample, shape_masks
 from tripmill.plans.motion_profile import parts_of
 from tripmill.schema import FEATURES, FEATURES_WITH_TIME
-from tripmill.session import stage, unstage
+from tripmill.session import shuffles_dropped, stage, unstage
 from tripmill.sources.tables import write_stage
 
 SEGMENT = ["trj_id", "seg_id"]
@@ -103,10 +103,17 @@ def stored_sets(spark: SparkSession, folder: str, split: str) -> set[str]:
     return {r["noise_config"] for r in rows.select("noise_config").distinct().collect()}  # a name per set
 
 
+SHARED = "unchanged"  # the set that holds every segment as it is, and the table of the segments that a set takes from it
+
+
 def store_sweep(segments: DataFrame, folder: str, split: str, seed: int = 42, at_once: int = 16, **settings) -> list[str]:
     """Prepare and write the tables of all noise sets, ``at_once`` sets in one job; returns the sets written now.
 
-    Tables lie in folders by split and set. A set is listed in the manifest,
+    Tables lie in folders by split and set. What a set leaves as it was is the
+    same in all sets, so those rows are made and stored once, as the set
+    ``SHARED``, and a table lists the segments that each set takes from it; with
+    random masks, which differ by set, every set is stored by itself.
+    ``read_stored`` gives whole sets either way. A set is listed in the manifest,
     with its row counts, after all its tables are written, and listed sets are
     not made again: a broken run goes on where it stopped, and folders that it
     left half done are replaced. ``segments`` should be a stored table.
@@ -114,26 +121,40 @@ def store_sweep(segments: DataFrame, folder: str, split: str, seed: int = 42, at
     spark = segments.sparkSession
     done = stored_sets(spark, folder, split)
     left = [x for x in noise.sweep_names() if x not in done]
-    for i in range(0, len(left), at_once):
-        now = left[i: i + at_once]
-        swept = stage(noise.noise_sweep(segments, seed).where(F.col("noise_config").isin(now)), "sweep")
-        keys = ["noise_config", *SEGMENT]
-        counts, staged = None, {}
-        for name, df in feature_tables(swept, keys=keys, staged=staged, **settings).items():
-            if "noise_config" not in df.columns:
-                continue
-            write_stage(df.withColumn("split", F.lit(split)), f"{folder}/{name}", own=True)
-            rows = read_stored(spark, folder, name, split).where(F.col("noise_config").isin(now))
-            count = rows.groupBy("split", "noise_config").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
-            counts = count if counts is None else counts.unionByName(count)
-            if name in staged:
-                unstage(staged.pop(name))
-        counts.select("split", "noise_config", "name", "n").write.mode("append").parquet(f"{folder}/manifest")
-        for table in (*staged.values(), swept):
-            unstage(table)
+    shares = "random" not in (settings.get("mask_mode"), settings.get("trj_mask_mode"))
+    keys = ["noise_config", *SEGMENT]
+    with shuffles_dropped(spark):
+        for i in range(0, len(left), at_once):
+            now = left[i: i + at_once]
+            swept = noise.noise_sweep(segments, seed, changed_only=shares).where(F.col("noise_config").isin(now))
+            if shares and not done and i == 0:
+                swept = swept.unionByName(segments.withColumn("noise_config", F.lit(SHARED)))
+            swept = stage(swept, "sweep")
+            listed = segments.where("pos = 0").select(F.explode(F.array(*[F.lit(x) for x in now])).alias("noise_config"), *SEGMENT)
+            same = listed.join(swept.where("pos = 0").select(*keys).hint("merge"), keys, "left_anti") if shares else listed.where("false")
+            write_stage(same.withColumn("split", F.lit(split)), f"{folder}/{SHARED}", own=True)
+            counts, staged = None, {}
+            for name, df in feature_tables(swept, keys=keys, staged=staged, **settings).items():
+                if "noise_config" not in df.columns:
+                    continue
+                write_stage(df.withColumn("split", F.lit(split)), f"{folder}/{name}", own=True)
+                rows = read_stored(spark, folder, name, split).where(F.col("noise_config").isin(now))
+                count = rows.groupBy("split", "noise_config").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+                counts = count if counts is None else counts.unionByName(count)
+                if name in staged:
+                    unstage(staged.pop(name))
+            counts.select("split", "noise_config", "name", "n").write.mode("append").parquet(f"{folder}/manifest")
+            for table in (*staged.values(), swept):
+                unstage(table)
     return left
 
 
 def read_stored(spark: SparkSession, folder: str, name: str, split: str) -> DataFrame:
-    """One table of ``store_sweep``; filters on the set reach the folders."""
-    return spark.read.parquet(f"{folder}/{name}").where(F.col("split") == split)
+    """One table of ``store_sweep``, whole sets; filters on the set reach the folders."""
+    rows = spark.read.parquet(f"{folder}/{name}").where(F.col("split") == split)
+    kinds = rows.select(*SEGMENT, "split", "noise_config").schema
+    same = spark.read.schema(kinds).parquet(f"{folder}/{SHARED}").where(F.col("split") == split)
+    shared = rows.where(F.col("noise_config") == SHARED).drop("noise_config", "split")
+    # A row per set and segment on one side; broadcast, it would go through the driver.
+    shared = shared.join(same.hint("merge"), SEGMENT).select(*rows.columns)
+    return rows.where(F.col("noise_config") != SHARED).unionByName(shared)
